@@ -31,7 +31,7 @@ MAIL_METRIC = "METRIC     : %s"
 MAIL_DETAILS = "Details:"
 MAIL_DETAIL = "  %s: %s"
 BATCH_LINE = "[batch %s] phase=%s mmd=%s threshold=%s val_issues=%d rows=%d"
-ISO_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+ISO_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
 
 
 def _mapped(key: Column, table: dict[str, str], otherwise: str) -> Column:

@@ -20,15 +20,14 @@ def decode(raw: DataFrame, schema: T.StructType = EVENT, corrupt_flag: str | Non
     and text that is no JSON object gives a row of nulls. ``corrupt_flag`` names a
     boolean column for the last case.
     """
-    text = F.col("value").cast("string")
-    metadata = [F.col(c) for c in METADATA if c in raw.columns]
+    metadata = {c: c for c in METADATA if c in raw.columns}
     if "timestamp" in raw.columns:
-        metadata.append(F.col("timestamp").alias("kafka_ts"))
-    read_as = schema if corrupt_flag is None else T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+        metadata["timestamp"] = "kafka_ts"
+    fields = list(schema.fields) + ([T.StructField("_corrupt_record", T.StringType())] if corrupt_flag else [])
     parsed = raw.select(
-        F.from_json(text, read_as, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("d"),
-        *metadata,
-    ).select("d.*", *[c for c in (*METADATA, "kafka_ts") if c in raw.columns or c == "kafka_ts" and "timestamp" in raw.columns])
+        F.from_json(F.col("value").cast("string"), T.StructType(fields)).alias("d"),
+        *[F.col(source).alias(name) for source, name in metadata.items()],
+    ).select("d.*", *metadata.values())
     if corrupt_flag is None:
         return parsed
     return parsed.withColumn(corrupt_flag, F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
