@@ -154,6 +154,28 @@ def hysteresis(
     return folded.select("alert_key", F.inline("out").alias(window, "violations", "fired"))
 
 
+def step_hysteresis(
+    state: DataFrame, candidates: DataFrame, window_no: int, at, settings: AlertSettings = AlertSettings()
+) -> DataFrame:
+    """One window of the same rule, from the state after the window before it:
+    (alert_key, violations, seen, fired_at, fired) of every key met so far."""
+    now = F.lit(at).cast("timestamp").cast("double")
+    hits = candidates.select("alert_key", F.lit(True).alias("hit")).distinct()
+    joined = state.select("alert_key", "violations", "seen", "fired_at").join(hits, "alert_key", "full_outer")
+    hit = F.coalesce("hit", F.lit(False))
+    in_a_row = F.lit(not settings.reset_on_good) | (F.col("seen") == window_no - 1)
+    count = F.when(F.coalesce(in_a_row, F.lit(False)), F.coalesce("violations", F.lit(0))).otherwise(F.lit(0)) + 1
+    cooling = F.coalesce(now - F.col("fired_at") < settings.cooldown_seconds, F.lit(False))
+    fires = hit & ~cooling & (count >= settings.required_consecutive)
+    return joined.select(
+        "alert_key",
+        F.when(fires, F.lit(0)).when(hit, count).otherwise(F.col("violations")).cast("int").alias("violations"),
+        F.when(hit, F.lit(window_no)).otherwise(F.col("seen")).cast("long").alias("seen"),
+        F.when(fires, now).otherwise(F.col("fired_at")).alias("fired_at"),
+        fires.alias("fired"),
+    )
+
+
 def _type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 

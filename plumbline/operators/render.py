@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +37,8 @@ ISO_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
 
 
 def _mapped(key: Column, table: dict[str, str], otherwise: str) -> Column:
-    column = F
-    for name, text in table.items():
-        column = column.when(key == name, F.lit(text))
-    return column.otherwise(F.lit(otherwise))
+    cases = [F.when(key == name, F.lit(text)) for name, text in table.items()]
+    return F.coalesce(*cases, F.lit(otherwise))
 
 
 def iso_time(at: Column) -> Column:
@@ -68,8 +68,8 @@ def _markdown(label: str, text: Column) -> Column:
     return F.struct(F.lit("mrkdwn").alias("type"), F.concat(F.lit(f"*{label}:*\n"), text).alias("text"))
 
 
-def chat_messages(history: DataFrame, window: str) -> DataFrame:
-    """(window, alert_type, message): the blocks of a chat message as JSON."""
+def chat_messages(history: DataFrame, window: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(window, alert_type, kept columns, message): the blocks of a chat message as JSON."""
     severity = F.col("severity")
     quoted = lambda text: F.concat(F.lit("`"), text, F.lit("`"))
     header = F.struct(
@@ -111,11 +111,11 @@ def chat_messages(history: DataFrame, window: str) -> DataFrame:
         F.to_json(context),
     )
     message = F.concat(F.lit('{"blocks":['), F.array_join(blocks, ","), F.lit("]}"))
-    return history.select(window, "alert_type", message.alias("message"))
+    return history.select(window, "alert_type", *keep, message.alias("message"))
 
 
-def mails(history: DataFrame, window: str) -> DataFrame:
-    """(window, alert_type, subject, body)."""
+def mails(history: DataFrame, window: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(window, alert_type, kept columns, subject, body)."""
     severity = F.upper("severity")
     batch = F.col(window).cast("string")
     subject = F.format_string(MAIL_SUBJECT, severity, F.col("alert_type"), batch)
@@ -129,7 +129,7 @@ def mails(history: DataFrame, window: str) -> DataFrame:
         F.size("details") > 0, F.concat(F.array(F.lit(""), F.lit(MAIL_DETAILS)), entries)
     ).otherwise(F.array().cast("array<string>"))
     lines = F.concat(F.array(*fixed), F.array_compact(F.array(metric)), details)
-    return history.select(window, "alert_type", subject.alias("subject"), F.array_join(lines, "\n").alias("body"))
+    return history.select(window, "alert_type", *keep, subject.alias("subject"), F.array_join(lines, "\n").alias("body"))
 
 
 def batch_lines(metrics: DataFrame, window: str) -> DataFrame:
