@@ -42,7 +42,7 @@ def report(spark: SparkSession, sf_dir: str) -> WindowReport:
 
 # SQL building blocks -----------------------------------------------------------
 FE = "fe AS (" + FEATURE_EVENTS.format(
-    events="events", json_k="json_extract_string(props, '$.k')", millis="epoch_ms(ts)"
+    events="events", json_k="json_extract_string(props, '$.k')", millis="epoch_us(ts) // 1000"
 ) + ")"
 PRED = "pred AS (" + PREDICTIONS.format(events="events") + ")"
 LAB = "lab AS (" + LABELS.format(events="events") + ")"

@@ -334,15 +334,15 @@ def _(spark, sf):
     return drift.null_rate_points(report(spark, sf).null_rate_drift()).select("w", "feature", r6("delta_pp"), "alert")
 
 
-@query(
-    "d11_reference",
-    f"""WITH {FE}, {PHASES}, {LNG}, {REF}, warm AS (SELECT * FROM fe WHERE w IN (SELECT w FROM ph WHERE phase = 'warmup'))
+ORACLE_REFERENCE = f"""WITH {FE}, {PHASES}, {LNG}, {REF}, warm AS (SELECT * FROM fe WHERE w IN (SELECT w FROM ph WHERE phase = 'warmup'))
     SELECT 'value' AS part, feature, CAST(value AS VARCHAR) AS item, count(*) * 1.0e0 AS amount FROM ref
     WHERE feature IN ('age', 'page_views') GROUP BY feature, value
     UNION ALL SELECT 'frequency', 'device_type', device_type, {q6('count(*) * 1.0e0 / (SELECT count(device_type) FROM warm)')}
     FROM warm WHERE device_type IS NOT NULL GROUP BY device_type
-    UNION ALL {' UNION ALL '.join(f"SELECT 'null_rate', '{c}', '', {q6(_null_share(c))} FROM warm" for c in COLUMNS)}""",
-)
+    UNION ALL {' UNION ALL '.join(f"SELECT 'null_rate', '{c}', '', {q6(_null_share(c))} FROM warm" for c in COLUMNS)}"""
+
+
+@query("d11_reference", ORACLE_REFERENCE)
 def _(spark, sf):
     return reference_rows(report(spark, sf).reference.parts())
 
