@@ -59,23 +59,31 @@ def running_sums(
     sums: Mapping[str, Sequence[str]],
     hash_on: Sequence[str] = (),
     cuts: int = CUTS,
+    edges: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``<c>_cum`` (sum of c up to and with the value), ``<c>_equal`` (sum of c
     at the value) and ``<c>_total``.
 
-    ``sums`` maps a column to the group it is summed in; every group starts with
-    the ``split`` columns, for which the cuts are drawn. The number of distinct
+    ``sums`` maps a column (without nulls) to the group it is summed in; every group
+    starts with the ``split`` columns, for which the cuts are drawn. The number of distinct
     ``split`` keys must be small (feature names), as their cuts are broadcast;
-    groups may be many.
+    groups may be many. ``edges`` may hold cuts drawn earlier by ``range_cuts``; they
+    only decide how evenly the work is spread.
     """
-    edges = range_cuts(rows, split, value, list(sums), hash_on, cuts)
+    if edges is None:
+        edges = range_cuts(rows, split, value, list(sums), hash_on, cuts)
     placed = rows.join(F.broadcast(edges), list(split), "left") if split else rows.withColumn(
         "_cuts", edges.scalar()
     )
     placed = placed.withColumn(_RANGE, _range_of(F.col(value), F.col("_cuts"))).drop("_cuts")
     stacked = placed.withColumn(_LEAD, F.lit(1))
+    keys = list(dict.fromkeys(k for group in sums.values() for k in group))
+    finest = placed.groupBy(*keys, _RANGE).agg(*[F.sum(name).alias(name) for name in sums])
+    if len(sums) > 1:
+        # All branches below read all sums, so the grouping is done once for them.
+        finest = finest.dropna("any", subset=list(sums))
     for name, group in sums.items():
-        per_range = placed.groupBy(*group, _RANGE).agg(F.sum(name).alias(name))
+        per_range = finest if len(group) == len(keys) else finest.groupBy(*group, _RANGE).agg(F.sum(name).alias(name))
         within = Window.partitionBy(*group)
         before = within.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
         lead = per_range.select(

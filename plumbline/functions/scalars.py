@@ -45,7 +45,8 @@ def log_gamma(z: Column) -> Column:
         + F.lit(0.5 * math.log(2.0 * math.pi))
         + F.lit(1.0 / 12.0) / w
         - F.lit(1.0 / 360.0) / (w * w * w)
-        + F.lit(1.0 / 1260.0) / (w * w * w * w * w)
+        + F.lit(1.0 / 1260.0) / F.pow(w, 5)
+        - F.lit(1.0 / 1680.0) / F.pow(w, 7)
     )
     shift = F.lit(0.0)
     for step in range(8):

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.ranking import percentiles, running_sums
+from plumbline.functions.ranking import percentiles, range_cuts, running_sums
 from plumbline.functions.scalars import chi2_pvalue, ks_pvalue, psi_level, rate
 from plumbline.settings import DriftSettings
 
@@ -26,20 +26,25 @@ def pooled(counted: DataFrame, group: Sequence[str], value: str = "value") -> Da
 
 
 def ks_windows(
-    reference: DataFrame, current: DataFrame, window: str, settings: DriftSettings = DriftSettings()
+    reference: DataFrame,
+    current: DataFrame,
+    window: str,
+    settings: DriftSettings = DriftSettings(),
+    cuts: DataFrame | None = None,
 ) -> DataFrame:
     """(window, feature, n_reference, n_current, ks_statistic, p_value, skipped, drifted).
 
     ``reference`` is (feature, value, n), ``current`` is (window, feature, value, n).
     The gap between the two step functions is largest at, or just before, a value
     of the current window, so the reference is ordered once for all windows and
-    its rows are not repeated per window.
+    its rows are not repeated per window. ``cuts`` may hold ``ks_cuts`` of an earlier
+    reference.
     """
     rows = reference.select("feature", "value", F.col("n").alias("r"), F.lit(0).cast("long").alias("c")).unionByName(
         current.select("feature", "value", window, F.lit(0).cast("long").alias("r"), F.col("n").alias("c")),
         allowMissingColumns=True,
     )
-    ranked = running_sums(rows, ["feature"], "value", {"r": ["feature"], "c": ["feature", window]}, [window])
+    ranked = running_sums(rows, ["feature"], "value", {"r": ["feature"], "c": ["feature", window]}, [window], edges=cuts)
     here = F.abs(rate(F.col("r_cum"), F.col("r_total")) - rate(F.col("c_cum"), F.col("c_total")))
     below = F.abs(
         rate(F.col("r_cum") - F.col("r_equal"), F.col("r_total"))
@@ -53,6 +58,11 @@ def ks_windows(
     return ks_verdict(reduced, settings.ks_significance, settings.min_rows)
 
 
+def ks_cuts(reference: DataFrame) -> DataFrame:
+    """The value ranges of a reference, to be kept with it."""
+    return range_cuts(reference, ["feature"], "value", ["n"], [])
+
+
 def ks_verdict(reduced: DataFrame, significance: float, min_rows: int) -> DataFrame:
     skipped = F.col("n_current") < min_rows
     p_value = ks_pvalue(F.col("ks_statistic"), F.col("n_reference"), F.col("n_current"))
@@ -82,18 +92,27 @@ def bin_counts(counted: DataFrame, edges: DataFrame, group: Sequence[str], bins:
     return placed.groupBy(*group).agg(F.array(*slots).alias("bins"))
 
 
+def psi_reference(reference: DataFrame, bins: int) -> DataFrame:
+    """(feature, edges, reference_bins): all that PSI needs of a reference."""
+    edges = psi_edges(reference, bins)
+    counts = bin_counts(reference, edges, ["feature"], bins).withColumnRenamed("bins", "reference_bins")
+    return edges.join(counts, "feature")
+
+
 def psi_windows(
     reference: DataFrame, current: DataFrame, window: str, settings: DriftSettings = DriftSettings()
 ) -> DataFrame:
-    """(window, feature, n_current, psi, level, skipped, drifted)."""
-    edges = psi_edges(reference, settings.psi_bins)
-    expected = bin_counts(reference, edges, ["feature"], settings.psi_bins)
-    observed = bin_counts(current, edges, [window, "feature"], settings.psi_bins)
+    """(window, feature, n_current, psi, level, skipped, drifted).
+
+    ``reference`` comes from ``psi_reference``, ``current`` is (window, feature,
+    value, n).
+    """
+    observed = bin_counts(current, reference.select("feature", "edges"), [window, "feature"], settings.psi_bins)
 
     def total(counts: Column) -> Column:
         return F.aggregate(counts, F.lit(0).cast("long"), lambda sofar, n: sofar + n)
 
-    joined = observed.join(F.broadcast(expected.withColumnRenamed("bins", "reference_bins")), "feature")
+    joined = observed.join(F.broadcast(reference.select("feature", "reference_bins")), "feature")
     sized = joined.withColumns({"n_current": total(F.col("bins")), "n_reference": total(F.col("reference_bins"))})
     epsilon = F.lit(settings.psi_epsilon)
     parts = F.zip_with(

@@ -207,7 +207,7 @@ class BaselineRegistry:
 
 
 # Reference tables of the drift checks.
-REFERENCE_PARTS = ("values", "frequencies", "null_rates")
+REFERENCE_PARTS = ("values", "cuts", "bins", "frequencies", "null_rates")
 
 
 def save_reference(parts: dict[str, DataFrame], path: str) -> None:

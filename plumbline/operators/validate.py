@@ -110,20 +110,20 @@ class Validation:
         """(window, feature, issue_type, count, total, rate, rule, allowed): one row
         per check that found something."""
         no_list = F.lit(None).cast("array<string>")
-        found = stack_structs(
-            self.counts,
-            [*self.window, "total"],
-            [
-                F.struct(
-                    F.lit(c.feature).alias("feature"),
-                    F.lit(c.issue_type).alias("issue_type"),
-                    F.col(f"check_{i}").alias("count"),
-                    F.lit(c.bounds).cast("string").alias("rule"),
-                    (F.array(*[F.lit(v) for v in c.allowed]) if c.allowed else no_list).alias("allowed"),
-                )
-                for i, c in enumerate(self.checks)
-            ],
-        )
+
+        def finding(check: Check, count: Column) -> Column:
+            return F.struct(
+                F.lit(check.feature).alias("feature"),
+                F.lit(check.issue_type).alias("issue_type"),
+                count.alias("count"),
+                F.lit(check.bounds).cast("string").alias("rule"),
+                (F.array(*[F.lit(v) for v in check.allowed]) if check.allowed else no_list).alias("allowed"),
+            )
+
+        findings = [finding(c, F.col(f"check_{i}")) for i, c in enumerate(self.checks)]
+        if not findings:
+            findings = [finding(Check("", "", F.lit(False)), F.lit(0).cast("long"))]
+        found = stack_structs(self.counts, [*self.window, "total"], findings)
         return found.where(F.col("count") > 0).withColumn("rate", rate(F.col("count"), F.col("total")))
 
     def validity(self) -> DataFrame:

@@ -23,17 +23,26 @@ class Reference:
     """What the per-feature checks compare with."""
 
     values: DataFrame  # feature, value, n
+    bins: DataFrame  # feature, edges, reference_bins
     frequencies: DataFrame  # feature, category, reference_frequency
     null_rates: DataFrame  # feature, null_rate
 
     def parts(self) -> dict[str, DataFrame]:
-        return {"values": self.values, "frequencies": self.frequencies, "null_rates": self.null_rates}
+        return {
+            "values": self.values,
+            "cuts": drift.ks_cuts(self.values),
+            "bins": self.bins,
+            "frequencies": self.frequencies,
+            "null_rates": self.null_rates,
+        }
 
 
 def fit_reference(df: DataFrame, settings: Settings, null_columns: Sequence[str]) -> Reference:
     """The reference from a frame of reference rows."""
+    values = value_counts(long_numeric(df, [], settings.numeric), ["feature"])
     return Reference(
-        value_counts(long_numeric(df, [], settings.numeric), ["feature"]),
+        values,
+        drift.psi_reference(values, settings.drift.psi_bins),
         drift.reference_frequencies(stats.category_counts(df, [], settings.categorical)),
         validate.null_rates(df, [], null_columns),
     )
@@ -121,8 +130,10 @@ class WindowReport:
         nulls = self.profile.where(warm).agg(
             *[F.try_divide(F.sum(f"nulls_{c}").cast("double"), F.sum("total")).alias(c) for c in self._listed_nulls]
         )
+        values = drift.pooled(self.counted_values.where(warm), ["feature"])
         return Reference(
-            drift.pooled(self.counted_values.where(warm), ["feature"]),
+            values,
+            drift.psi_reference(values, self.settings.drift.psi_bins),
             drift.reference_frequencies(self.counted_categories.where(warm)),
             stack_structs(
                 nulls, [], [F.struct(F.lit(c).alias("feature"), F.col(c).alias("null_rate")) for c in self._listed_nulls]
@@ -151,7 +162,7 @@ class WindowReport:
 
     def psi(self) -> DataFrame:
         return drift.psi_windows(
-            self.reference.values, self._current(self.counted_values), self.window, self.settings.drift
+            self.reference.bins, self._current(self.counted_values), self.window, self.settings.drift
         )
 
     def chi2(self) -> DataFrame:

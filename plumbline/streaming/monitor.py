@@ -81,8 +81,7 @@ class StreamMonitor:
             *[F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in rows.columns if c != WINDOW],
             F.current_timestamp().alias("timestamp"),
         )
-        write_batch(profile, self.table("profile"), batch_id)
-        profile = self.spark.read.schema(profile.schema).parquet(f"{self.table('profile')}/batch={batch_id}")
+        profile = self._kept(profile, "profile", batch_id)
         counted = profile.first()
         if counted is None:
             return
@@ -102,15 +101,13 @@ class StreamMonitor:
             if after >= warm:
                 self._fit(rows.drop(WINDOW).schema, batch_id)
 
-        scores = self._scores(rows, profile, earlier, phase, after >= calibrated)
+        scores = self._kept(self._scores(rows, profile, earlier, phase, after >= calibrated), "scores", batch_id)
         validation = validate.Validation(rows, [WINDOW], settings.rules, counts=profile)
-        issues = validation.issues()
-        write_batch(issues, self.table("issues"), batch_id)
-        complementary = None
+        issues = self._kept(validation.issues(), "issues", batch_id)
+        report = None
         if phase == MONITORING:
-            complementary = self._complementary(rows, profile)
-            write_batch(full_report(scores, complementary, WINDOW), self.table("drift"), batch_id)
-        self._alert(issues, scores, complementary, batch_id, done["seen"] + 1, counted["timestamp"])
+            report = self._kept(full_report(scores, self._complementary(rows, profile), WINDOW), "drift", batch_id)
+        self._alert(issues, scores, report, batch_id, done["seen"] + 1, counted["timestamp"])
 
         null_rates = [
             rate(F.col(f"nulls_{c}"), F.col("total")).alias(f"null_rate_{c}")
@@ -127,6 +124,11 @@ class StreamMonitor:
         # Written last: a batch without its metrics row counts as not done.
         write_batch(metrics.select(*names), self.table("metrics"), batch_id)
 
+    def _kept(self, rows: DataFrame, name: str, batch_id: int) -> DataFrame:
+        """Write the rows of this batch and go on from the written ones."""
+        write_batch(rows, self.table(name), batch_id)
+        return self.spark.read.schema(rows.schema).parquet(f"{self.table(name)}/batch={batch_id}")
+
     def _fit(self, schema: T.StructType, batch_id: int) -> None:
         typed = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
         warm = read_table(self.spark, self.table("warmup_rows"), typed).where(F.col("batch") <= batch_id).drop("batch")
@@ -182,27 +184,27 @@ class StreamMonitor:
         )
         checks = self.settings.drift
         return complementary_report(
-            drift.ks_windows(reference["values"], values, WINDOW, checks),
-            drift.psi_windows(reference["values"], values, WINDOW, checks),
+            drift.ks_windows(reference["values"], values, WINDOW, checks, reference["cuts"]),
+            drift.psi_windows(reference["bins"], values, WINDOW, checks),
             drift.chi2_windows(reference["frequencies"], categories, WINDOW, checks),
             drift.null_rate_windows(reference["null_rates"], nulls, WINDOW, checks),
             WINDOW,
         )
 
-    def _alert(self, issues, scores, complementary, batch_id: int, window_no: int, at) -> None:
-        found = alerting.validation_candidates(issues, WINDOW).unionByName(alerting.mmd_candidates(scores, WINDOW))
-        if complementary is not None:
-            found = found.unionByName(alerting.drift_candidates(complementary, WINDOW))
+    def _alert(
+        self, issues: DataFrame, scores: DataFrame, report: DataFrame | None, batch_id: int, window_no: int, at
+    ) -> None:
         if not self.settings.alerts.enabled:
             return
-        write_batch(found, self.table("candidates"), batch_id)
-        found = self.spark.read.schema(found.schema).parquet(f"{self.table('candidates')}/batch={batch_id}")
+        found = alerting.validation_candidates(issues, WINDOW).unionByName(alerting.mmd_candidates(scores, WINDOW))
+        if report is not None:
+            found = found.unionByName(alerting.drift_candidates(report, WINDOW))
+        found = self._kept(found, "candidates", batch_id)
         states = read_table(self.spark, self.table("alert_state"), STATE).where(F.col("batch") < batch_id)
         last = states.agg(F.max("batch").alias("last")).select("last").scalar()
         stepped = alerting.step_hysteresis(
             states.where(F.col("batch") == last), found, window_no, at, self.settings.alerts
         )
-        write_batch(stepped, self.table("alert_state"), batch_id)
-        stepped = self.spark.read.schema(stepped.schema).parquet(f"{self.table('alert_state')}/batch={batch_id}")
+        stepped = self._kept(stepped, "alert_state", batch_id)
         fired = found.join(stepped.where("fired").select("alert_key"), "alert_key", "left_semi")
         write_batch(alerting.payload(fired, WINDOW, F.lit(at)), self.table("alerts"), batch_id, "json")
