@@ -49,12 +49,11 @@ def hash_sample(df: DataFrame, key: Sequence[str], size: int) -> DataFrame:
 def median_bandwidth(sample: DataFrame, features: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """(group, sigma): square root of half the median positive squared distance
     between the rows of a bounded sample, 1.0 if all rows are equal."""
-    points = sample.groupBy(*group).agg(F.collect_list(F.array(*[clean(f) for f in features])).alias("points"))
+    point = F.struct(*[clean(f).alias(f) for f in features])
+    points = sample.groupBy(*group).agg(F.collect_list(point).alias("points"))
 
     def squared(a: Column, b: Column) -> Column:
-        return F.aggregate(
-            F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, part: total + part
-        )
+        return sum(((a[f] - b[f]) * (a[f] - b[f]) for f in features), F.lit(0.0))
 
     later = F.transform(
         "points",

@@ -12,6 +12,7 @@ from plumbline.functions.ranking import lowest_by, running_sums, value_counts
 from plumbline.functions.scalars import rate
 from plumbline.operators.drift import ks_windows, pooled
 from plumbline.operators.phases import MONITORING, WARMUP
+from plumbline.session import settle
 from plumbline.settings import DriftSettings, ModelSettings
 
 
@@ -160,8 +161,12 @@ def performance(
     settings: ModelSettings = ModelSettings(),
 ) -> DataFrame:
     """(window, window_size, accuracy, estimated_auc, baseline_accuracy, is_degraded)
-    over the last pairs at the end of every window."""
-    recent = last_pairs(pairs, phases, window, order, settings.window_rows)
+    over the last pairs at the end of every window.
+
+    The last pairs, a bounded number per window, are settled because accuracy and
+    AUC both read them.
+    """
+    recent = settle(last_pairs(pairs, phases, window, order, settings.window_rows), "last-pairs")
     hit = (F.col("predicted_label") == F.col("true_label")).cast("double")
     accuracy = recent.groupBy(window).agg(F.count(F.lit(1)).alias("window_size"), F.avg(hit).alias("accuracy"))
     report = (
@@ -195,8 +200,13 @@ def model_report(
     settings: ModelSettings = ModelSettings(),
 ) -> DataFrame:
     """One row per window with predictions: phase, score drift, label drift and
-    performance; the checks are null in warm-up."""
-    phases = model_phases(predictions, window, settings)
+    performance; the checks are null in warm-up.
+
+    The matched pairs are written once, so that counting them and taking the last
+    of them does not repeat the join.
+    """
+    phases = settle(model_phases(predictions, window, settings), "model-phases")
+    pairs = settle(match_labels(predictions, labels), "pairs")
     base = warmup_baseline(predictions, phases, window)
     scores = score_drift(predictions, phases, window, settings).select(
         window, "ks_statistic", "p_value", F.col("drifted").alias("prediction_drift"), "baseline_mean", "current_mean"
@@ -204,7 +214,7 @@ def model_report(
     rates = label_drift(predictions, base.select("positive_rate").scalar(), window, settings=settings).select(
         window, "current_positive_rate", "z_score", F.col("drifted").alias("label_drift")
     )
-    health = performance(match_labels(predictions, labels), phases, window, order, settings).drop("phase")
+    health = performance(pairs, phases, window, order, settings).drop("phase")
     joined = phases.drop("position").join(scores, window, "left").join(rates, window, "left").join(health, window)
     checks = [c for c in joined.columns if c not in {window, "n_predictions", "phase"}]
     monitored = F.col("phase") == MONITORING

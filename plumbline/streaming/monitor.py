@@ -1,8 +1,9 @@
 """The monitor as a Structured Streaming sink: one window per micro-batch.
 
 All state lives in tables below one folder, each batch in a folder of its own. A
-batch that is repeated after a failure writes the same rows to the same place,
-and a restarted monitor goes on where the last one stopped.
+batch reads the state its predecessor left, however long the stream has run. One
+that is repeated after a failure writes the same rows to the same place, and a
+restarted monitor goes on where the last one stopped.
 """
 
 from __future__ import annotations
@@ -29,13 +30,21 @@ from plumbline.sources.tables import read_table, write_batch
 
 WINDOW = "batch_id"
 
-STATE = T.StructType(
+ALERT_STATE = T.StructType(
     [
         T.StructField("alert_key", T.StringType()),
         T.StructField("violations", T.IntegerType()),
         T.StructField("seen", T.LongType()),
         T.StructField("fired_at", T.DoubleType()),
-        T.StructField("batch", T.LongType()),
+        T.StructField("fired", T.BooleanType()),
+    ]
+)
+PROGRESS = T.StructType(
+    [
+        T.StructField("counted", T.LongType()),
+        T.StructField("seen", T.LongType()),
+        T.StructField("scores", T.ArrayType(T.DoubleType())),
+        T.StructField("threshold", T.DoubleType()),
     ]
 )
 
@@ -43,8 +52,18 @@ STATE = T.StructType(
 class StreamMonitor:
     """Validates, scores and alerts on every micro-batch of a feature stream."""
 
-    def __init__(self, spark: SparkSession, path: str, key: Sequence[str], settings: Settings = Settings()):
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        key: Sequence[str],
+        settings: Settings = Settings(),
+        event_time: str | None = None,
+    ):
+        """``event_time`` names the column whose newest value is the time of a batch; a
+        repeated batch then has the same time. Without it the clock is read."""
         self.spark, self.path, self.key, self.settings = spark, path.rstrip("/"), list(key), settings
+        self.event_time = event_time
         extra = [
             T.StructField("issue_count", T.LongType()),
             T.StructField("complete_rows", T.LongType()),
@@ -79,19 +98,17 @@ class StreamMonitor:
             *validate.counters(checks),
             F.count_if(is_complete(numeric)).alias("complete_rows"),
             *[F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in rows.columns if c != WINDOW],
-            F.current_timestamp().alias("timestamp"),
+            (F.max(F.col(self.event_time).cast("timestamp")) if self.event_time else F.current_timestamp()).alias(
+                "timestamp"
+            ),
         )
         profile = self._kept(profile, "profile", batch_id)
         counted = profile.first()
+        progress = self._before("progress", PROGRESS, batch_id).first() or (0, 0, [], None)
         if counted is None:
+            self._carry(progress, batch_id)
             return
-
-        earlier = self.metrics().where(F.col("batch") < batch_id)
-        done = earlier.agg(
-            F.count_if((F.col("complete_rows") > 0) | F.lit(settings.phases.count_incomplete)).alias("counted"),
-            F.count(F.lit(1)).alias("seen"),
-        ).first()
-        before = done["counted"]
+        before, seen, calibration, threshold = progress
         after = before + int(counted["complete_rows"] > 0 or settings.phases.count_incomplete)
         warm, calibrated = settings.phases.warmup_windows, settings.phases.warmup_windows + settings.phases.calibrate_windows
         phase = WARMUP if before < warm else CALIBRATE if before < calibrated else MONITORING
@@ -101,13 +118,19 @@ class StreamMonitor:
             if after >= warm:
                 self._fit(rows.drop(WINDOW).schema, batch_id)
 
-        scores = self._kept(self._scores(rows, profile, earlier, phase, after >= calibrated), "scores", batch_id)
+        unscored = self._score(rows, profile, phase)
+        if phase == CALIBRATE:
+            score = unscored.first()["mmd_score"]
+            calibration = calibration + ([score] if score is not None else [])
+            if after >= calibrated:
+                threshold = self._threshold(calibration)
+        scores = self._decide(unscored, phase, threshold)
         validation = validate.Validation(rows, [WINDOW], settings.rules, counts=profile)
         issues = self._kept(validation.issues(), "issues", batch_id)
         report = None
         if phase == MONITORING:
             report = self._kept(full_report(scores, self._complementary(rows, profile), WINDOW), "drift", batch_id)
-        self._alert(issues, scores, report, batch_id, done["seen"] + 1, counted["timestamp"])
+        self._alert(issues, scores, report, batch_id, seen + 1, counted["timestamp"])
 
         null_rates = [
             rate(F.col(f"nulls_{c}"), F.col("total")).alias(f"null_rate_{c}")
@@ -121,8 +144,22 @@ class StreamMonitor:
             .join(validation.validity().select(WINDOW, "validity_rate", "issue_count"), WINDOW)
         )
         names = [f for f in self.metrics_type.names if f != "batch"]
-        # Written last: a batch without its metrics row counts as not done.
         write_batch(metrics.select(*names), self.table("metrics"), batch_id)
+        self._save_progress((after, seen + 1, calibration, threshold), batch_id)
+
+    def _before(self, name: str, schema: T.StructType, batch_id: int) -> DataFrame:
+        """What the batch before this one left in a table."""
+        return read_table(self.spark, f"{self.table(name)}/batch={batch_id - 1}", schema)
+
+    def _save_progress(self, progress: tuple, batch_id: int) -> None:
+        row = self.spark.createDataFrame([tuple(progress)], PROGRESS)
+        write_batch(row.coalesce(1), self.table("progress"), batch_id)
+
+    def _carry(self, progress: tuple, batch_id: int) -> None:
+        """An empty batch is no window: it only hands the state on."""
+        state = self._before("alert_state", ALERT_STATE, batch_id)
+        write_batch(state, self.table("alert_state"), batch_id)
+        self._save_progress(progress, batch_id)
 
     def _kept(self, rows: DataFrame, name: str, batch_id: int) -> DataFrame:
         """Write the rows of this batch and go on from the written ones."""
@@ -141,31 +178,32 @@ class StreamMonitor:
     def _sigma(self):
         return self.spark.read.parquet(self.table("detector/sigma")).select("sigma").scalar()
 
-    def _scores(
-        self, rows: DataFrame, profile: DataFrame, earlier: DataFrame, phase: str, calibrated: bool
-    ) -> DataFrame:
-        empty = F.lit(None).cast("double")
+    def _score(self, rows: DataFrame, profile: DataFrame, phase: str) -> DataFrame:
+        """One settled row: the batch, its phase and its score."""
+        batch_id = profile.first()[WINDOW]
         base = profile.select(WINDOW, "complete_rows", F.lit(phase).alias("phase"))
         if phase == WARMUP:
-            return base.select(
-                "*", empty.alias("mmd_score"), empty.alias("mmd_threshold"), F.lit(False).alias("mmd_drift"),
-                empty.alias("ratio"),
+            scored = base.withColumn("mmd_score", F.lit(None).cast("double"))
+        else:
+            sums = mmd.component_sums(rows, [WINDOW], self.settings.numeric, self._sigma(), self.settings.mmd)
+            mean = self.spark.read.parquet(self.table("detector/mean")).select("mean").scalar()
+            distance = mmd.squared_distance(F.col("sums"), F.col("rows"), F.col("mean"))
+            scored = base.join(
+                sums.withColumn("mean", mean).select(WINDOW, distance.alias("mmd_score")), WINDOW, "left"
             )
-        sums = mmd.component_sums(rows, [WINDOW], self.settings.numeric, self._sigma(), self.settings.mmd)
-        mean = self.spark.read.parquet(self.table("detector/mean")).select("mean").scalar()
-        distance = mmd.squared_distance(F.col("sums"), F.col("rows"), F.col("mean"))
-        scored = base.join(
-            sums.withColumn("mean", mean).select(WINDOW, distance.alias("mmd_score")), WINDOW, "left"
-        )
-        if not calibrated:
-            return scored.select("*", empty.alias("mmd_threshold"), F.lit(False).alias("mmd_drift"), empty.alias("ratio"))
-        known = earlier.where(F.col("phase") == CALIBRATE).select("phase", "mmd_score")
-        known = known.unionByName(scored.where(F.col("phase") == CALIBRATE).select("phase", "mmd_score"))
-        threshold = mmd.calibrated_threshold(known, self.settings.phases).select("threshold").scalar()
-        decided = (F.col("phase") == MONITORING) & mmd.is_drift(F.col("mmd_score"), F.col("mmd_threshold"))
-        return scored.withColumn("mmd_threshold", threshold).select(
+        return self._kept(scored, "scores", batch_id)
+
+    def _threshold(self, calibration: list[float]) -> float | None:
+        """The threshold from the few calibrate scores."""
+        scores = self.spark.createDataFrame([(CALIBRATE, s) for s in calibration], "phase string, mmd_score double")
+        return mmd.calibrated_threshold(scores, self.settings.phases).first()["threshold"]
+
+    @staticmethod
+    def _decide(scored: DataFrame, phase: str, threshold: float | None) -> DataFrame:
+        drifted = F.lit(phase == MONITORING) & mmd.is_drift(F.col("mmd_score"), F.col("mmd_threshold"))
+        return scored.withColumn("mmd_threshold", F.lit(threshold).cast("double")).select(
             "*",
-            decided.alias("mmd_drift"),
+            drifted.alias("mmd_drift"),
             separation_ratio(F.col("mmd_score"), F.col("mmd_threshold")).alias("ratio"),
         )
 
@@ -200,11 +238,8 @@ class StreamMonitor:
         if report is not None:
             found = found.unionByName(alerting.drift_candidates(report, WINDOW))
         found = self._kept(found, "candidates", batch_id)
-        states = read_table(self.spark, self.table("alert_state"), STATE).where(F.col("batch") < batch_id)
-        last = states.agg(F.max("batch").alias("last")).select("last").scalar()
-        stepped = alerting.step_hysteresis(
-            states.where(F.col("batch") == last), found, window_no, at, self.settings.alerts
-        )
+        state = self._before("alert_state", ALERT_STATE, batch_id)
+        stepped = alerting.step_hysteresis(state, found, window_no, at, self.settings.alerts)
         stepped = self._kept(stepped, "alert_state", batch_id)
         fired = found.join(stepped.where("fired").select("alert_key"), "alert_key", "left_semi")
         write_batch(alerting.payload(fired, WINDOW, F.lit(at)), self.table("alerts"), batch_id, "json")

@@ -106,7 +106,7 @@ def monitored(spark, sf_dir, tmp_path_factory):
         events.where(F.dayofmonth("ts") == day).coalesce(1).write.mode("append").parquet(str(root / "in"))
     settings = Settings(phases=PhaseSettings(warmup_windows=2, calibrate_windows=1), alerts=AlertSettings(cooldown_seconds=0.0))
     stream = records.file_stream(spark, str(root / "in"), events.schema, "parquet", maxFilesPerTrigger="1")
-    monitor = StreamMonitor(spark, str(root / "state"), ["event_id"], settings)
+    monitor = StreamMonitor(spark, str(root / "state"), ["event_id"], settings, event_time="ts")
     monitor.start(stream, str(root / "cp"), interval=None).awaitTermination()
     return monitor, events, settings, days
 
@@ -132,7 +132,7 @@ def test_monitor_phases_and_scores_equal_the_batch_report(spark, monitored):
 def test_monitor_alerts_and_repeated_batch(spark, monitored):
     monitor, events, _, days = monitored
     shown = lambda: sorted(
-        (r["batch_id"], r["alert_type"], r["what"]) for r in spark.read.json(monitor.table("alerts")).collect()
+        (r["batch_id"], r["alert_type"], r["what"], r["timestamp"]) for r in spark.read.json(monitor.table("alerts")).collect()
     )
     first = shown()
     flags = [r["mmd_drift"] for r in monitor.metrics().orderBy("batch_id").collect()]
@@ -142,7 +142,7 @@ def test_monitor_alerts_and_repeated_batch(spark, monitored):
         if count == 2:
             fired.append(batch)
             count = 0
-    assert fired and sorted({b for b, t, _ in first if t == "rff_mmd_drift"}) == fired
+    assert fired and sorted({b for b, t, _, _ in first if t == "rff_mmd_drift"}) == fired
     monitor.process(events.where(F.dayofmonth("ts") == days[-1]), len(days) - 1)
     assert shown() == first and monitor.metrics().count() == len(days)
 
