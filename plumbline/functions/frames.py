@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,28 +12,22 @@ from plumbline.functions.scalars import clean
 
 def long_numeric(df: DataFrame, keep: Sequence[str], features: Sequence[str]) -> DataFrame:
     """(keep..., feature, value): one row per numeric value, NaN read as null."""
-    return stack_structs(
-        df,
-        keep,
-        [
-            F.struct(F.lit(name).alias("feature"), clean(name).alias("value"))
-            for name in features
-            if name in df.columns
-        ],
-    )
+    return _stack_features(df, keep, features, "value", "double", clean)
 
 
 def long_categorical(df: DataFrame, keep: Sequence[str], features: Sequence[str]) -> DataFrame:
     """(keep..., feature, category), nulls included."""
-    return stack_structs(
-        df,
-        keep,
-        [
-            F.struct(F.lit(name).alias("feature"), F.col(name).cast("string").alias("category"))
-            for name in features
-            if name in df.columns
-        ],
-    )
+    return _stack_features(df, keep, features, "category", "string", lambda name: F.col(name).cast("string"))
+
+
+def _stack_features(
+    df: DataFrame, keep: Sequence[str], features: Sequence[str], name: str, kind: str, read: Callable[[str], Column]
+) -> DataFrame:
+    present = [feature for feature in features if feature in df.columns]
+    if not present:
+        nothing = [F.lit(None).cast("string").alias("feature"), F.lit(None).cast(kind).alias(name)]
+        return df.select(*keep, *nothing).where(F.lit(False))
+    return stack_structs(df, keep, [F.struct(F.lit(f).alias("feature"), read(f).alias(name)) for f in present])
 
 
 def stack_structs(df: DataFrame, keep: Sequence[str | Column], structs: Sequence[Column]) -> DataFrame:

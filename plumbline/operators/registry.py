@@ -18,7 +18,6 @@ from pyspark.sql.utils import AnalysisException
 
 from plumbline.operators.stats import (
     SNAPSHOT_SAMPLE,
-    categorical_stats,
     category_counts,
     category_frequencies,
     numeric_percentiles,
