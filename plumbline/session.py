@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,16 +26,13 @@ def build_session(app_name: str = "plumbline", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
-    On a cluster that setting must name storage every executor can reach. Only
-    a local session without it gets a folder of its own.
+    Where that setting is unset, a folder below the session's warehouse is used, which
+    the driver and all executors share as well.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    named = tempfile.mkdtemp(prefix="plumbline-")
-    spark.conf.set(CHECKPOINT_CONF, named)
+    if not named:
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_runs"
+        spark.conf.set(CHECKPOINT_CONF, named)
     return named
 
 
@@ -45,7 +41,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a reduced frame to the shared folder and read it back.
 
     Later plans start from the written rows: they do not repeat the scan, they
@@ -53,5 +49,5 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     chooses between a broadcast and a shuffled join.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
