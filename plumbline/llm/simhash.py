@@ -23,7 +23,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import hex16, id_text
@@ -99,21 +99,24 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
-def distance(fp: Column, reference: int) -> Column:
-    return F.bit_count(fp.bitwiseXOR(F.lit(_signed(reference)))).cast("byte")
-
-
 def distance_table(fps: DataFrame) -> DataFrame:
     """``fp``, its distances ``d`` to all references, and the six ``cells`` it lies in."""
-    fp = F.col("fp")
-    table = fps.select(
-        fp, F.array(distance(fp, 0), *(distance(fp, r) for block in REFERENCES for r in block)).alias("d")
-    )
+    masks = [0, *(mask for block in REFERENCES for mask in block)]
+    distances = ", ".join(f"CAST(bit_count(fp ^ {_signed(mask)}L) AS TINYINT)" for mask in masks)
     differences = [
-        [F.col("d")[1 + block * PER_BLOCK + i] - F.col("d")[0] for i in range(PER_BLOCK)] for block in range(BLOCKS)
+        ", ".join(f"d[{1 + block * PER_BLOCK + i}] - d[0]" for i in range(PER_BLOCK)) for block in range(BLOCKS)
     ]
-    cells = [F.xxhash64(F.lit(i), *differences[p], *differences[q]) for i, (p, q) in enumerate(PAIRS)]
-    return table.select("fp", "d", F.array(*cells).alias("cells"))
+    cells = ", ".join(f"xxhash64({i}, {differences[p]}, {differences[q]})" for i, (p, q) in enumerate(PAIRS))
+    return fps.selectExpr("fp", f"array({distances}) AS d").selectExpr("fp", "d", f"array({cells}) AS cells")
+
+
+def _flips() -> str:
+    """For each pair of blocks, zero and the single bits of the two other blocks."""
+    rows = []
+    for pair in PAIRS:
+        free = [1 << i for i in range(64) if i // BLOCK_BITS not in pair]
+        rows.append("array(" + ", ".join(f"{_signed(bit)}L" for bit in (0, *free)) + ")")
+    return f"array({', '.join(rows)})"
 
 
 def links(fps: DataFrame, cell_limit: int = 256) -> DataFrame:
@@ -140,10 +143,8 @@ def links(fps: DataFrame, cell_limit: int = 256) -> DataFrame:
         & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS),
     ).select("a", "b")
     large = members.join(sizes.filter(F.col("size") > cell_limit), ["pair", "cell"]).select("pair", "cell", "fp")
-    fixed = [sum(((1 << BLOCK_BITS) - 1) << (BLOCK_BITS * block) for block in pair) for pair in PAIRS]
-    flips = F.array(*(F.array(*(F.lit(_signed(1 << i)) for i in range(64) if not mask >> i & 1)) for mask in fixed))
     stars = (
-        large.withColumn("flip", F.explode(F.concat(F.array(F.lit(0).cast("long")), flips[F.col("pair")])))
+        large.withColumn("flip", F.explode(F.expr(f"{_flips()}[pair]")))
         .select("pair", "cell", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("middle"))
         .groupBy("pair", "cell", "middle")
         .agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all"))
