@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import packing, simhash
+from plumbline.llm import block_knn, hash_tree, katz, line_join, noisy_channel, packing, simhash, suffix_match, token_files
 from plumbline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,3 +28,51 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("closes", "ids")
+
+
+@query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_files.digest(token_files.read(spark, token_files.write(docs, token_files.new_path(spark))))
+
+
+@query
+def op6_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_tree.assign(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_suffix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return suffix_match.digest(suffix_match.matches(docs, benchmark))
+
+
+@query
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_block_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return block_knn.nearest(rows, rows["vec_id"] % 100 == 0)
+
+
+@query
+def op9_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_join.remove_lines(table(spark, sf_dir, "documents"))
+    body = F.coalesce("text", F.lit("")).cast("binary")
+    return cut.select(
+        "doc_id",
+        F.col("lines_total").cast("long"),
+        F.col("lines_removed").cast("long"),
+        F.octet_length(body).cast("long").alias("kept_bytes"),
+        F.crc32(body).alias("kept_crc32"),
+    )
+
+
+@query
+def op10_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = noisy_channel.fit(docs, table(spark, sf_dir, "labels"))
+    return noisy_channel.score(docs, model).drop("row")
