@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import block_knn, hash_tree, katz, line_join, noisy_channel, packing, simhash, suffix_match, token_files
+from plumbline.llm import block_knn, dom_boost, hash_tree, katz, line_join, noisy_channel, packing, simhash, suffix_match, token_files
 from plumbline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,9 @@ def op10_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = noisy_channel.fit(docs, table(spark, sf_dir, "labels"))
     return noisy_channel.score(docs, model).drop("row")
+
+
+@query
+def op4_dom_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return dom_boost.extract(pages, dom_boost.fit(pages))

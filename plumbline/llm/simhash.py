@@ -174,3 +174,160 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+# Near copies at a similarity --------------------------------------------------------------
+
+SAMPLES, SAMPLE = 16, 4
+WIDE = 24
+_MULTIPLIERS = [(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) | 1 for i in range(SAMPLES)]
+_SKETCH = "doc_id long, key long, node long, fp long, samples array<long>"
+
+
+def _sample_fingerprints(hashes: np.ndarray) -> list[int]:
+    """SimHash fingerprints of samples of a set of shingles: its lowest hashes under each multiplier."""
+    out = []
+    for multiplier in _MULTIPLIERS:
+        with np.errstate(over="ignore"):
+            mixed = hashes * np.uint64(multiplier)
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        lowest = np.argpartition(mixed, SAMPLE - 1)[:SAMPLE] if len(hashes) > SAMPLE else slice(None)
+        out.append(simhash(np.sort(hashes[lowest])))
+    return out
+
+
+def _sketches(rows: DataFrame, words: int) -> DataFrame:
+    """For every row, its set of shingles as ``node``, the set's fingerprint and its samples' fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(body.as_py(), words)) for body in batch.column("body")]
+            nodes = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in found]
+            columns = [
+                batch.column("doc_id"),
+                batch.column("key"),
+                pa.array(nodes, pa.int64()),
+                pa.array([simhash(s) for s in found], pa.int64()),
+                pa.array([_sample_fingerprints(s) if len(s) else [] for s in found], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "node", "fp", "samples"])
+
+    return rows.mapInArrow(run, _SKETCH)
+
+
+def _sets(rows: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(body.as_py(), words)).tobytes() for body in batch.column("body")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array(found, pa.binary())], names=["node", "shingles"]
+            )
+
+    return rows.mapInArrow(run, "node long, shingles binary")
+
+
+def _similar(similarity: float):
+    """The pairs whose whole sets of shingles reach the Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
+                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, places: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` of nodes that reach the similarity; sets are read again only for nodes in pairs."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = settle(places.join(wanted, "node"), "wanted")
+    same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["key"] == wanted["key"])
+    bodies = rows.join(wanted, same).select("node", "body").dropDuplicates(["node"])
+    sets = settle(_sets(bodies, words), "shingle-sets")
+    joined = (
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
+        .select("a", "b", "left", "right")
+    )
+    return settle(joined.mapInArrow(_similar(similarity), "a long, b long"), "similar")
+
+
+def similar_classes(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``doc_id, key, class_id, first``: classes of rows whose shingle sets are similar.
+
+    Fingerprints of whole texts are far apart in many bits long before the Jaccard
+    similarity of their sets falls below 0.8, so candidates come from fingerprints of
+    samples: the four lowest shingles under each of sixteen hashes. Two sets at similarity
+    0.8 share at least one of the sixteen with a probability above 0.999. In a group with one
+    sample fingerprint every set is held against the group's least and greatest set, the
+    distance table of the whole fingerprints discards pairs that differ by more than
+    ``WIDE`` bits in any coordinate, and survivors are verified on their whole sets, first
+    each set with its most frequent partner, then what still joins different classes.
+
+    Equal sets are one node and are never paired. ``class_id`` is the smallest document id of
+    the class and ``first`` marks the one row of the class that stays: the one with the
+    smallest id, then the least key (the hash of the text). Of rows equal in both, all are
+    marked. Rows without a word are one class; null texts are empty, and a null id comes
+    first.
+    """
+    rows = id_text(docs, id_col, text_col).select("doc_id", F.xxhash64("body").alias("key"), "body")
+    marked = settle(_sketches(rows, words), "sketches")
+    nodes = marked.groupBy("node").agg(
+        F.min(F.struct("doc_id", "key")).alias("place"), F.first("fp").alias("fp"), F.first("samples").alias("samples")
+    )
+    nodes = settle(nodes, "nodes")
+    places = nodes.select("node", "place.*")
+    spread = nodes.select("node", F.posexplode("samples").alias("sample", "value"))
+    ends = spread.groupBy("sample", "value").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    tied = spread.join(ends, ["sample", "value"]).select("node", F.explode(F.array("low", "high")).alias("hub"))
+    pairs = tied.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("times"))
+    table = distance_table(nodes.select("fp").distinct()).select("fp", "d")
+    near = nodes.select("node", "fp").join(table, "fp").select("node", "d")
+    apart = F.array_max(F.zip_with("d", "hub_d", lambda x, y: F.abs(x - y)))
+    pairs = pairs.join(near, "node").join(near.select(F.col("node").alias("hub"), F.col("d").alias("hub_d")), "hub")
+    pairs = settle(pairs.filter(apart <= WIDE).select("node", "hub", "times"), "partners")
+    first = pairs.groupBy("node").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
+    first = settle(first.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
+    edges = _verified(first, rows, places, words, similarity)
+    roots = settle(components(edges, "similar-stars"), "roots")
+    rest = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    rest = rest.join(first, ["a", "b"], "left_anti")
+    rest = rest.join(roots.selectExpr("node AS a", "root AS ra"), "a", "left").join(
+        roots.selectExpr("node AS b", "root AS rb"), "b", "left"
+    )
+    rest = settle(rest.filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), "pairs")
+    edges = edges.unionByName(_verified(rest, rows, places, words, similarity))
+    roots = components(edges, "similar-stars")
+    named = settle(places.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    classes = named.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.min("doc_id").alias("class_id"))
+    of_node = named.select("node", "root").join(classes, "root").select("node", "class_id", "least")
+    # A node's place is its least row, so the class's least place is the row that stays.
+    return marked.select("doc_id", "key", "node").join(of_node, "node").select(
+        "doc_id",
+        "key",
+        "class_id",
+        (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("key") == F.col("least.key"))).alias("first"),
+    )
+
+
+def one_of_each(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that stay when of each class of near copies one row is kept.
+
+    Rows with equal id and text are one row here, and one of them stays.
+    """
+    classes = settle(similar_classes(docs, words, similarity, id_col, text_col), "classes")
+    gone = classes.filter("NOT first").select("doc_id", "key").distinct()
+    body = F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary")
+    same = docs[id_col].cast("long").eqNullSafe(gone["doc_id"]) & (F.xxhash64(body) == gone["key"])
+    kept = docs.join(gone, same, "left_anti")
+    repeated = classes.filter("first").groupBy("doc_id", "key").count().filter("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])
