@@ -38,8 +38,8 @@ from plumbline.session import scratch_path, settle
 
 GT_MAX = 5
 TOP_DISCOUNT = 1 - 1e-6
-BLOCK_TOKENS = 2_500_000
-KEYS_PER_PART = 3_000_000
+BLOCK_TOKENS = 1_000_000
+KEYS_PER_PART = 1_500_000
 END, BEGIN = np.uint64(0), np.uint64(1)
 FOLDS, HELD_OUT = 7, 2
 
