@@ -10,14 +10,11 @@ to the library as a whole.
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
-MEMO = 600_000
-_WHITE = "\t-\r\x1c-\x20\x85\xa0  -     　"
-# A piece must be one run of other characters: no white space but single spaces and newlines between runs.
-_IRREGULAR = re.compile(f"^[{_WHITE}]|[{_WHITE}]$|[{_WHITE}][{_WHITE}]|[^\\S \n]|\0")
+MEMO = 800_000
+JOINED = 2000
 _WORKER: dict[str, TextEncoder] = {}
 
 
@@ -38,32 +35,74 @@ class TextEncoder:
         self.spaced = len(self.tokenizer.encode("\n", add_special_tokens=False).ids) > 0
         self.memo: dict[str, bytes] = {}
 
+        texts = {token: i for token, i in self.tokenizer.get_vocab().items()}
+        self.edge = np.zeros(max(texts.values()) + 1, bool)
+        mark = "\u0120" if self.spaced else "</w>"  # the space before a word, or its end
+        self.signs = {sign: self._ids([sign])[0] for sign in ",."}
+        self.edge[[i for t, i in texts.items() if (t.startswith(mark) if self.spaced else t.endswith(mark))]] = True
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(one.ids, "<u4").tobytes() for one in found]
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, encoded together and cut where words begin or end."""
+        lead = " " if self.spaced else ""
+        out: list[bytes] = []
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode(lead + " ".join(some), add_special_tokens=False).ids, "<u4")
+            edges = np.flatnonzero(self.edge[ids])
+            cuts = edges if self.spaced else np.concatenate(([0], edges + 1))
+            if len(edges) != len(some) or (self.spaced and edges[0] != 0) or (not self.spaced and cuts[-1] != len(ids)):
+                out += self._ids([lead + word for word in some])
+                continue
+            ends = [*cuts[1:], len(ids)] if self.spaced else cuts[1:]
+            whole = ids.tobytes()
+            starts = cuts if self.spaced else cuts[:-1]
+            out += [whole[4 * i : 4 * j] for i, j in zip(starts.tolist(), list(map(int, ends)), strict=True)]
+        return out
+
     def _learn(self, pieces: list[str]) -> None:
+        """Add new pieces to the memo; a comma or full stop after a word is a piece of its own to the tokenizer."""
+        stems = {p: p[:-1] for p in pieces if p[-1] in ",." and p[:-1].isalpha()}
+        plain = [p for p in pieces if p not in stems]
+        words = [p for p in plain if p.isalpha()]
+        others = [p for p in plain if not p.isalpha()]
+        words += {w for w in stems.values() if w not in self.memo}.difference(words)
+        self.memo.update(zip(words, self._word_ids(words), strict=True))
         if self.spaced:  # "\0x" is x at the start of the text or a line, "x" is x after a space
-            texts = [p[1:] if p[0] == "\0" else p if p == "\n" else " " + p for p in pieces]
+            texts = [p[1:] if p[0] == "\0" else p if p == "\n" else " " + p for p in others]
         else:
-            texts = pieces
-        self.memo.update(zip(pieces, self._ids(texts), strict=True))
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _IRREGULAR.search(text):
-            return self._ids([text])[0]
+            texts = others
+        self.memo.update(zip(others, self._ids(texts), strict=True))
+        self.memo.update({p: self.memo[w] + self.signs[p[-1]] for p, w in stems.items()})
+
+    def _pieces(self, text: str) -> list[str] | None:
+        """The pieces of a text, or None where white space does not stand alone between words."""
+        words = text.split()
+        if len(words) != text.count(" ") + text.count("\n") + 1 or "\0" in text:
+            return None
         if self.spaced:
-            pieces = ("\0" + text.replace("\n", " \n \0")).split(" ")
-        else:
-            pieces = text.replace("\n", " ").split(" ")
+            return ("\0" + text.replace("\n", " \n \0")).split(" ")
+        return words
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO:
             self.memo = {}
-        new = set(pieces).difference(self.memo)
+        each = [self._pieces(text) if text else [] for text in texts]
+        new: set[str] = set()
+        for pieces in each:
+            if pieces:
+                new.update(pieces)
+        new.difference_update(self.memo)
         if new:
             self._learn(list(new))
-        return b"".join(map(self.memo.__getitem__, pieces))
+        known = self.memo.__getitem__
+        return [
+            b"".join(map(known, pieces)) if pieces is not None else self._ids([text])[0]
+            for pieces, text in zip(each, texts, strict=True)
+        ]
 
 
 def encoder(vocabulary: str) -> TextEncoder:

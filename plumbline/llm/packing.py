@@ -23,6 +23,7 @@ from plumbline.llm.encode import encoder
 from plumbline.session import settle
 
 WINDOW = 2048
+MAX_BROADCAST_ROWS = 1_000_000
 _ENCODED = "doc_id long, part int, place long, n long, ids binary"
 _PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -43,7 +44,8 @@ def encoded(
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                ids = [encode(body.as_py().decode("utf-8", "replace")) + end for body in some.column("body")]
+                texts = [body.decode("utf-8", "replace") for body in some.column("body").to_pylist()]
+                ids = [one + end for one in encode(texts)]
                 n = np.fromiter(map(len, ids), np.int64) // 4
                 places = place + np.cumsum(n) - n
                 place += int(n.sum())
@@ -106,7 +108,10 @@ def cut(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         pa.field("ids", pa.binary()),
     ]
     names = [f.name for f in fields]
-    placed = rows.join(bases(rows), "part").select("doc_id", "base", "place", "n", "ids")
+    first = settle(bases(rows), "bases")
+    # One row of two numbers for each partition of the input; beyond a million of them Spark chooses the join.
+    first = F.broadcast(first) if first.count() <= MAX_BROADCAST_ROWS else first
+    placed = rows.join(first, "part").select("doc_id", "base", "place", "n", "ids")
     return placed.mapInArrow(run, _PIECES)
 
 

@@ -39,7 +39,7 @@ def cases(odd):
         text = [rng.choice(vocabulary + ["x", "y"]) for _ in range(rng.randint(0, 80))]
         if rng.random() < 0.6:
             at = rng.randint(0, len(text))
-            text[at:at] = rng.choice(items)[1].upper().split(" ") if rng.choice(items)[1] else []
+            text[at:at] = (rng.choice(items)[1] or "").upper().split()
         docs.append((i, ", ".join(text)))
     docs.append((60, "Has an item without an id that has just more than ten words in it, and 漢字 Ünï two"))
     return docs, items
