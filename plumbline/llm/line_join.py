@@ -15,7 +15,8 @@ matches is found, so this leaves the result of the exact join.
 
 All of it is DataFrame expressions. Rarity is the number of occurrences of a word's hash
 class, of which there are 65,536 at any input size; any fixed order of the words keeps the
-join exact, and a word is told apart from others by 56 bits of its hash.
+join exact. The index tells words apart by 56 bits of their hash and sets of words by 64; candidates
+are verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import settle
+from plumbline.session import discard, settle
 
 SIMILARITY_PERCENT = 80
 MIN_WORDS = 5
@@ -76,33 +77,57 @@ def _fits(t: int) -> str:
     )
 
 
-def _side(found: DataFrame, name: str, *keep: str) -> DataFrame:
-    return found.select("word", *keep, *(F.col(c).alias(f"{name}_{c}") for c in ("line", "place", "n", "at")))
-
-
-def _candidates(index: DataFrame, unsettled: DataFrame | None, percent: int) -> DataFrame:
-    """Different pairs ``a_line, b_line`` of lines that share a prefix word and pass the filters, ``b``
-    earlier than ``a``: with the earliest line of each word's group, or, for ``unsettled`` lines,
-    with all earlier lines of the group."""
-    if unsettled is None:
-        pairs = _side(index, "a", "first").select("*", *(F.col(f"first.{c}").alias(f"b_{c}") for c in ("line", "place", "n", "at")))
-        pairs = pairs.filter("b_place < a_place")
-    else:
-        later = _side(index.join(unsettled, "line", "left_semi"), "a").withColumnRenamed("word", "a_word")
-        earlier = _side(index, "b").withColumnRenamed("word", "b_word")
-        fits = F.expr(f"a_word = b_word AND b_place < a_place AND {_fits(percent)}")
-        pairs = later.join(earlier, fits)
-    return pairs.filter(F.expr(_fits(percent))).select("a_line", "b_line").distinct()
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The lines ``line`` of the pairs whose whole sets are similar enough."""
-    a = sets.select(F.col("line").alias("a_line"), F.col("words").alias("a_words"))
-    b = sets.select(F.col("line").alias("b_line"), F.col("words").alias("b_words"))
-    common = F.size(F.array_intersect("a_words", "b_words"))
-    union = F.size("a_words") + F.size("b_words") - common
-    found = pairs.join(a, "a_line").join(b, "b_line").filter(common * 100 >= union * percent)
-    return found.select(F.col("a_line").alias("line")).distinct()
+def _first_partner(index: DataFrame, percent: int) -> DataFrame:
+    """``a_line, b_line``: each line with the line that most of its words' groups begin with, among
+    those that pass the filters."""
+    pairs = index.filter("line <> first.line").selectExpr(
+        "line AS a_line", "first.line AS b_line", "n AS a_n", "first.n AS b_n", "at AS a_at", "first.at AS b_at"
+    )
+    counted = pairs.filter(F.expr(_fits(percent))).groupBy("a_line", "b_line").agg(F.count("*").alias("words"))
+    best = counted.groupBy("a_line").agg(F.max(F.struct("words", "b_line")).alias("best"))
+    return best.select("a_line", F.col("best.b_line").alias("b_line"))
+
+
+def _all_partners(index: DataFrame, unsettled: DataFrame, percent: int) -> DataFrame:
+    """Different pairs of the ``unsettled`` lines and all earlier lines of their words' groups that pass the filters."""
+    columns = ("line", "doc_id", "pos", "n", "at")
+    a = index.join(unsettled, "line", "left_semi").select("word", *(F.col(c).alias(f"a_{c}") for c in columns))
+    b = index.select(F.col("word").alias("b_word"), *(F.col(c).alias(f"b_{c}") for c in columns))
+    earlier = F.struct("b_doc_id", "b_pos", "b_line") < F.struct(
+        F.col("a_doc_id").alias("b_doc_id"), F.col("a_pos").alias("b_pos"), F.col("a_line").alias("b_line")
+    )
+    fits = (F.col("word") == F.col("b_word")) & earlier & F.expr(_fits(percent))
+    return a.join(b, fits).select("a_line", "b_line").distinct()
+
+
+def _texts(pairs: DataFrame, firsts: DataFrame, rows: DataFrame) -> DataFrame:
+    """``line, body``: the words of the lines in ``pairs``, from the documents of their first places."""
+    lines = pairs.select(F.explode(F.array("a_line", "b_line")).alias("line")).distinct()
+    places = firsts.select("line", "doc_id", "key", "pos").join(lines, "line")
+    places = places.groupBy("doc_id", "key").agg(F.collect_list(F.struct("pos", "line")).alias("wanted"))
+    same = rows["doc_id"].eqNullSafe(places["doc_id"]) & (rows["key"] == places["key"])
+    found = rows.join(places, same).select(F.explode("wanted").alias("place"), F.split("text", "\n").alias("lines"))
+    return found.select("place.line", F.get("lines", F.col("place.pos")).alias("body"))
+
+
+def _matched(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The lines ``line`` of the pairs whose whole sets of words are similar enough."""
+    texts = settle(_texts(pairs, firsts, rows).dropDuplicates(["line"]), "line-texts", compression="zstd")
+    words = _WORDS.replace("line", "body")
+    joined = (
+        pairs.join(texts.withColumnRenamed("line", "b_line").withColumnRenamed("body", "b_body"), "b_line")
+        .join(texts.withColumnRenamed("line", "a_line").withColumnRenamed("body", "a_body"), "a_line")
+        .selectExpr(
+            "a_line AS line",
+            f"array_distinct({words.replace('body', 'a_body')}) AS a",
+            f"array_distinct({words.replace('body', 'b_body')}) AS b",
+        )
+        .selectExpr("line", "size(array_intersect(a, b)) AS common", "size(a) + size(b) AS total")
+    )
+    similar = joined.filter(f"common * 100 >= (total - common) * {percent}").select("line").distinct()
+    found = settle(similar, "matched")
+    discard(texts)
+    return found
 
 
 def later_matches(
@@ -114,56 +139,51 @@ def later_matches(
 ) -> DataFrame:
     """``doc_id, key, pos`` of every line that is to be removed.
 
-    A line goes if an earlier line, in the order of document id, text and position, has a
-    Jaccard similarity of ``percent`` or more. Lines below ``min_words`` words take no part.
-    Rows with equal id and text lose the same lines, those that the first of them loses. A
-    null id comes before all others, a null text has one empty line.
+    A line goes if an earlier line, in the order of document id and position, has a Jaccard
+    similarity of ``percent`` or more. Lines below ``min_words`` words take no part. Rows with
+    equal id and text lose the same lines, those that the first of them loses; of different
+    texts that share an id, lines at one position stand in the order of their hash. A null
+    id comes before all others, a null text has one empty line.
     """
     rows = _numbered(docs, id_col, text_col)
-    ranks = _ranks(rows)
-    sets = line_sets(rows, ranks, min_words).withColumn("line", F.xxhash64("words"))
+    sets = line_sets(rows, _ranks(rows), min_words)
     prefix = "slice(words, 1, " + _prefix(percent).replace("n", "size(words)") + ")"
     lines = settle(
         sets.selectExpr(
-            "doc_id", "key", "pos", "line", "xxhash64(1, words) AS check", "size(words) AS n", f"{prefix} AS prefix"
+            "doc_id", "key", "pos", "xxhash64(words) AS line", "size(words) AS n", f"{prefix} AS prefix"
         ),
         "lines",
         compression="zstd",
     )
-    place = F.struct("doc_id", "key", "pos")
-    firsts = lines.groupBy("line", "check").agg(
+    place = F.struct("doc_id", "pos", "key")
+    firsts = lines.groupBy("line").agg(
         F.min(place).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
     )
-    spread = firsts.select("line", "place", "n", F.posexplode("prefix").alias("at", "word"))
+    firsts = settle(firsts.select("line", "place.*", "n", "prefix"), "firsts", compression="zstd")
+    slim = settle(lines.select("doc_id", "key", "pos", "line"), "line-places", compression="zstd")
+    discard(lines)
+    spread = firsts.select("line", "doc_id", "pos", "n", F.posexplode("prefix").alias("at", "word"))
     group = Window.partitionBy("word")
-    here = F.struct("place", "line", "n", "at")
+    here = F.struct("doc_id", "pos", "line", "n", "at")
     index = spread.withColumns({"first": F.min(here).over(group), "size": F.count("*").over(group)})
-    index = settle(index.filter("size > 1").drop("size"), "shared-words", compression="zstd")
-
-    pairs = settle(_candidates(index, None, percent), "pairs")
-    known = settle(_sets_of(pairs, index, rows, ranks, min_words), "sets", compression="zstd")
-    settled = settle(_verified(pairs, known, percent), "matched")
-    unsettled = index.select("line").distinct().join(settled, "line", "left_anti")
-    more = settle(_candidates(index, settle(unsettled, "unsettled"), percent).join(pairs, ["a_line", "b_line"], "left_anti"), "pairs")
-    known = settle(_sets_of(more, index, rows, ranks, min_words), "sets", compression="zstd")
-    matched = settle(settled.unionByName(_verified(more, known, percent)), "matched")
-
-    slim = lines.select("doc_id", "key", "pos", "line", "check")
-    least = slim.groupBy("line", "check").agg(F.min(place).alias("place"))
-    copies = slim.join(least, ["line", "check"]).filter(place != F.col("place"))
+    index = index.filter("size > 1").withColumn("first", F.struct("first.line", "first.n", "first.at")).drop("size")
+    index = settle(index, "shared-words", compression="zstd")
+    discard()
+    pairs = settle(_first_partner(index, percent), "pairs", compression="zstd")
+    first = _matched(pairs, firsts, rows, percent)
+    unsettled = settle(index.select("line").distinct().join(first, "line", "left_anti"), "unsettled")
+    more = _all_partners(index, unsettled, percent).join(pairs, ["a_line", "b_line"], "left_anti")
+    more = settle(more, "pairs", compression="zstd")
+    discard(pairs, index, unsettled)
+    matched = first.unionByName(_matched(more, firsts, rows, percent))
+    discard(more)
+
+    least = firsts.select("line", F.struct("doc_id", "pos", "key").alias("least"))
+    copies = slim.join(least, "line").filter(place != F.col("least"))
     near = slim.join(matched, "line", "left_semi")
     return copies.select("doc_id", "key", "pos").unionByName(near.select("doc_id", "key", "pos")).distinct()
 
 
-def _sets_of(pairs: DataFrame, index: DataFrame, rows: DataFrame, ranks: bytes, min_words: int) -> DataFrame:
-    """``line, words`` of the lines in ``pairs``, read again from the documents of their first places."""
-    wanted = pairs.select(F.col("a_line").alias("line")).unionByName(pairs.select(F.col("b_line").alias("line"))).distinct()
-    places = index.join(wanted, "line", "left_semi").select("place.doc_id", "place.key").distinct()
-    same = (rows["doc_id"].eqNullSafe(places["doc_id"])) & (rows["key"] == places["key"])
-    sets = line_sets(rows.join(places, same, "left_semi"), ranks, min_words).withColumn("line", F.xxhash64("words"))
-    return sets.select("line", "words").join(wanted, "line", "left_semi").dropDuplicates(["line"])
-
-
 def remove_lines(
     docs: DataFrame,
     percent: int = SIMILARITY_PERCENT,
