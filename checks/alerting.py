@@ -216,7 +216,7 @@ def _(spark, sf):
 @query(
     "a15_dashboard_summary",
     f"""{ALL_ALERTS} SELECT max(w) AS last_batch, max(w) + INTERVAL '1' DAY AS last_updated,
-      (SELECT least(count(*), 50) FROM al) AS total_alerts FROM fe""",
+      (SELECT count(*) FROM al) AS total_alerts FROM fe""",
 )
 def _(spark, sf):
     r = report(spark, sf)

@@ -23,10 +23,17 @@ def _late(df: DataFrame) -> DataFrame:
 
 
 def _registry(spark: SparkSession, sf: str, *names: str) -> registry.BaselineRegistry:
-    """A fresh registry with the early rows under each of the names."""
+    """A fresh registry with all rows under each of the names."""
     kept = registry.BaselineRegistry(spark, scratch_path(spark, "registry"))
     for name in names:
-        kept.register(name, _early(feature_events(spark, sf)), ["event_id"])
+        kept.register(name, feature_events(spark, sf), ["event_id"])
+    return kept
+
+
+def _early_registry(spark: SparkSession, sf: str) -> registry.BaselineRegistry:
+    """A fresh registry with the early rows as ``v1``, for comparison with the late ones."""
+    kept = registry.BaselineRegistry(spark, scratch_path(spark, "registry"))
+    kept.register("v1", _early(feature_events(spark, sf)), ["event_id"])
     return kept
 
 
@@ -49,7 +56,7 @@ def _stats_cte(table: str, out: str) -> str:
 
 
 STATS_SQL = (
-    f"WITH {FE}, {EARLY}, {_stats_cte('early', 'st')} SELECT feature, total, count, null_count, {q6('mean')} AS mean, "
+    f"WITH {FE}, {_stats_cte('fe', 'st')} SELECT feature, total, count, null_count, {q6('mean')} AS mean, "
     f"{q6('std')} AS std, {q6('p5')} AS p5, {q6('p95')} AS p95, CAST(least(count, 200) AS INT) AS sample_size FROM st"
 )
 
@@ -71,9 +78,9 @@ def _(spark, sf):
 
 @query(
     "b2_get_baseline",
-    f"""WITH {FE}, {EARLY}, t AS (SELECT count(*) AS n FROM early)
+    f"""WITH {FE}, t AS (SELECT count(*) AS n FROM fe)
     SELECT 'device_type' AS feature, device_type AS category, count(*) AS n, {q6('count(*) * 1.0e0 / max(t.n)')} AS frequency
-    FROM early CROSS JOIN t GROUP BY device_type""",
+    FROM fe CROSS JOIN t GROUP BY device_type""",
 )
 def _(spark, sf):
     return _registry(spark, sf, "v1").frequencies("v1").select("feature", "category", "n", r6("frequency"))
@@ -104,7 +111,7 @@ j AS (SELECT feature, abs(coalesce(c.mean, 0) - coalesce(b.mean, 0)) AS mean_shi
     f"{q6('null_delta')} AS null_delta, mean_shift > 2 * limit_std OR null_delta > 0.05 AS drift_signal FROM j",
 )
 def _(spark, sf):
-    numeric, _ = _registry(spark, sf, "v1").compare("v1", _late(feature_events(spark, sf)))
+    numeric, _ = _early_registry(spark, sf).compare("v1", _late(feature_events(spark, sf)))
     return numeric.select("feature", r6("mean_shift"), r6("std_ratio"), r6("null_delta"), "drift_signal")
 
 
@@ -130,7 +137,7 @@ c AS (SELECT DISTINCT device_type AS category FROM late WHERE device_type IS NOT
       (SELECT count(*) FROM (SELECT category FROM b EXCEPT SELECT category FROM c UNION ALL (SELECT category FROM c EXCEPT SELECT category FROM b))) > 0 AS drift_signal""",
 )
 def _(spark, sf):
-    _, categorical = _registry(spark, sf, "v1").compare("v1", _late(feature_events(spark, sf)))
+    _, categorical = _early_registry(spark, sf).compare("v1", _late(feature_events(spark, sf)))
     return categorical
 
 
@@ -162,7 +169,7 @@ def _(spark, sf):
 
 @query(
     "b7_registry_summary",
-    f"WITH {FE}, {EARLY} SELECT n.baseline_name, (SELECT count(*) FROM early) AS row_count, 5 AS features FROM (VALUES ('v1'), ('v2')) n(baseline_name)",
+    f"WITH {FE} SELECT n.baseline_name, (SELECT count(*) FROM fe) AS row_count, 5 AS features FROM (VALUES ('v1'), ('v2')) n(baseline_name)",
 )
 def _(spark, sf):
     return _registry(spark, sf, "v1", "v2").summary().drop("computed_at")
@@ -170,13 +177,23 @@ def _(spark, sf):
 
 @query(
     "b8_unknown_baseline",
-    "SELECT 'Baseline ''v9'' not found' AS error WHERE (SELECT count(*) FROM events) > 0",
+    f"""WITH {FE} SELECT device_type AS name, count(*) AS n, CASE WHEN device_type <> 'mobile' THEN 'Baseline ''' || device_type || ''' not found' END AS error
+    FROM fe WHERE device_type IS NOT NULL GROUP BY device_type""",
 )
 def _(spark, sf):
-    kept = _registry(spark, sf, "v1")
-    try:
-        kept.stats("v9")
-        error = ""
-    except ValueError as unknown:
-        error = str(unknown)
-    return kept.names().select(F.lit(error).alias("error"))
+    """Baselines are asked for by the table's device types, of which one is registered."""
+    events = feature_events(spark, sf)
+    kept = _registry(spark, sf, "mobile")
+    asked = events.where(F.col("device_type").isNotNull()).groupBy(F.col("device_type").alias("name")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+    def answer(name: str) -> str | None:
+        try:
+            kept.stats(name)
+        except ValueError as unknown:
+            return str(unknown)
+        return None
+
+    answers = [(row["name"], answer(row["name"])) for row in asked.select("name").collect()]
+    return asked.join(spark.createDataFrame(answers, "name string, error string"), "name")

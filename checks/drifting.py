@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.base import COLUMNS, FE, LNG, NUMERIC, PHASES, q6, query, r6, report
+from plumbline.functions.frames import complete_rows, long_numeric
 from plumbline.functions.scalars import psi_level
 from plumbline.operators import drift, mmd, stats
 from plumbline.operators.phases import WARMUP
@@ -34,13 +35,13 @@ complete AS (SELECT event_id, w, CAST(age AS DOUBLE) AS age, purchase_amount, CA
              FROM fe WHERE age IS NOT NULL AND purchase_amount IS NOT NULL AND session_duration IS NOT NULL
                        AND page_views IS NOT NULL)"""
 SIGMA = """
-smp AS (SELECT c.*, row_number() OVER (ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) AS i
-        FROM complete c WHERE w IN (SELECT w FROM ph WHERE phase = 'warmup')
-        ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT 500),
+wrm AS (SELECT *, md5(CAST(event_id AS VARCHAR)) AS h FROM complete WHERE w IN (SELECT w FROM ph WHERE phase = 'warmup')),
+bkt AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % greatest(1, (SELECT count(*) FROM wrm) // 100000) AS bucket FROM wrm),
+smp AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY h, event_id) AS i FROM bkt),
 pairs AS (SELECT (a.age - b.age) * (a.age - b.age) + (a.purchase_amount - b.purchase_amount) * (a.purchase_amount - b.purchase_amount)
                + (a.session_duration - b.session_duration) * (a.session_duration - b.session_duration)
                + (a.page_views - b.page_views) * (a.page_views - b.page_views) AS sq
-          FROM smp a JOIN smp b ON a.i < b.i),
+          FROM smp a JOIN smp b ON a.bucket = b.bucket AND a.i % 2 = 1 AND b.i = a.i + 1),
 sg AS (SELECT coalesce(sqrt(quantile_cont(sq, 0.5) / 2), 1.0e0) AS sigma FROM pairs WHERE sq > 0)"""
 SCALE = repr(math.sqrt(2.0 / D)) + "e0"
 ZS = f"""
@@ -73,14 +74,20 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "d2_random_draws",
-    f"WITH {draws_sql(4)} SELECT d, (SELECT count(*) FROM events) AS n_events, {q6('u0')} AS u0, {q6('u3')} AS u3, {q6('b')} AS bias FROM draws",
+    f"""WITH {FE}, {COMPLETE}, {draws_sql(4)}, days AS (SELECT w, avg(age) AS m0, avg(purchase_amount) AS m1,
+      avg(session_duration) AS m2, avg(page_views) AS m3 FROM complete GROUP BY w)
+    SELECT w, d, {q6('m0 * u0 + m1 * u1 + m2 * u2 + m3 * u3 + b')} AS angle FROM days CROSS JOIN draws""",
 )
 def _(spark, sf):
-    events = feature_events(spark, sf)
-    omega = F.col("omega")
-    counted = events.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    return mmd.parameter_table(events, NUMERIC, MMD).select(
-        "d", counted.alias("n_events"), r6(omega[0], "u0"), r6(omega[3], "u3"), r6("bias")
+    """The draws applied to the mean complete row of every day: one angle per component."""
+    events = complete_rows(feature_events(spark, sf), NUMERIC)
+    days = events.groupBy("w").agg(F.array(*[F.avg(c) for c in NUMERIC]).alias("mean"))
+    draws = mmd.parameter_table(events, NUMERIC, MMD)
+    # The draws have a fixed number of rows, so each day carries them as one array.
+    packed = draws.agg(F.collect_list(F.struct("d", "omega", "bias")).alias("draws")).select("draws").scalar()
+    angle = F.aggregate(F.zip_with("mean", "draw.omega", lambda m, o: m * o), F.lit(0.0), lambda s, x: s + x)
+    return days.withColumn("draw", F.explode(packed)).select(
+        "w", "draw.d", r6(angle + F.col("draw.bias"), "angle")
     )
 
 
@@ -153,11 +160,11 @@ def _(spark, sf):
 
 # per-feature MMD ---------------------------------------------------------------------
 FEATURE_MMD = f"""
-fsmp AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) AS i
-         FROM lng WHERE w IN (SELECT w FROM ph WHERE phase = 'warmup')
-         QUALIFY i <= 500),
+fwrm AS (SELECT *, md5(CAST(event_id AS VARCHAR)) AS h FROM lng WHERE w IN (SELECT w FROM ph WHERE phase = 'warmup')),
+fbkt AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % greatest(1, (SELECT count(*) FROM fwrm) // 100000) AS bucket FROM fwrm),
+fsmp AS (SELECT *, row_number() OVER (PARTITION BY feature, bucket ORDER BY h, event_id) AS i FROM fbkt),
 fsg AS (SELECT a.feature, sqrt(quantile_cont((a.value - b.value) * (a.value - b.value), 0.5) / 2) AS sigma
-        FROM fsmp a JOIN fsmp b ON a.feature = b.feature AND a.i < b.i
+        FROM fsmp a JOIN fsmp b ON a.feature = b.feature AND a.bucket = b.bucket AND a.i % 2 = 1 AND b.i = a.i + 1
         WHERE (a.value - b.value) * (a.value - b.value) > 0 GROUP BY a.feature),
 fz AS (SELECT w, feature, d, count(*) AS n, sum(cos(value * u0 / sigma + b) * {SCALE}) AS z
        FROM lng JOIN fsg USING (feature) CROSS JOIN draws GROUP BY w, feature, d),
@@ -444,13 +451,14 @@ def _(spark, sf):
 
 @query(
     "j9_sample_pairs",
-    f"""WITH {FE}, {LNG}, smp AS (
-      SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) AS i FROM lng QUALIFY i <= 500)
+    f"""WITH {FE}, {LNG}, h AS (SELECT *, md5(CAST(event_id AS VARCHAR)) AS h FROM lng),
+    bkt AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % greatest(1, (SELECT count(*) FROM h) // 100000) AS bucket FROM h),
+    smp AS (SELECT *, row_number() OVER (PARTITION BY feature, bucket ORDER BY h, event_id) AS i FROM bkt)
     SELECT a.feature, {q6('sqrt(quantile_cont((a.value - b.value) * (a.value - b.value), 0.5) / 2)')} AS sigma
-    FROM smp a JOIN smp b ON a.feature = b.feature AND a.i < b.i
+    FROM smp a JOIN smp b ON a.feature = b.feature AND a.bucket = b.bucket AND a.i % 2 = 1 AND b.i = a.i + 1
     WHERE (a.value - b.value) * (a.value - b.value) > 0 GROUP BY a.feature""",
 )
 def _(spark, sf):
-    """Median pair distance of a bounded sample of every feature."""
-    sample = stats.value_sample(feature_events(spark, sf), [], NUMERIC, ["event_id"], MMD.sample_size)
-    return mmd.median_bandwidth(sample, ["value"], ["feature"]).select("feature", r6("sigma"))
+    """Median distance of the neighbouring pairs of all values of every feature."""
+    values = long_numeric(feature_events(spark, sf), ["event_id"], NUMERIC).where(F.col("value").isNotNull())
+    return mmd.feature_bandwidths(values, NUMERIC, ["event_id"]).select("feature", r6("sigma"))

@@ -21,6 +21,9 @@ LINE_LNG = "lng AS (" + " UNION ALL ".join(
 
 
 # projections and predicates ------------------------------------------------------
+DEVICES = ("mobile", "desktop", "tablet", "smartwatch")
+
+
 @query("p1_flatten_struct", f"WITH {FE} SELECT event_id, age, device_type FROM fe")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     nested = feature_events(spark, sf).select(F.struct("event_id", "age", "device_type").alias("d"))
@@ -111,7 +114,7 @@ def _(spark, sf):
     "p12_kpi_bands",
     f"""WITH {FE}, {ISSUES}, {VALIDITY}
     SELECT w, CASE WHEN validity_rate > 0.95 THEN 'ok' WHEN validity_rate > 0.8 THEN 'warn' ELSE 'crit' END AS validity_band,
-           CASE WHEN issue_count * 1.0e0 > 2 THEN 'crit' ELSE 'ok' END AS score_band
+           CASE WHEN 1 - row_validity_rate > 0.25 THEN 'crit' ELSE 'ok' END AS score_band
     FROM validity""",
 )
 def _(spark, sf):
@@ -119,7 +122,7 @@ def _(spark, sf):
     return validity.select(
         "w",
         validity_band(F.col("validity_rate")).alias("validity_band"),
-        mmd_band(F.col("issue_count").cast("double"), F.lit(2.0)).alias("score_band"),
+        mmd_band(1 - F.col("row_validity_rate"), F.lit(0.25)).alias("score_band"),
     )
 
 
@@ -339,14 +342,14 @@ def _(spark, sf):
     "f4_categorical_stats",
     f"""WITH {FE} SELECT w, 'device_type' AS feature, count(*) - count(device_type) AS null_count,
       {q6('(count(*) - count(device_type)) * 1.0e0 / count(*)')} AS null_rate, count(DISTINCT device_type) AS cardinality,
-      {q6("count(*) FILTER (WHERE device_type = 'mobile') * 1.0e0 / count(*)")} AS mobile
+      {", ".join(f"{q6(f"""count(*) FILTER (WHERE device_type = '{c}') * 1.0e0 / count(*)""")} AS {c}" for c in DEVICES)}
     FROM fe GROUP BY w""",
 )
 def _(spark, sf):
     counts = stats.category_counts(feature_events(spark, sf), W, ["device_type"])
     shares = stats.frequency_maps(stats.category_frequencies(counts, W), W)
     return stats.categorical_stats(counts, W).join(shares, ["w", "feature"]).select(
-        "w", "feature", "null_count", r6("null_rate"), "cardinality", r6(F.col("frequencies")["mobile"], "mobile")
+        "w", "feature", "null_count", r6("null_rate"), "cardinality", *[r6(F.coalesce(F.col("frequencies")[c], F.lit(0.0)), c) for c in DEVICES]
     )
 
 

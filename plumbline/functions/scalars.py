@@ -129,3 +129,29 @@ def validity_band(validity: Column) -> Column:
         .when(validity > 0.8, F.lit("warn"))
         .otherwise(F.lit("crit"))
     )
+
+
+def number_text(value: Column) -> Column:
+    """A rounded floating-point number as text: ``0.000421``, ``12500000.0``, ``1.2e-05``.
+
+    Numbers have at most six decimals. Below 1e-4 and from 1e16 on the exponent form with
+    two digits is used.
+    """
+    size = F.abs(value)
+    fixed = F.regexp_replace(value.cast("decimal(38,6)").cast("string"), r"(\.\d*?)0+$", "$1")
+    fixed = F.regexp_replace(fixed, r"\.$", ".0")
+    # Below 1e-4 there are one or two digits left of six decimals.
+    digits = F.round(size * 1000000).cast("long").cast("string")
+    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    first, second = F.substring(digits, 1, 1), F.substring(digits, 2, 1)
+    small = F.when(F.length(digits) == 1, F.concat(sign, digits, F.lit("e-06"))).otherwise(
+        F.concat(sign, first, F.when(second == "0", F.lit("")).otherwise(F.concat(F.lit("."), second)), F.lit("e-05"))
+    )
+    large = F.regexp_replace(F.regexp_replace(value.cast("string"), r"\.0E", "E"), "E", "e+")
+    return (
+        F.when(F.isnan(value), F.lit("nan"))
+        .when(size == float("inf"), F.concat(sign, F.lit("inf")))
+        .when(size >= 1e16, large)
+        .when((size > 0) & (F.round(size * 1000000) < 100), small)
+        .otherwise(fixed)
+    )

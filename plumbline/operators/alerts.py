@@ -7,10 +7,14 @@ window order. Candidates are reduced rows: at most one per key and window.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.functions.scalars import severity_from_mmd, severity_from_rate
+from plumbline.functions.scalars import number_text, severity_from_mmd, severity_from_rate
 from plumbline.operators.drift import MMD
 from plumbline.settings import AlertSettings
 
@@ -32,7 +36,7 @@ CANDIDATE_COLUMNS = ("alert_key", "alert_type", "severity", "what", "why", "metr
 
 
 def text_map(**columns: Column) -> Column:
-    """A map of the non-null columns as text."""
+    """A map of the non-null columns as text; ``number_text`` belongs around floating-point ones."""
     entries = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in columns.items()])
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
@@ -52,7 +56,7 @@ def validation_candidates(issues: DataFrame, window: str) -> DataFrame:
             feature=feature,
             issue_type=kind,
             count=F.col("count"),
-            rate=F.round(rate, 4),
+            rate=number_text(F.round(rate, 4)),
             rule=F.col("rule"),
             allowed=F.array_join("allowed", ", "),
         ).alias("details"),
@@ -70,7 +74,7 @@ def mmd_candidates(scores: DataFrame, window: str) -> DataFrame:
         F.format_string(MMD_WHAT, score, threshold).alias("what"),
         F.lit(MMD_WHY).alias("why"),
         score.alias("metric_value"),
-        text_map(threshold=F.round(threshold, 6), ratio=F.round("ratio", 3)).alias("details"),
+        text_map(threshold=number_text(F.round(threshold, 6)), ratio=number_text(F.round("ratio", 3))).alias("details"),
     )
 
 
@@ -89,8 +93,8 @@ def drift_candidates(report: DataFrame, window: str) -> DataFrame:
         F.format_string(DRIFT_WHY, upper).alias("why"),
         metric.alias("metric_value"),
         F.map_concat(
-            text_map(feature=feature, method=method, p_value=F.round("p_value", 6), level=F.col("level")),
-            F.transform_values("details", lambda _, v: F.round(v, 4).cast("string")),
+            text_map(feature=feature, method=method, p_value=number_text(F.round("p_value", 6)), level=F.col("level")),
+            F.transform_values("details", lambda _, v: number_text(F.round(v, 4))),
         ).alias("details"),
     )
 
@@ -111,47 +115,47 @@ def hysteresis(
 
     ``windows`` lists every window, so that one without a violation is seen and
     resets the count; no row per (key, good window) is built. ``ended_at`` is the
-    time of the window that the cooldown is measured on.
+    time of the window that the cooldown is measured on. Keys are spread over tasks,
+    and a task walks its candidates in order, in time linear in their number.
     """
-    numbered = candidates.join(number_windows(windows, window), window)
-    step = F.struct(
-        F.col("window_no"),
-        ended_at.cast("timestamp").cast("double").alias("at"),
-        F.col(window).alias("w"),
+    numbered = candidates.join(number_windows(windows, window), window).select(
+        "alert_key", window, "window_no", ended_at.cast("timestamp").cast("double").alias("at")
     )
-    steps = numbered.groupBy("alert_key").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    start = F.struct(
-        F.lit(0).alias("count"),
-        F.lit(None).cast("int").alias("seen"),
-        F.lit(None).cast("double").alias("fired_at"),
-        F.expr(f"CAST(array() AS array<struct<w:{_type_of(candidates, window)},violations:int,fired:boolean>>)").alias(
-            "out"
-        ),
+    ordered = numbered.repartition("alert_key").sortWithinPartitions("alert_key", "window_no")
+    fields = [numbered.schema["alert_key"], numbered.schema[window]]
+    folded = T.StructType(
+        [*fields, T.StructField("violations", T.IntegerType()), T.StructField("fired", T.BooleanType())]
     )
-
-    def advance(state: Column, item: Column) -> Column:
-        in_a_row = F.lit(not settings.reset_on_good) | (item["window_no"] == state["seen"] + 1)
-        count = F.when(in_a_row, state["count"]).otherwise(F.lit(0)) + F.lit(1)
-        cooling = F.coalesce(item["at"] - state["fired_at"] < settings.cooldown_seconds, F.lit(False))
-        fires = ~cooling & (count >= settings.required_consecutive)
-        return F.struct(
-            F.when(fires, F.lit(0)).otherwise(count).alias("count"),
-            item["window_no"].alias("seen"),
-            F.when(fires, item["at"]).otherwise(state["fired_at"]).alias("fired_at"),
-            F.concat(
-                state["out"],
-                F.array(
-                    F.struct(
-                        item["w"].alias("w"),
-                        F.when(fires, F.lit(0)).otherwise(count).alias("violations"),
-                        fires.alias("fired"),
-                    )
-                ),
-            ).alias("out"),
-        )
-
-    folded = steps.select("alert_key", F.aggregate("steps", start, advance, lambda s: s["out"]).alias("out"))
-    return folded.select("alert_key", F.inline("out").alias(window, "violations", "fired"))
+    return ordered.mapInArrow(_fold(window, settings), folded)
+
+
+def _fold(window: str, settings: AlertSettings):
+    """Walks the candidates of a partition in order with the state of one key at a time."""
+    required, cooldown, resets = settings.required_consecutive, settings.cooldown_seconds, settings.reset_on_good
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: tuple = ()
+        count, seen, fired_at = 0, None, None
+        for batch in batches:
+            keys, numbers, times = (batch.column(c).to_pylist() for c in ("alert_key", "window_no", "at"))
+            violations, fired = [], []
+            for key, number, at in zip(keys, numbers, times, strict=True):
+                if state != (key,):
+                    state, count, seen, fired_at = (key,), 0, None, None
+                count = count + 1 if not resets or (seen is not None and number == seen + 1) else 1
+                cooling = fired_at is not None and at - fired_at < cooldown
+                fires = not cooling and count >= required
+                if fires:
+                    count, fired_at = 0, at
+                seen = number
+                violations.append(count)
+                fired.append(fires)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("alert_key"), batch.column(window), pa.array(violations, pa.int32()), pa.array(fired, pa.bool_())],
+                names=["alert_key", window, "violations", "fired"],
+            )
+
+    return run
 
 
 def step_hysteresis(
@@ -176,10 +180,6 @@ def step_hysteresis(
     )
 
 
-def _type_of(df: DataFrame, column: str) -> str:
-    return df.schema[column].dataType.simpleString()
-
-
 def key_counters(
     folded: DataFrame, windows: DataFrame, window: str, settings: AlertSettings = AlertSettings()
 ) -> DataFrame:
@@ -236,8 +236,8 @@ def latest_metrics(metrics: DataFrame, window: str, settings: AlertSettings = Al
 def dashboard_summary(
     metrics: DataFrame, history: DataFrame, window: str, time: str, settings: AlertSettings = AlertSettings()
 ) -> DataFrame:
-    """One row: last_batch, last_updated, total_alerts (at most the alerts kept)."""
-    kept = history.agg(F.least(F.count(F.lit(1)), F.lit(settings.kept_alerts)).alias("n")).select("n").scalar()
+    """One row: last_batch, last_updated, total_alerts (all of them, however many a list keeps)."""
+    kept = history.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     return metrics.agg(
         F.max_by(window, F.struct(time, window)).alias("last_batch"), F.max(time).alias("last_updated")
     ).withColumn("total_alerts", kept)

@@ -7,21 +7,24 @@ the reference embedding is the sum over the warm-up windows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.frames import complete_rows, long_numeric
-from plumbline.functions.ranking import lowest_by
+from plumbline.functions.ranking import exact_median, lowest_by
 from plumbline.functions.scalars import clean, separation_ratio
 from plumbline.operators.phases import CALIBRATE, MONITORING, WARMUP
+from plumbline.session import settle
 from plumbline.settings import MmdSettings, PhaseSettings
 
 _FLUSH_WINDOWS = 4096
+PAIR_BUCKET_ROWS = 100_000
 
 
 def unit_draws(components: int, features: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +68,52 @@ def median_bandwidth(sample: DataFrame, features: Sequence[str], group: Sequence
     return positive.select(*group, F.coalesce(F.sqrt(middle / 2), F.lit(1.0)).alias("sigma"))
 
 
+def neighbour_pairs(
+    rows: DataFrame, features: Sequence[str], key: Sequence[str], group: Sequence[str] = ()
+) -> DataFrame:
+    """(group, squared): squared distances of pairs of rows that follow each other by key hash.
+
+    Every row is in one pair (the last of an odd bucket in none), so the pairs grow
+    with the rows and are as random as the hash. Rows are ordered in hash buckets
+    whose number follows from the row count; no task orders all of them.
+    """
+    hashed = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key]))
+    buckets = max(1, rows.count() // PAIR_BUCKET_ROWS)
+    placed = rows.withColumn("_hash", hashed).withColumn(
+        "_bucket", F.pmod(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long"), F.lit(buckets))
+    )
+    order = Window.partitionBy(*group, "_bucket").orderBy("_hash", *key)
+    point = F.struct(*[clean(f).alias(f) for f in features])
+    pairs = placed.select(
+        *group, point.alias("a"), F.lead(point).over(order).alias("b"), F.row_number().over(order).alias("_i")
+    ).where((F.col("_i") % 2 == 1) & F.col("b").isNotNull())
+    squared = sum(((F.col(f"a.{f}") - F.col(f"b.{f}")) * (F.col(f"a.{f}") - F.col(f"b.{f}")) for f in features), F.lit(0.0))
+    return pairs.select(*group, squared.alias("squared"))
+
+
+def bandwidth_of(pairs: DataFrame, squared: str = "squared") -> float:
+    """Square root of half the median positive squared distance of settled pairs, 1.0 without one."""
+    middle = exact_median(pairs.where(F.col(squared) > 0), squared)
+    return 1.0 if middle is None else math.sqrt(middle / 2)
+
+
 def bandwidth(df: DataFrame, features: Sequence[str], key: Sequence[str], settings: MmdSettings) -> DataFrame:
-    """(sigma) of the complete rows of ``df``, or the configured value."""
+    """(sigma) of all complete rows of ``df``, or of a sample if one is set, or the configured value."""
+    spark = df.sparkSession
     if settings.sigma is not None:
-        return df.sparkSession.range(1).select(F.lit(float(settings.sigma)).alias("sigma"))
+        return spark.range(1).select(F.lit(float(settings.sigma)).alias("sigma"))
     usable = complete_rows(df.select(*key, *[clean(f).alias(f) for f in features]), features)
-    return median_bandwidth(hash_sample(usable, key, settings.sample_size), features)
+    if settings.sample_size is not None:
+        return median_bandwidth(hash_sample(usable, key, settings.sample_size), features)
+    pairs = settle(neighbour_pairs(usable, features, key), "pairs")
+    return spark.range(1).select(F.lit(bandwidth_of(pairs)).alias("sigma"))
+
+
+def feature_bandwidths(values: DataFrame, features: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """(feature, sigma) of all rows of ``values`` (feature, value), one row per listed feature."""
+    pairs = settle(neighbour_pairs(values, ["value"], key, ["feature"]), "pairs")
+    rows = [(f, bandwidth_of(pairs.where(F.col("feature") == f))) for f in features]
+    return values.sparkSession.createDataFrame(rows, "feature string, sigma double").coalesce(1)
 
 
 def component_sums(
@@ -238,17 +281,18 @@ def feature_scores(
     feature alone, each with its own bandwidth from the warm-up rows."""
     placed = df.join(phases.select(window, "phase"), window)
     values = long_numeric(placed, [window, "phase", *key], features).where(F.col("value").isNotNull())
-    hashed = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key]))
-    sample = lowest_by(
-        values.where(F.col("phase") == WARMUP).withColumn("key_hash", hashed),
-        ["feature"],
-        [F.col("key_hash"), *[F.col(k) for k in key]],
-        settings.sample_size,
-    )
-    sigmas = median_bandwidth(sample, ["value"], ["feature"])
+    warm = values.where(F.col("phase") == WARMUP)
+    if settings.sample_size is None:
+        sigmas = feature_bandwidths(warm, features, key)
+    else:
+        hashed = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key]))
+        by = [F.col("key_hash"), *[F.col(k) for k in key]]
+        sample = lowest_by(warm.withColumn("key_hash", hashed), ["feature"], by, settings.sample_size)
+        sigmas = median_bandwidth(sample, ["value"], ["feature"])
     # One bandwidth per listed feature, so the broadcast has a known size.
     with_sigma = values.join(F.broadcast(sigmas), "feature")
     sums = component_sums(with_sigma, [window, "phase", "feature"], ["value"], F.col("sigma"), settings)
+    sums = settle(sums, "feature-sums")  # read twice, and far smaller than the table
     mean = mean_embedding(sums.where(F.col("phase") == WARMUP), ["feature"])
     return (
         sums.where(F.col("phase") != WARMUP)

@@ -1,14 +1,16 @@
 """Named feature baselines kept as tables.
 
-A registry is a folder with two kinds of data: ``stats/``, ``samples/`` and
-``frequencies/`` partitioned by (baseline_name, version), and ``log/``, to which
-every register and delete appends one small row. Readers look up the latest log
-row of a name and read that one partition. Nothing is rewritten in place, so a
-lost job leaves at most an unreferenced version behind.
+A registry is a folder with two kinds of data: ``data/``, where every register
+writes ``stats`` and ``frequencies`` below a new folder of its own, and ``log/``, to
+which every register and delete appends one small row. Readers look up the latest
+log row of a name and read the folder it points to. Nothing is rewritten in place
+and no name is part of a path, so a lost job, or one of two that register a name at
+once, leaves at most an unreferenced folder behind.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,6 +41,7 @@ _LOG = T.StructType(
         T.StructField("row_count", T.LongType()),
         T.StructField("features", T.IntegerType()),
         T.StructField("computed_at", T.TimestampType()),
+        T.StructField("folder", T.StringType()),
     ]
 )
 
@@ -130,7 +133,7 @@ class BaselineRegistry:
             return self.spark.createDataFrame([], _LOG)
 
     def _latest(self) -> DataFrame:
-        newest = Window.partitionBy("baseline_name").orderBy(F.desc("version"))
+        newest = Window.partitionBy("baseline_name").orderBy(F.desc("version"), F.desc("computed_at"), "folder")
         return self._log().withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
 
     def _current(self) -> DataFrame:
@@ -139,7 +142,7 @@ class BaselineRegistry:
     def _latest_row(self, name: str):
         return self._latest().where(F.col("baseline_name") == name).first()
 
-    def _append_log(self, name: str, version: int, action: str, rows: int | None) -> None:
+    def _append_log(self, name: str, version: int, action: str, rows: int | None, folder: str | None = None) -> None:
         features = len(self.numeric) + len(self.categorical)
         self.spark.range(1).select(
             F.lit(name).alias("baseline_name"),
@@ -148,10 +151,11 @@ class BaselineRegistry:
             F.lit(rows).cast("long").alias("row_count"),
             F.lit(features).alias("features"),
             F.current_timestamp().alias("computed_at"),
+            F.lit(folder).cast("string").alias("folder"),
         ).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
 
-    def _partition(self, part: str, name: str, version: int) -> str:
-        return f"{self.path}/{part}/baseline_name={name}/version={version}"
+    def _table(self, part: str, folder: str) -> str:
+        return f"{self.path}/data/{folder}/{part}"
 
     def register(self, name: str, df: DataFrame, key: Sequence[str], overwrite: bool = False) -> bool:
         """Compute and store a baseline; False if the name exists and is kept."""
@@ -161,13 +165,12 @@ class BaselineRegistry:
         version = known["version"] + 1 if known is not None else 1
         numeric = [c for c in self.numeric if c in df.columns]
         categorical = [c for c in self.categorical if c in df.columns]
-        snapshot(df, [], key, numeric).write.mode("overwrite").parquet(self._partition("stats", name, version))
+        folder = uuid.uuid4().hex
+        snapshot(df, [], key, numeric).write.parquet(self._table("stats", folder))
         counts = category_counts(df, [], categorical)
-        category_frequencies(counts, [], include_null=True).write.mode("overwrite").parquet(
-            self._partition("frequencies", name, version)
-        )
-        rows = self.spark.read.parquet(self._partition("stats", name, version)).agg(F.max("total")).first()[0]
-        self._append_log(name, version, "register", rows if rows is not None else 0)
+        category_frequencies(counts, [], include_null=True).write.parquet(self._table("frequencies", folder))
+        rows = self.spark.read.parquet(self._table("stats", folder)).agg(F.max("total")).first()[0]
+        self._append_log(name, version, "register", rows if rows is not None else 0, folder)
         return True
 
     def names(self) -> DataFrame:
@@ -180,7 +183,7 @@ class BaselineRegistry:
         known = self._latest_row(name)
         if known is None or known["action"] != "register":
             raise ValueError(f"Baseline '{name}' not found")
-        return self.spark.read.parquet(self._partition(part, name, known["version"])).withColumn(
+        return self.spark.read.parquet(self._table(part, known["folder"])).withColumn(
             "baseline_name", F.lit(name)
         )
 
@@ -192,9 +195,13 @@ class BaselineRegistry:
 
     def compare(self, name: str, df: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The numeric and the categorical comparison of a frame with a baseline."""
-        numeric = compare_numeric(self.stats(name), numeric_stats(df, [], self.numeric))
-        categorical = compare_categorical(self.frequencies(name), category_counts(df, [], self.categorical))
-        return numeric, categorical
+        # Columns that the frame lacks are not compared.
+        numeric, categorical = ([c for c in names if c in df.columns] for names in (self.numeric, self.categorical))
+        frequencies = self.frequencies(name).where(F.col("feature").isin(categorical))
+        return (
+            compare_numeric(self.stats(name), numeric_stats(df, [], numeric)),
+            compare_categorical(frequencies, category_counts(df, [], categorical)),
+        )
 
     def delete(self, name: str) -> bool:
         """Mark a name as deleted; False if there is none."""

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.scalars import number_text
+
 # Log levels and emoji of the severities, and the text layouts.
 LOG_LEVELS = {"low": "INFO", "medium": "WARNING", "high": "WARNING", "critical": "CRITICAL"}
 EMOJI = {
@@ -46,7 +48,7 @@ def iso_time(at: Column) -> Column:
 
 
 def value_text(value: Column) -> Column:
-    return F.coalesce(value.cast("string"), F.lit("None"))
+    return F.coalesce(number_text(value), F.lit("None"))
 
 
 def log_lines(history: DataFrame, window: str) -> DataFrame:
@@ -92,7 +94,7 @@ def chat_messages(history: DataFrame, window: str, keep: Sequence[str] = ()) ->
         F.lit("section").alias("type"),
         F.struct(
             F.lit("mrkdwn").alias("type"),
-            F.concat(F.lit("*Metric value:* `"), F.col("metric_value").cast("string"), F.lit("`")).alias("text"),
+            F.concat(F.lit("*Metric value:* `"), number_text(F.col("metric_value")), F.lit("`")).alias("text"),
         ).alias("text"),
     )
     context = F.struct(
@@ -121,7 +123,7 @@ def mails(history: DataFrame, window: str, keep: Sequence[str] = ()) -> DataFram
     subject = F.format_string(MAIL_SUBJECT, severity, F.col("alert_type"), batch)
     values = iter((F.col("alert_type"), severity, batch, iso_time(F.col("timestamp")), F.col("what"), F.col("why")))
     fixed = [F.format_string(text, next(values)) if "%s" in text else F.lit(text) for text in MAIL_LINES]
-    metric = F.when(F.col("metric_value").isNotNull(), F.format_string(MAIL_METRIC, F.col("metric_value").cast("string")))
+    metric = F.when(F.col("metric_value").isNotNull(), F.format_string(MAIL_METRIC, number_text(F.col("metric_value"))))
     entries = F.transform(
         F.array_sort(F.map_entries("details")), lambda e: F.format_string(MAIL_DETAIL, e["key"], e["value"])
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,3 +52,23 @@ def settle(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables behind settled frames that nothing reads any more.
+
+    A collection is then asked for, because Spark removes the shuffle files of finished
+    plans when the driver has collected them. Only paths below the shared folder go.
+    """
+    if not frames:
+        return
+    spark = frames[0].sparkSession
+    root = shared_dir(spark).rstrip("/").removeprefix("file://")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for frame in frames:
+        for folder in {name.rpartition("/")[0] for name in frame.inputFiles()}:
+            if f"{root}/" in folder:
+                path = hadoop.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -49,7 +49,8 @@ class PhaseSettings:
 class MmdSettings:
     components: int = 200
     sigma: float | None = None
-    sample_size: int = 500
+    #: None: the bandwidth takes every warm-up row; a number: only that many, with the lowest key hash.
+    sample_size: int | None = None
     seed: int = 42
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from plumbline.functions.frames import is_complete, long_numeric, stack_structs
 from plumbline.functions.ranking import value_counts
@@ -30,6 +31,8 @@ from plumbline.sources.tables import read_table, write_batch
 
 WINDOW = "batch_id"
 
+FIRST_BATCH = T.StructType([T.StructField("batch", T.LongType())])
+
 ALERT_STATE = T.StructType(
     [
         T.StructField("alert_key", T.StringType()),
@@ -148,8 +151,27 @@ class StreamMonitor:
         self._save_progress((after, seen + 1, calibration, threshold), batch_id)
 
     def _before(self, name: str, schema: T.StructType, batch_id: int) -> DataFrame:
-        """What the batch before this one left in a table."""
-        return read_table(self.spark, f"{self.table(name)}/batch={batch_id - 1}", schema)
+        """What the batch before this one left in a table; only the first batch of a monitor has none."""
+        if batch_id == self._first_batch(batch_id):
+            return self.spark.createDataFrame([], schema)
+        path = f"{self.table(name)}/batch={batch_id - 1}"
+        try:
+            return self.spark.read.schema(schema).parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            raise RuntimeError(
+                f"the state before batch {batch_id} is gone ({path}); restore it, or start a new monitor in another folder"
+            ) from error
+
+    def _first_batch(self, batch_id: int) -> int:
+        """The number of this monitor's first batch, written down once."""
+        path = self.table("first_batch")
+        known = read_table(self.spark, path, FIRST_BATCH).first()
+        if known is None:
+            self.spark.createDataFrame([(batch_id,)], FIRST_BATCH).coalesce(1).write.parquet(path)
+            return batch_id
+        return known["batch"]
 
     def _save_progress(self, progress: tuple, batch_id: int) -> None:
         row = self.spark.createDataFrame([tuple(progress)], PROGRESS)
@@ -169,6 +191,12 @@ class StreamMonitor:
     def _fit(self, schema: T.StructType, batch_id: int) -> None:
         typed = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
         warm = read_table(self.spark, self.table("warmup_rows"), typed).where(F.col("batch") <= batch_id).drop("batch")
+        # Only the batch that ends the warm-up fits; a repeat of it writes the same rows again.
+        fitted = read_table(self.spark, self.table("detector/batch"), FIRST_BATCH).first()
+        if fitted is not None and fitted["batch"] != batch_id:
+            raise RuntimeError(f"batch {batch_id} would replace the detector that batch {fitted['batch']} fitted")
+        marker = self.spark.createDataFrame([(batch_id,)], FIRST_BATCH).coalesce(1)
+        marker.write.mode("overwrite").parquet(self.table("detector/batch"))
         sigma = mmd.bandwidth(warm, self.settings.numeric, self.key, self.settings.mmd)
         sigma.write.mode("overwrite").parquet(self.table("detector/sigma"))
         sums = mmd.component_sums(warm, [], self.settings.numeric, self._sigma(), self.settings.mmd)
@@ -218,6 +246,12 @@ class StreamMonitor:
                 F.struct(F.lit(c).alias("feature"), rate(F.col(f"nulls_{c}"), F.col("total")).alias("null_rate"))
                 for c in rows.columns
                 if c != WINDOW
+            ]
+            + [
+                # A column of the reference that this batch lacks is rated 0 and reported.
+                F.struct(F.lit(c).alias("feature"), F.lit(0.0).alias("null_rate"))
+                for c in self._reference_columns(reference)
+                if c not in rows.columns
             ],
         )
         checks = self.settings.drift
@@ -229,6 +263,11 @@ class StreamMonitor:
             WINDOW,
         )
 
+    @staticmethod
+    def _reference_columns(reference: dict[str, DataFrame]) -> list[str]:
+        """The columns the reference has null rates of: one small row each."""
+        return [row["feature"] for row in reference["null_rates"].select("feature").collect()]
+
     def _alert(
         self, issues: DataFrame, scores: DataFrame, report: DataFrame | None, batch_id: int, window_no: int, at
     ) -> None:
