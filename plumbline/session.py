@@ -72,3 +72,13 @@ def discard(*frames: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def settle_bucketed(df: DataFrame, name: str, column: str, **options: str) -> DataFrame:
+    """``settle`` as a table bucketed by a column: later joins on it move no row of the table."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.bucketBy(buckets, column).options(**options).option("path", path).saveAsTable(table)
+    return spark.table(table)
