@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import id_text, packed
-from plumbline.session import scratch_path, settle
+from plumbline.session import settle, settle_bucketed
 
 GT_MAX = 5
 TOP_DISCOUNT = 1 - 1e-6
@@ -395,16 +395,6 @@ def _scores(model: Model, order: int):
     return run
 
 
-def _bucketed(blocks: DataFrame) -> DataFrame:
-    """The blocks as a table in the shared folder, bucketed by block, so that joins on it move nothing."""
-    spark = blocks.sparkSession
-    path = scratch_path(spark, "blocks")
-    name = path.rpartition("/")[2].replace("-", "_")
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks.write.bucketBy(buckets, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
-
-
 def _kept(words: DataFrame, d: np.ndarray) -> tuple[float, int]:
     """Sum of the discounted and of the plain training counts of all words, each from its owner."""
 
@@ -433,7 +423,8 @@ def score(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str
     """
     if order < 1:
         raise ValueError("order must be 1 or more")
-    blocks = _bucketed(id_text(docs, id_col, text_col).mapInArrow(_to_blocks, _BLOCK))
+    blocks = id_text(docs, id_col, text_col).mapInArrow(_to_blocks, _BLOCK)
+    blocks = settle_bucketed(blocks, "blocks", "block", compression="zstd")
     words, tokens, train_docs, count = blocks.agg(
         F.sum(F.length("words") / 8).cast("long"),
         F.sum(F.length("tokens") / 4).cast("long"),

@@ -4,7 +4,8 @@ A line is the set of its lower-cased words. The words of a line are ordered by r
 two lines of ``n`` words can only reach Jaccard similarity ``t`` if they share a word among
 the first ``n - ceil(t * n) + 1`` of each (prefix filter). Candidate pairs share such a word,
 have sizes within the factor ``t`` (length filter), and leave enough words after the shared
-one (positional filter). Candidates are verified on the whole sets, and a line that matches
+one (positional filter). A map of 128 bits, one of which each word sets, bounds the common
+words from above as well: every differing bit is a word that only one line has. Candidates are verified on the whole sets, and a line that matches
 an earlier line, by document id and position, is removed.
 
 Equal sets are grouped before anything is joined, so copies are never paired. Rare words of
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import discard, settle
+from plumbline.session import discard, settle, settle_bucketed
 
 SIMILARITY_PERCENT = 80
 MIN_WORDS = 5
@@ -68,30 +69,42 @@ def _prefix(t: int) -> str:
     return f"n - (n * {t} + 99) div 100 + 1"
 
 
+def _map_of(half: int) -> str:
+    """64 bits of a line's map of 128: a word sets the bit of its hash's last seven bits."""
+    return (
+        "aggregate(words, 0L, (m, w) -> m | if(shiftright(w, 6) & 1 = "
+        f"{half}, shiftleft(1L, cast(w & 63 as int)), 0L))"
+    )
+
+
 def _fits(t: int) -> str:
     """Length and positional filters of a pair that shares words at ``a_at`` and ``b_at`` (from 0)."""
     need = f"((a_n + b_n) * {t} + {99 + t}) div {100 + t}"
     return (
         f"a_n * 100 >= b_n * {t} AND b_n * 100 >= a_n * {t} "
-        f"AND least(a_at, b_at) + 1 + least(a_n - a_at, b_n - b_at) - 1 >= {need}"
+        f"AND least(a_at, b_at) + least(a_n - a_at, b_n - b_at) >= {need} "
+        f"AND a_n + b_n - bit_count(a_low ^ b_low) - bit_count(a_high ^ b_high) >= 2 * ({need})"
     )
 
 
+_FILTERED = ("n", "at", "low", "high")
+
+
 def _first_partner(index: DataFrame, percent: int) -> DataFrame:
     """``a_line, b_line``: each line with the line that most of its words' groups begin with, among
     those that pass the filters."""
     pairs = index.filter("line <> first.line").selectExpr(
-        "line AS a_line", "first.line AS b_line", "n AS a_n", "first.n AS b_n", "at AS a_at", "first.at AS b_at"
+        "line AS a_line", "first.line AS b_line", *(f"{c} AS a_{c}" for c in _FILTERED), *(f"first.{c} AS b_{c}" for c in _FILTERED)
     )
     counted = pairs.filter(F.expr(_fits(percent))).groupBy("a_line", "b_line").agg(F.count("*").alias("words"))
     best = counted.groupBy("a_line").agg(F.max(F.struct("words", "b_line")).alias("best"))
     return best.select("a_line", F.col("best.b_line").alias("b_line"))
 
 
-def _all_partners(index: DataFrame, unsettled: DataFrame, percent: int) -> DataFrame:
-    """Different pairs of the ``unsettled`` lines and all earlier lines of their words' groups that pass the filters."""
-    columns = ("line", "doc_id", "pos", "n", "at")
-    a = index.join(unsettled, "line", "left_semi").select("word", *(F.col(c).alias(f"a_{c}") for c in columns))
+def _all_partners(index: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
+    """Different pairs of the lines that are not ``settled`` and all earlier lines of their words' groups that pass the filters."""
+    columns = ("line", "doc_id", "pos", *_FILTERED)
+    a = index.join(settled, "line", "left_anti").select("word", *(F.col(c).alias(f"a_{c}") for c in columns))
     b = index.select(F.col("word").alias("b_word"), *(F.col(c).alias(f"b_{c}") for c in columns))
     earlier = F.struct("b_doc_id", "b_pos", "b_line") < F.struct(
         F.col("a_doc_id").alias("b_doc_id"), F.col("a_pos").alias("b_pos"), F.col("a_line").alias("b_line")
@@ -150,31 +163,31 @@ def later_matches(
     prefix = "slice(words, 1, " + _prefix(percent).replace("n", "size(words)") + ")"
     lines = settle(
         sets.selectExpr(
-            "doc_id", "key", "pos", "xxhash64(words) AS line", "size(words) AS n", f"{prefix} AS prefix"
+            "doc_id", "key", "pos", "xxhash64(words) AS line", "size(words) AS n", f"{prefix} AS prefix",
+            *(f"{_map_of(i)} AS {name}" for i, name in enumerate(("low", "high"))),
         ),
         "lines",
         compression="zstd",
     )
     place = F.struct("doc_id", "pos", "key")
     firsts = lines.groupBy("line").agg(
-        F.min(place).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
+        F.min(place).alias("place"), *(F.first(c).alias(c) for c in ("n", "low", "high", "prefix"))
     )
-    firsts = settle(firsts.select("line", "place.*", "n", "prefix"), "firsts", compression="zstd")
+    firsts = settle(firsts.select("line", "place.*", "n", "low", "high", "prefix"), "firsts", compression="zstd")
     slim = settle(lines.select("doc_id", "key", "pos", "line"), "line-places", compression="zstd")
     discard(lines)
-    spread = firsts.select("line", "doc_id", "pos", "n", F.posexplode("prefix").alias("at", "word"))
+    spread = firsts.select("line", "doc_id", "pos", "n", "low", "high", F.posexplode("prefix").alias("at", "word"))
     group = Window.partitionBy("word")
-    here = F.struct("doc_id", "pos", "line", "n", "at")
+    here = F.struct("doc_id", "pos", "line", *_FILTERED)
     index = spread.withColumns({"first": F.min(here).over(group), "size": F.count("*").over(group)})
-    index = index.filter("size > 1").withColumn("first", F.struct("first.line", "first.n", "first.at")).drop("size")
-    index = settle(index, "shared-words", compression="zstd")
+    index = index.filter("size > 1").withColumn("first", F.struct("first.line", *(f"first.{c}" for c in _FILTERED))).drop("size")
+    index = settle_bucketed(index, "shared-words", "word", compression="zstd")
     discard()
     pairs = settle(_first_partner(index, percent), "pairs", compression="zstd")
     first = _matched(pairs, firsts, rows, percent)
-    unsettled = settle(index.select("line").distinct().join(first, "line", "left_anti"), "unsettled")
-    more = _all_partners(index, unsettled, percent).join(pairs, ["a_line", "b_line"], "left_anti")
+    more = _all_partners(index, first, percent).join(pairs, ["a_line", "b_line"], "left_anti")
     more = settle(more, "pairs", compression="zstd")
-    discard(pairs, index, unsettled)
+    discard(pairs, index)
     matched = first.unionByName(_matched(more, firsts, rows, percent))
     discard(more)
 
