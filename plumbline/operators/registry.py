@@ -198,9 +198,13 @@ class BaselineRegistry:
         # Columns that the frame lacks are not compared.
         numeric, categorical = ([c for c in names if c in df.columns] for names in (self.numeric, self.categorical))
         frequencies = self.frequencies(name).where(F.col("feature").isin(categorical))
+        stats = self.stats(name)
+        none = F.lit(False)
         return (
-            compare_numeric(self.stats(name), numeric_stats(df, [], numeric)),
-            compare_categorical(frequencies, category_counts(df, [], categorical)),
+            compare_numeric(stats, numeric_stats(df, [], numeric) if numeric else stats.where(none)),
+            compare_categorical(
+                frequencies, category_counts(df, [], categorical) if categorical else frequencies.where(none)
+            ),
         )
 
     def delete(self, name: str) -> bool:
