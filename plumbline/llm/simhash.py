@@ -17,6 +17,7 @@ gives the same components with 33 rows a member.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import hex16, id_text
 from plumbline.llm.components import components
-from plumbline.session import settle
+from plumbline.session import discard, settle, settle_bucketed
 
 SEED = 42
 BLOCKS, BLOCK_BITS, PER_BLOCK = 4, 16, 10
@@ -180,6 +181,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
 
 SAMPLES, SAMPLE = 16, 4
 WIDE = 24
+CLASSES, SLICES = 1 << 18, 64
+_CLASS_SHIFT = np.uint64(64 - CLASSES.bit_length() + 1)
+FLUSH = 1 << 20
+TILE = 512
 _MULTIPLIERS = [(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) | 1 for i in range(SAMPLES)]
 _SKETCH = "doc_id long, key long, node long, fp long, samples array<long>"
 
@@ -257,19 +262,172 @@ def _verified(pairs: DataFrame, rows: DataFrame, places: DataFrame, words: int,
     return settle(joined.mapInArrow(_similar(similarity), "a long, b long"), "similar")
 
 
+def _joining(
+    pairs: DataFrame, edges: DataFrame | None, rows: DataFrame, places: DataFrame, words: int, similarity: float
+) -> DataFrame:
+    """``edges`` and those of the pairs ``node, hub, times`` that reach the similarity.
+
+    Each node is verified with its most frequent partner first; of the other pairs, those
+    that the edges found so far do not put into one class.
+    """
+    ordered = (F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    first = pairs.groupBy("node").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
+    first = settle(first.select(*ordered).distinct(), "pairs")
+    found = _verified(first, rows, places, words, similarity)
+    edges = found if edges is None else edges.unionByName(found)
+    roots = settle(components(edges, "similar-stars"), "roots")
+    rest = pairs.select(*ordered).distinct().join(first, ["a", "b"], "left_anti")
+    rest = rest.join(roots.selectExpr("node AS a", "root AS ra"), "a", "left").join(
+        roots.selectExpr("node AS b", "root AS rb"), "b", "left"
+    )
+    rest = settle(rest.filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), "pairs")
+    return edges.unionByName(_verified(rest, rows, places, words, similarity))
+
+
+def _sample_pairs(nodes: DataFrame) -> DataFrame:
+    """``node, hub, times``: every node with the two ends of its groups of one sample fingerprint."""
+    spread = nodes.select("node", F.posexplode("samples").alias("sample", "value"))
+    ends = spread.groupBy("sample", "value").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    tied = spread.join(ends, ["sample", "value"]).select("node", F.explode(F.array("low", "high")).alias("hub"))
+    pairs = tied.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("times"))
+    table = distance_table(nodes.select("fp").distinct()).select("fp", "d")
+    near = nodes.select("node", "fp").join(table, "fp").select("node", "d")
+    apart = F.array_max(F.zip_with("d", "hub_d", lambda x, y: F.abs(x - y)))
+    pairs = pairs.join(near, "node").join(near.select(F.col("node").alias("hub"), F.col("d").alias("hub_d")), "hub")
+    return settle(pairs.filter(apart <= WIDE).select("node", "hub", "times"), "partners")
+
+
+def _ranks(rows: DataFrame, words: int) -> np.ndarray:
+    """For each class of shingle hashes, four times the binary logarithm of its occurrences."""
+    width = CLASSES // SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CLASSES, np.int64)
+        waiting, size = [], 0
+        for batch in batches:
+            for body in batch.column("body"):
+                waiting.append(np.unique(shingle_hashes(body.as_py(), words)) >> _CLASS_SHIFT)
+                size += len(waiting[-1])
+                if size > FLUSH:
+                    counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=CLASSES)
+                    waiting, size = [], 0
+        if waiting:
+            counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=CLASSES)
+        parts = [part.tobytes() for part in counts.reshape(SLICES, width)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
+
+    def total(part: pa.Table) -> pa.Table:
+        counts = np.zeros(width, np.int64)
+        for one in part.column("counts"):
+            counts += np.frombuffer(one.as_py(), np.int64)
+        ranks = np.minimum(127, np.floor(4 * np.log2(counts + 1))).astype(np.uint8)
+        return pa.table({"slice": part.column("slice").slice(0, 1), "ranks": pa.array([ranks.tobytes()], pa.binary())})
+
+    counted = rows.select("body").mapInArrow(count, "slice int, counts binary")
+    ranks = np.zeros((SLICES, width), np.uint8)
+    for number, found in counted.groupBy("slice").applyInArrow(total, "slice int, ranks binary").collect():
+        ranks[number] = np.frombuffer(found, np.uint8)
+    return ranks.ravel()
+
+
+def _least(share: float, n: int) -> int:
+    """The least whole number that is not below ``share * n``; rounding never makes it larger."""
+    return math.ceil(share * n - 1e-6)
+
+
+def _prefixes(rows: DataFrame, ranks: np.ndarray, words: int, similarity: float) -> DataFrame:
+    """``word, node, n, at, indexed``: the rarest shingles of every set of ``n``, and their places from 0.
+
+    A set that reaches the similarity with one of its size or smaller shares one of its
+    first ``n - similarity * n + 1`` shingles with it, among those that the other one has
+    ``indexed``, which are fewer.
+    """
+    both = 2 * similarity / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def rows_held() -> pa.RecordBatch:
+            lengths = [len(found) for _, _, found, _ in held]
+            at = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
+            indexed = at < np.repeat(np.array([k for *_, k in held]), lengths)
+            columns = [
+                pa.array(np.concatenate([found for _, _, found, _ in held]).view(np.int64)),
+                pa.array(np.repeat(np.array([node for node, *_ in held], np.int64), lengths)),
+                pa.array(np.repeat(np.array([n for _, n, *_ in held], np.int32), lengths)),
+                pa.array(at),
+                pa.array(indexed),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["word", "node", "n", "at", "indexed"])
+
+        for batch in batches:
+            for body in batch.column("body"):
+                found = np.unique(shingle_hashes(body.as_py(), words))
+                if not (n := len(found)):
+                    continue
+                node = xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63)
+                order = np.lexsort((found, ranks[found >> _CLASS_SHIFT]))
+                held.append((node, n, found[order[: n - _least(similarity, n) + 1]], n - _least(both, n) + 1))
+                size += len(held[-1][2])
+                if size > FLUSH // 4:
+                    yield rows_held()
+                    held, size = [], 0
+        if held:
+            yield rows_held()
+
+    return rows.select("body").mapInArrow(run, "word long, node long, n int, at int, indexed boolean")
+
+
+def _prefix_pairs(index: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """``node, hub, times``: all pairs of nodes of different classes that can reach the similarity.
+
+    A group of one shingle is left out when its nodes are of one class already. Large groups
+    are paired in tiles of ``TILE`` nodes.
+    """
+    groups = index.groupBy("word").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("indexed").alias("some"))
+    shared = index.join(groups.filter("low < high AND some").select("word"), "word").distinct()
+    shared = settle(shared, "shared-shingles", compression="zstd")
+    named = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = settle(named, "shared-shingles", compression="zstd")
+    mixed = named.groupBy("word").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = mixed.filter("low < high").selectExpr("word", f"cast((size + {TILE - 1}) div {TILE} as int) AS tiles")
+    mixed = settle(named.join(mixed, "word"), "mixed-groups", compression="zstd")
+    a = mixed.selectExpr(
+        "word", "cast(pmod(xxhash64(node), tiles) as int) AS tile", "node AS a", "root AS a_root", "n AS a_n", "at AS a_at"
+    )
+    b = mixed.filter("indexed").selectExpr(
+        "word", "explode(sequence(0, tiles - 1)) AS tile", "node AS b", "root AS b_root", "n AS b_n", "at AS b_at"
+    )
+    need = f"(a_n + b_n) * {similarity / (1 + similarity)}D - 1e-6D"
+    pairs = a.join(b, ["word", "tile"]).filter(
+        "a_root <> b_root AND (a_n > b_n OR (a_n = b_n AND a < b)) "
+        f"AND b_n >= a_n * {similarity}D - 1e-6D "
+        f"AND least(a_at, b_at) + least(a_n - a_at, b_n - b_at) >= {need}"
+    )
+    # If any prefix shingle is common to both sets, so is their first common one: nothing before it counts.
+    pairs = pairs.groupBy("a", "b", "a_n", "b_n").agg(
+        F.min("a_at").alias("a_at"), F.min("b_at").alias("b_at"), F.count("*").alias("times")
+    )
+    pairs = pairs.filter(f"least(a_n - a_at, b_n - b_at) >= {need}")
+    return pairs.selectExpr("a AS node", "b AS hub", "times")
+
+
 def similar_classes(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, key, class_id, first``: classes of rows whose shingle sets are similar.
 
     Fingerprints of whole texts are far apart in many bits long before the Jaccard
-    similarity of their sets falls below 0.8, so candidates come from fingerprints of
-    samples: the four lowest shingles under each of sixteen hashes. Two sets at similarity
-    0.8 share at least one of the sixteen with a probability above 0.999. In a group with one
-    sample fingerprint every set is held against the group's least and greatest set, the
+    similarity of their sets falls below 0.8, so the first candidates come from fingerprints of
+    samples: the four lowest shingles under each of sixteen hashes. In a group with one
+    sample fingerprint every set is held against the group's least and greatest set, and the
     distance table of the whole fingerprints discards pairs that differ by more than
-    ``WIDE`` bits in any coordinate, and survivors are verified on their whole sets, first
-    each set with its most frequent partner, then what still joins different classes.
+    ``WIDE`` bits in any coordinate. That joins most of a large class at little cost, but not
+    all of it. An exact prefix filter on the shingles, rarest first, then names all pairs of
+    different classes that can reach the similarity, so the classes are those of all pairs.
+    Pairs are verified on their whole sets, first each set with its most frequent partner,
+    then what still joins different classes.
 
     Equal sets are one node and are never paired. ``class_id`` is the smallest document id of
     the class and ``first`` marks the one row of the class that stays: the one with the
@@ -284,27 +442,15 @@ def similar_classes(
     )
     nodes = settle(nodes, "nodes")
     places = nodes.select("node", "place.*")
-    spread = nodes.select("node", F.posexplode("samples").alias("sample", "value"))
-    ends = spread.groupBy("sample", "value").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    tied = spread.join(ends, ["sample", "value"]).select("node", F.explode(F.array("low", "high")).alias("hub"))
-    pairs = tied.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("times"))
-    table = distance_table(nodes.select("fp").distinct()).select("fp", "d")
-    near = nodes.select("node", "fp").join(table, "fp").select("node", "d")
-    apart = F.array_max(F.zip_with("d", "hub_d", lambda x, y: F.abs(x - y)))
-    pairs = pairs.join(near, "node").join(near.select(F.col("node").alias("hub"), F.col("d").alias("hub_d")), "hub")
-    pairs = settle(pairs.filter(apart <= WIDE).select("node", "hub", "times"), "partners")
-    first = pairs.groupBy("node").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
-    first = settle(first.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
-    edges = _verified(first, rows, places, words, similarity)
+    edges = _joining(_sample_pairs(nodes), None, rows, places, words, similarity)
+    index = _prefixes(rows, _ranks(rows, words), words, similarity)
+    index = settle_bucketed(index, "shingle-prefixes", "word", compression="zstd")
     roots = settle(components(edges, "similar-stars"), "roots")
-    rest = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    rest = rest.join(roots.selectExpr("node AS a", "root AS ra"), "a", "left").join(
-        roots.selectExpr("node AS b", "root AS rb"), "b", "left"
-    )
-    rest = settle(rest.filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), "pairs")
-    edges = edges.unionByName(_verified(rest, rows, places, words, similarity))
-    roots = components(edges, "similar-stars")
+    pairs = settle(_prefix_pairs(index, roots, similarity), "partners", compression="zstd")
+    discard(index)
+    if not pairs.isEmpty():
+        edges = _joining(pairs, edges, rows, places, words, similarity)
+        roots = components(edges, "similar-stars")
     named = settle(places.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     classes = named.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.min("doc_id").alias("class_id"))
     of_node = named.select("node", "root").join(classes, "root").select("node", "class_id", "least")

@@ -124,3 +124,21 @@ def test_repeated_rows_and_empty_tables(corpus):
     assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [1, 3]
     assert simhash.near_duplicates(corpus([])).count() == 0
     assert simhash.one_of_each(corpus([])).columns == docs.columns
+
+
+def test_twins_in_a_family_of_one_template_are_found(corpus):
+    rng = random.Random(5)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    template = fresh(300)
+    texts = []
+    for _ in range(250):
+        both = fresh(20)
+        texts += [template + both + fresh(30), template + both + fresh(30)]
+    texts += [template + fresh(50) for _ in range(500)]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    sets = [shingles(" ".join(t)) for t in texts]
+    assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+    assert len(sets[0] & sets[2]) < 0.8 * len(sets[0] | sets[2])
+    kept = {r.doc_id for r in simhash.one_of_each(corpus([(order[i], " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert kept == {min(order[i], order[i + 1]) for i in range(0, 500, 2)} | set(order[500:])
