@@ -8,7 +8,8 @@ one (positional filter). A map of 128 bits, one of which each word sets, bounds
 words from above as well: every differing bit is a word that only one line has. Candidates are verified on the whole sets, and a line that matches
 an earlier line, by document id and position, is removed.
 
-Equal sets are grouped before anything is joined, so copies are never paired. Rare words of
+Equal sets are grouped before anything is joined, so copies are never paired. Sets too small
+to match any but an equal set (one to three words at 0.8) are not in the index. Rare words of
 a family of near copies form large groups all the same; there every line is first held
 against the group's earliest line, and only lines that this does not settle are paired with
 the earlier lines of their groups. Whether a line goes does not depend on which of its
@@ -30,7 +31,7 @@ from plumbline.session import discard, settle, settle_bucketed
 SIMILARITY_PERCENT = 80
 MIN_WORDS = 5
 CLASSES = 1 << 16
-_WORDS = r"split(trim(translate(lower(line), '\t\r\f\u000b', '    ')), ' +')"
+_WORDS = r"split(trim(translate(lower(line), '\t\r\u000c\u000b', '    ')), ' +')"
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -51,13 +52,14 @@ def _ranks(rows: DataFrame) -> bytes:
 
 
 def line_sets(rows: DataFrame, ranks: bytes, min_words: int) -> DataFrame:
-    """``doc_id, key, pos, words``: the lines of at least ``min_words`` words as sets of 56-bit
-    hashes below seven bits of rarity, rarest first."""
+    """``doc_id, key, pos, words``: the lines of at least ``min_words`` words, and one, as sets of
+    56-bit hashes below seven bits of rarity, rarest first."""
     table = f"X'{ranks.hex()}'"
     rank = f"ascii(cast(substring({table}, cast(pmod(h, {CLASSES}) as int) + 1, 1) as string))"
     lines = rows.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     hashed = lines.selectExpr("doc_id", "key", "pos", f"transform({_WORDS}, w -> xxhash64(w)) AS hashes")
-    return hashed.filter(F.size("hashes") >= min_words).selectExpr(
+    blank = F.col("hashes")[0] == F.xxhash64(F.lit(""))
+    return hashed.filter((F.size("hashes") >= min_words) & ~blank).selectExpr(
         "doc_id", "key", "pos",
         "sort_array(transform(array_distinct(hashes), "
         f"h -> shiftleft(cast({rank} as bigint), 56) | shiftrightunsigned(h, 8))) AS words",
@@ -153,7 +155,8 @@ def later_matches(
     """``doc_id, key, pos`` of every line that is to be removed.
 
     A line goes if an earlier line, in the order of document id and position, has a Jaccard
-    similarity of ``percent`` or more. Lines below ``min_words`` words take no part. Rows with
+    similarity of ``percent`` or more. Lines without a word, or below ``min_words`` words, take
+    no part. Rows with
     equal id and text lose the same lines, those that the first of them loses; of different
     texts that share an id, lines at one position stand in the order of their hash. A null
     id comes before all others, a null text has one empty line.
@@ -161,6 +164,7 @@ def later_matches(
     rows = _numbered(docs, id_col, text_col)
     sets = line_sets(rows, _ranks(rows), min_words)
     prefix = "slice(words, 1, " + _prefix(percent).replace("n", "size(words)") + ")"
+    prefix = f"if(size(words) * 100 >= (size(words) + 1) * {percent}, {prefix}, slice(words, 1, 0))"
     lines = settle(
         sets.selectExpr(
             "doc_id", "key", "pos", "xxhash64(words) AS line", "size(words) AS n", f"{prefix} AS prefix",

@@ -60,7 +60,7 @@ def op3_block_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = line_join.remove_lines(table(spark, sf_dir, "documents"))
+    cut = line_join.remove_lines(table(spark, sf_dir, "documents"), min_words=1)
     body = F.coalesce("text", F.lit("")).cast("binary")
     return cut.select(
         "doc_id",

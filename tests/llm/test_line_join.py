@@ -2,7 +2,9 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from plumbline.llm import line_join
+from plumbline.llm.queries import QUERIES
 
 
 def words_of(line):
@@ -76,3 +78,32 @@ def test_empty_table(corpus):
     docs = corpus([])
     assert line_join.remove_lines(docs).columns == [*docs.columns, "lines_removed", "lines_total"]
     assert line_join.remove_lines(docs).count() == 0
+
+
+SHORT = [
+    (1, "Read more\n\nHome\na b c d\nc b a"),
+    (2, "read  MORE\n\n \nhome\na b c d e\na b c\na b"),
+    (3, "Home\n\nd c b\na b c d f\nb a\nmore read"),
+    (4, "Home\nread more"),
+    (5, "\n\n"),
+]
+
+
+def test_short_lines_take_part_and_blank_lines_stay(spark, corpus, tmp_path):
+    expected = brute(SHORT, 80, least=1)
+    found = line_join.remove_lines(corpus(SHORT), min_words=1)
+    assert sorted(((repr(r.doc_id), r.text, r.lines_removed) for r in found.collect()), key=repr) == expected
+    corpus(SHORT).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = QUERIES["op9_line_join"](spark, str(tmp_path)).collect()
+    assert sorted((repr(r.doc_id), r.lines_removed, r.kept_bytes) for r in rows) == [(i, n, len(t)) for i, t, n in expected]
+    kept = corpus_pipeline.line_dedup(spark, corpus(SHORT), str(tmp_path)).collect()
+    assert sorted((repr(r.doc_id), r.text) for r in kept) == [(i, t) for i, t, n in expected if not n or t.strip()]
+
+
+@pytest.mark.parametrize(("seed", "percent"), [(3, 80), (4, 60), (5, 100)])
+def test_lines_of_any_length_equal_to_all_pairs(corpus, seed, percent):
+    rng = random.Random(seed)
+    lines = [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 6))) for _ in range(240)]
+    docs = family(seed) + [(500 + i, "\n".join(lines[4 * i : 4 * i + 4])) for i in range(60)]
+    found = line_join.remove_lines(corpus(docs), percent, min_words=1)
+    assert sorted(((repr(r.doc_id), r.text, r.lines_removed) for r in found.collect()), key=repr) == brute(docs, percent, 1)
