@@ -14,12 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import id_text
-from plumbline.llm.encode import encoder
+from plumbline.llm.encode import encoder, slices, strings
 from plumbline.session import settle
 
 WINDOW = 2048
@@ -40,25 +41,22 @@ def encoded(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place = TaskContext.get().partitionId(), 0
-        encode = encoder(vocabulary).encode
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                texts = [body.decode("utf-8", "replace") for body in some.column("body").to_pylist()]
-                ids = [one + end for one in encode(texts)]
-                n = np.fromiter(map(len, ids), np.int64) // 4
-                places = place + np.cumsum(n) - n
-                place += int(n.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        some.column("doc_id"),
-                        pa.array(np.full(len(ids), part, np.int32)),
-                        pa.array(places),
-                        pa.array(n),
-                        pa.array(ids, pa.binary()),
-                    ],
-                    names=["doc_id", "part", "place", "n", "ids"],
-                )
+        encode = encoder(vocabulary).ids
+        for some in slices(batches):
+            ids = encode(strings(some.column("body")), end)
+            n = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+            places = place + np.cumsum(n) - n
+            place += int(n.sum())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    some.column("doc_id"),
+                    pa.array(np.full(len(ids), part, np.int32)),
+                    pa.array(places),
+                    pa.array(n),
+                    ids,
+                ],
+                names=["doc_id", "part", "place", "n", "ids"],
+            )
 
     rows = id_text(docs, id_col, text_col).mapInArrow(run, _ENCODED)
     return settle(rows, "encoded", compression="zstd")

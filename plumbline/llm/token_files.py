@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import id_text
-from plumbline.llm.encode import encoder
+from plumbline.llm.encode import encoder, slices, strings
 from plumbline.llm.packing import bases
 from plumbline.session import scratch_path, settle
 
@@ -68,31 +68,29 @@ def _encode(vocabulary: str, bounds: list[int], width: int):
     upper = np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, squeeze = encoder(vocabulary).encode, zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                ids = encode([body.decode("utf-8", "replace") for body in some.column("body").to_pylist()])
-                rows = []
-                for one in ids:
-                    values = np.frombuffer(one, "<u4")
-                    if len(values) and values.max() >= 1 << (8 * width):
-                        raise ValueError("an id does not fit the width of the token files")
-                    rows.append(squeeze(values.astype(f"<u{width}").tobytes()))
-                doc_ids = some.column("doc_id").to_numpy(zero_copy_only=False)
-                known = ~np.array(some.column("doc_id").is_null())
-                part = np.zeros(len(rows), np.int32)
-                part[known] = np.searchsorted(upper, doc_ids[known].astype(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(part),
-                        some.column("doc_id"),
-                        pa.array([len(one) // 4 + 1 for one in ids], pa.int64()),
-                        pa.array([zlib.crc32(one) for one in ids], pa.int64()),
-                        pa.array(rows, pa.binary()),
-                    ],
-                    names=["part", "doc_id", "n", "crc", "ids"],
-                )
+        encode, squeeze = encoder(vocabulary).ids, zstandard.ZstdCompressor(level=1).compress
+        for some in slices(batches):
+            ids = encode(strings(some.column("body"))).to_pylist()
+            rows = []
+            for one in ids:
+                values = np.frombuffer(one, "<u4")
+                if len(values) and values.max() >= 1 << (8 * width):
+                    raise ValueError("an id does not fit the width of the token files")
+                rows.append(squeeze(values.astype(f"<u{width}").tobytes()))
+            doc_ids = some.column("doc_id").to_numpy(zero_copy_only=False)
+            known = ~np.array(some.column("doc_id").is_null())
+            part = np.zeros(len(rows), np.int32)
+            part[known] = np.searchsorted(upper, doc_ids[known].astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(part),
+                    some.column("doc_id"),
+                    pa.array([len(one) // 4 + 1 for one in ids], pa.int64()),
+                    pa.array([zlib.crc32(one) for one in ids], pa.int64()),
+                    pa.array(rows, pa.binary()),
+                ],
+                names=["part", "doc_id", "n", "crc", "ids"],
+            )
 
     return run
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -11,7 +12,6 @@ from plumbline.llm.encode import encoder
 
 def whole(vocabulary, text):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -40,6 +40,33 @@ def test_pieces_give_the_ids_of_whole_texts(vocabulary):
         assert np.frombuffer(ids, "<u4").tolist() == whole(vocabulary, text), text
 
 
+ALPHABET = [*"abcdeABC  \n\n\t,.'-1\x00\x01\x1c\x85\xa0\u200bİǅßſΣσς\u0301\u0307漢_%$", "<|endoftext|>", "<|startoftext|>"] + [
+    " the ", " word.\n", "'s", "é", "e\u0301", "a\tb ", "\n\xa0\xa0", "İ, ǅ. ", "Word, word. "
+]
+
+
+@pytest.mark.parametrize("vocabulary", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_random_texts_have_the_ids_of_the_plain_call(vocabulary):
+    draw = random.Random(5)
+    texts = ["".join(draw.choices(ALPHABET, k=draw.randint(0, 30))) for _ in range(20000)]
+    plain, own = Tokenizer.from_file(public_tokenizers.path(vocabulary)), encoder(vocabulary)
+    for at in range(0, len(texts), 1000):
+        some = texts[at : at + 1000]
+        for text, ids in zip(some, own.encode(some), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_the_memo_keeps_giving_the_same_ids(monkeypatch):
+    from plumbline.llm import encode
+
+    monkeypatch.setattr(encode, "MEMO", 40)
+    own = encode.TextEncoder("word_bpe_49k.json")
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i % 23)}, x." for i in range(k, k + 9)) for k in range(90)]
+    for at in range(0, 90, 7):
+        some = texts[at : at + 7]
+        assert own.encode(some) == [np.array(whole("word_bpe_49k.json", t), "<u4").tobytes() for t in some]
+
+
 def test_packing_cuts_every_id_once(corpus, odd):
     pairs = odd + [(i, f"document number {i} " * (i % 90)) for i in range(10, 120)]
     found = packing.pack(corpus(pairs), window=128).toPandas()
