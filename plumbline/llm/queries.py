@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import block_knn, dom_boost, hash_tree, katz, line_join, noisy_channel, packing, simhash, suffix_match, token_files
+from plumbline.llm import best_two_fit, block_knn, dom_boost, hash_tree, infill, katz, line_join, noisy_channel, packing
+from plumbline.llm import simhash, suffix_match, token_files, whiten
 from plumbline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +83,42 @@ def op10_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_dom_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return dom_boost.extract(pages, dom_boost.fit(pages))
+
+
+OP11_SQL = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || CAST(doc_id AS VARCHAR)) AS hex FROM documents),
+units AS (
+  SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS u,
+    CAST('0x' || hex[1:8] AS BIGINT) AS h1, CAST('0x' || hex[9:16] AS BIGINT) AS h2,
+    CAST('0x' || hex[17:24] AS BIGINT) AS h3, CAST('0x' || hex[25:32] AS BIGINT) AS h4 FROM drawn),
+cuts AS (
+  SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS low, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS high,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+         WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM units),
+parts AS (
+  SELECT *, coalesce(array_to_string(u[1:low], ''), '') AS p, coalesce(array_to_string(u[low + 1:high], ''), '') AS m,
+    coalesce(array_to_string(u[high + 1:], ''), '') AS s FROM cuts)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+         ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts"""
+
+
+@query
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.transform(table(spark, sf_dir, "documents")))
+
+
+ORACLES["op11_infill"] = OP11_SQL
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_two_fit.pack(table(spark, sf_dir, "documents")).drop("ids")
