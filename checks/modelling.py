@@ -26,12 +26,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "j1_latest_label",
-    f"""WITH {LAB}, twice AS (SELECT * FROM lab UNION ALL SELECT event_id, label_ts + INTERVAL '1' HOUR, 1 - true_label FROM lab WHERE event_id % 3 = 0)
-    SELECT event_id, arg_max(true_label, label_ts) AS true_label, max(label_ts) AS label_ts FROM twice GROUP BY event_id""",
-)
-def _(spark, sf):
+LATEST_LABELS_SQL = f"""WITH {PRED}, {LAB}, twice AS (SELECT * FROM lab UNION ALL SELECT event_id, label_ts + INTERVAL '1' HOUR, 1 - true_label FROM lab WHERE event_id % 3 = 0),
+    latest AS (SELECT event_id, arg_max(true_label, label_ts) AS true_label, max(label_ts) AS label_ts FROM twice GROUP BY event_id)"""
+
+
+def corrected_labels(spark: SparkSession, sf: str) -> DataFrame:
     """A third of the events get a second, later label, which wins."""
     first = labels(spark, sf)
     second = first.where("event_id % 3 = 0").select(
@@ -39,7 +38,12 @@ def _(spark, sf):
         (F.col("label_ts") + F.expr("INTERVAL '1' HOUR")).alias("label_ts"),
         (1 - F.col("true_label")).alias("true_label"),
     )
-    return model.latest_labels(first.unionByName(second))
+    return first.unionByName(second)
+
+
+@query("j1_latest_label", f"{LATEST_LABELS_SQL} SELECT event_id, true_label, label_ts FROM latest")
+def _(spark, sf):
+    return model.latest_labels(corrected_labels(spark, sf))
 
 
 KS_ONLY = """
@@ -179,9 +183,7 @@ def _(spark, sf):
     )
 
 
-@query(
-    "m9_model_report",
-    f"""WITH {PRED}, {LAB}, {PAIRS}, {MPH}, {KS_ONLY}, {Z_ONLY}, {ROLL_ONLY},
+MODEL_REPORT_SQL = f"""WITH {PRED}, {LAB}, {PAIRS}, {MPH}, {KS_ONLY}, {Z_ONLY}, {ROLL_ONLY},
     rep AS (SELECT mp.w, mp.n AS n_predictions, mp.phase, mp.phase = 'monitoring' AS m, ks_statistic, ks.p_value, zt.p, zt.z, window_size, accuracy, auc, baseline_accuracy, ks.nc
             FROM mp LEFT JOIN ks USING (w) LEFT JOIN zt USING (w) LEFT JOIN acc USING (w) LEFT JOIN au USING (w) CROSS JOIN ba)
     SELECT w, n_predictions, phase, CASE WHEN m AND nc >= 10 THEN {q6('ks_statistic')} END AS ks_statistic, CASE WHEN m AND nc >= 10 THEN {q6('p_value')} END AS p_value,
@@ -191,15 +193,20 @@ def _(spark, sf):
       CASE WHEN m THEN window_size END AS window_size, CASE WHEN m THEN {q6('accuracy')} END AS accuracy,
       CASE WHEN m THEN {q6('auc')} END AS estimated_auc, CASE WHEN m THEN {q6('baseline_accuracy')} END AS baseline_accuracy,
       CASE WHEN m THEN baseline_accuracy - accuracy > 0.05 END AS is_degraded
-    FROM rep""",
-)
-def _(spark, sf):
-    found = model.model_report(predictions(spark, sf), labels(spark, sf), "w", ORDER)
+    FROM rep"""
+
+
+def report_columns(found: DataFrame) -> DataFrame:
     return found.select(
         "w", "n_predictions", "phase", r6("ks_statistic"), r6("p_value"), "prediction_drift",
         r6("current_positive_rate"), r6("z_score"), "label_drift", "window_size", r6("accuracy"),
         r6("estimated_auc"), r6("baseline_accuracy"), "is_degraded",
-    )
+    )
+
+
+@query("m9_model_report", MODEL_REPORT_SQL)
+def _(spark, sf):
+    return report_columns(model.model_report(predictions(spark, sf), labels(spark, sf), "w", ORDER))
 
 
 @query(

@@ -3,6 +3,8 @@ arrived, work them off and stop; what they wrote is the result."""
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +12,15 @@ from checks.alerting import ALL_ALERTS, METRICS_COLUMNS, METRICS_FROM, METRICS_P
 from checks.alerting import _metrics_rows, _validation_alerts
 from checks.base import FE, ISSUES, LAB, PRED, VALIDITY, q6, query, r6, report
 from checks.drifting import ORACLE_REFERENCE, ctes, reference_rows
+from checks.modelling import LATEST_LABELS_SQL, MODEL_REPORT_SQL, corrected_labels, report_columns
 from plumbline.operators.registry import load_reference, save_reference
 from plumbline.operators.validate import Validation
-from plumbline.plans.views import FEATURE_EVENTS, LABELS, PREDICTIONS, feature_events
+from plumbline.plans.views import FEATURE_EVENTS, LABELS, PREDICTIONS, feature_events, labels, predictions
 from plumbline.schemas import EVENT, LABEL, PREDICTION
 from plumbline.session import scratch_path
 from plumbline.sources import records, tables
-from plumbline.streaming.windows import match_label_stream, with_window
+from plumbline.streaming.model_monitor import ModelMonitor
+from plumbline.streaming.windows import heartbeat, latest_label_stream, match_label_stream, with_window
 
 MESSAGE_COLUMNS = ("event_id", "user_id", "age", "purchase_amount", "session_duration", "page_views", "device_type", "timestamp")
 
@@ -232,3 +236,47 @@ def _(spark, sf):
     joined = match_label_stream(left, right, "1 day", "2 days")
     return _work_off(joined.select("event_id", "predicted_label", "true_label"), "pairs")
 
+
+
+FAR = datetime(2100, 1, 1)
+DAYS = ((1, 8), (9, 16), (17, 24), (25, 31))
+
+
+def _arriving(rows: DataFrame, time: str, name: str) -> DataFrame:
+    """Rows as a stream of several files in the order of their time, with a heartbeat at the end.
+
+    Two heartbeats: the first moves the watermark, the second makes a batch that sees it.
+    """
+    spark = rows.sparkSession
+    path = scratch_path(spark, name)
+    for first, last in DAYS:
+        rows.where(F.dayofmonth(time).between(first, last)).coalesce(1).write.mode("append").parquet(path)
+    for _ in range(2):
+        heartbeat(spark, rows.schema, time, FAR).coalesce(1).write.mode("append").parquet(path)
+    return records.file_stream(spark, path, rows.schema, "parquet", maxFilesPerTrigger="1")
+
+
+@query("j2_latest_label_stream", f"{LATEST_LABELS_SQL} SELECT event_id, predicted_label, latest.true_label, latest.label_ts FROM pred LEFT JOIN latest USING (event_id)")
+def _(spark, sf):
+    """Predictions and labels in several files; a third of the events get a second, later label, which wins."""
+    left = _arriving(predictions(spark, sf), "ts", "arriving-predictions")
+    right = _arriving(corrected_labels(spark, sf), "label_ts", "arriving-labels")
+    found = _work_off(latest_label_stream(left, right, "1 day", "2 days", "1 day"), "latest-labels")
+    return found.select("event_id", "predicted_label", "true_label", F.col("label_ts").cast("timestamp_ntz").alias("label_ts"))
+
+
+@query("m9_streamed_report", MODEL_REPORT_SQL)
+def _(spark, sf):
+    """The model monitor on both streams, several micro-batches each."""
+    monitor = ModelMonitor(spark, scratch_path(spark, "model-monitor"))
+    run = monitor.start(
+        _arriving(predictions(spark, sf), "ts", "arriving-predictions"),
+        _arriving(labels(spark, sf), "label_ts", "arriving-labels"),
+        scratch_path(spark, "model-monitor-checkpoint"),
+        horizon="1 day",
+        delay="2 days",
+        width="1 day",
+        interval=None,
+    )
+    run.awaitTermination()
+    return report_columns(monitor.report())

@@ -57,7 +57,14 @@ def score_drift(
     scores = predictions.select(window, F.lit("predicted_score").alias("feature"), F.col("predicted_score").alias("value"))
     counted = value_counts(scores, [window, "feature"]).join(phases.select(window, "phase"), window)
     reference = pooled(counted.where(F.col("phase") == WARMUP), ["feature"])
-    current = counted.where(F.col("phase") == MONITORING).drop("phase")
+    return score_tests(reference, counted.where(F.col("phase") == MONITORING).drop("phase"), window, settings)
+
+
+def score_tests(
+    reference: DataFrame, current: DataFrame, window: str, settings: ModelSettings = ModelSettings()
+) -> DataFrame:
+    """``score_drift`` from counted scores: the warm-up's (feature, value, n) and those of the
+    monitored windows (window, feature, value, n)."""
     tests = ks_windows(
         reference,
         current,
@@ -167,24 +174,33 @@ def performance(
     AUC both read them.
     """
     recent = settle(last_pairs(pairs, phases, window, order, settings.window_rows), "last-pairs")
+    report = recent_performance(recent, phases, window, settings)
+    at_end = F.max(F.when(F.col("position") == settings.warmup_windows, F.col("accuracy")))
+    # One row per window, so the frame over all of them is small.
+    report = report.withColumn("baseline_accuracy", at_end.over(Window.partitionBy()))
+    return report.drop("position").withColumn(
+        "is_degraded", is_degraded(F.col("baseline_accuracy"), F.col("accuracy"), settings.accuracy_drop)
+    )
+
+
+def recent_performance(
+    recent: DataFrame, phases: DataFrame, window: str, settings: ModelSettings = ModelSettings()
+) -> DataFrame:
+    """(window, position, phase, window_size, accuracy, estimated_auc) of the last pairs of every window."""
     hit = (F.col("predicted_label") == F.col("true_label")).cast("double")
     accuracy = recent.groupBy(window).agg(F.count(F.lit(1)).alias("window_size"), F.avg(hit).alias("accuracy"))
-    report = (
+    found = (
         phases.select(window, "position", "phase")
         .join(accuracy, window, "left")
         .join(auc(recent, window, min_class_rows=settings.min_class_rows).select(window, "auc"), window, "left")
     )
-    at_end = F.max(F.when(F.col("position") == settings.warmup_windows, F.col("accuracy")))
-    # One row per window, so the frame over all of them is small.
-    report = report.withColumn("baseline_accuracy", at_end.over(Window.partitionBy()))
-    return report.select(
+    return found.select(
         window,
+        "position",
         "phase",
         F.coalesce("window_size", F.lit(0)).alias("window_size"),
         "accuracy",
         F.col("auc").alias("estimated_auc"),
-        "baseline_accuracy",
-        is_degraded(F.col("baseline_accuracy"), F.col("accuracy"), settings.accuracy_drop).alias("is_degraded"),
     )
 
 
@@ -208,14 +224,22 @@ def model_report(
     phases = settle(model_phases(predictions, window, settings), "model-phases")
     pairs = settle(match_labels(predictions, labels), "pairs")
     base = warmup_baseline(predictions, phases, window)
-    scores = score_drift(predictions, phases, window, settings).select(
+    scores = score_drift(predictions, phases, window, settings)
+    rates = label_drift(predictions, base.select("positive_rate").scalar(), window, settings=settings)
+    health = performance(pairs, phases, window, order, settings).drop("phase")
+    return joined_report(phases, scores, rates, health, window)
+
+
+def joined_report(
+    phases: DataFrame, scores: DataFrame, rates: DataFrame, health: DataFrame, window: str
+) -> DataFrame:
+    """The report of ``model_report`` from its parts, each with one row per window."""
+    scores = scores.select(
         window, "ks_statistic", "p_value", F.col("drifted").alias("prediction_drift"), "baseline_mean", "current_mean"
     )
-    rates = label_drift(predictions, base.select("positive_rate").scalar(), window, settings=settings).select(
-        window, "current_positive_rate", "z_score", F.col("drifted").alias("label_drift")
-    )
-    health = performance(pairs, phases, window, order, settings).drop("phase")
-    joined = phases.drop("position").join(scores, window, "left").join(rates, window, "left").join(health, window)
+    rates = rates.select(window, "current_positive_rate", "z_score", F.col("drifted").alias("label_drift"))
+    phases = phases.select(window, "n_predictions", "phase")
+    joined = phases.join(scores, window, "left").join(rates, window, "left").join(health, window)
     checks = [c for c in joined.columns if c not in {window, "n_predictions", "phase"}]
     monitored = F.col("phase") == MONITORING
     return joined.select(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def with_window(
@@ -33,8 +36,23 @@ def match_label_stream(
     Both sides carry a watermark and the join has a time range, so Spark drops the
     state of events that can no longer match. With ``left_outer`` a prediction
     without a label comes out once its horizon has passed. Every label of an event
-    is matched; keep the newest per event in the table that is written.
+    is matched; ``latest_label_stream`` keeps the newest.
     """
+    return _joined(predictions, labels, horizon, delay, prediction_time, label_time, how)
+
+
+def _joined(
+    predictions: DataFrame,
+    labels: DataFrame,
+    horizon: str,
+    delay: str,
+    prediction_time: str,
+    label_time: str,
+    how: str,
+    heartbeats: bool = False,
+) -> DataFrame:
+    """``heartbeats``: rows with a null event are joined too. An equality would have them
+    dropped before they are seen by the watermark."""
     left = predictions.withColumn(prediction_time, F.col(prediction_time).cast("timestamp")).withWatermark(
         prediction_time, delay
     )
@@ -46,5 +64,55 @@ def match_label_stream(
     in_time = (F.col(label_time) >= F.col(prediction_time)) & (
         F.col(label_time) <= F.col(prediction_time) + F.expr(f"INTERVAL {horizon}")
     )
-    joined = left.join(right, (F.col("event_id") == F.col("_label_event")) & in_time, how)
-    return joined.drop("_label_event")
+    event, label_event = F.col("event_id"), F.col("_label_event")
+    same = event.eqNullSafe(label_event) if heartbeats else event == label_event
+    return left.join(right, same & in_time, how).drop("_label_event")
+
+
+def latest_label_stream(
+    predictions: DataFrame,
+    labels: DataFrame,
+    horizon: str,
+    delay: str,
+    width: str,
+    prediction_time: str = "ts",
+    label_time: str = "label_ts",
+) -> DataFrame:
+    """Every prediction once, with the newest of its labels: the columns of ``predictions``
+    (the time as a timestamp), ``true_label`` and ``label_ts``, both null without a label.
+
+    A prediction is held until its window of ``width`` and the horizon after it have passed;
+    a label that comes earlier in the stream but has a later time wins, equal times go to
+    the larger label. All predictions of a window come out of the same micro-batch. A
+    prediction that arrives twice comes out once. State is keyed by event, so no key is
+    hot, and is bounded: the join drops both sides after the horizon, the window's rows
+    go when it closes. Windows close in the order of their time.
+
+    A stream's last windows stay open until later rows arrive; ``heartbeat`` rows (a null
+    ``event_id``) move the time on without adding anything.
+    """
+    columns = predictions.columns
+    joined = _joined(predictions, labels, horizon, delay, prediction_time, label_time, "left_outer", heartbeats=True)
+    # Only the window carries the stream's time from here on; other times are numbers while they are keys.
+    flat = joined.select(
+        F.window(prediction_time, width).alias("_held"),
+        *[(F.unix_micros(c) if c == prediction_time else F.col(c)).alias(c) for c in columns],
+        F.struct(F.unix_micros(label_time).alias("at"), "true_label").alias("_label"),
+    )
+    newest = F.max(F.when(F.col("_label.at").isNotNull(), F.col("_label")))
+    # Heartbeats are left out by an aggregate, as a filter on the event would move below the watermark.
+    real = F.max(F.col("event_id").isNotNull())
+    held = flat.groupBy("_held", *columns).agg(newest.alias("_label"), real.alias("_real")).where("_real")
+    return held.select(
+        *[(F.timestamp_micros(c) if c == prediction_time else F.col(c)).alias(c) for c in columns],
+        F.col("_label.true_label").alias("true_label"),
+        F.timestamp_micros("_label.at").alias(label_time),
+    )
+
+
+def heartbeat(spark: SparkSession, schema: T.StructType, time: str, at: datetime) -> DataFrame:
+    """One row of nulls but for the time: it moves the watermark of a stream that has gone quiet."""
+    row = spark.createDataFrame([(at,)], "at timestamp")
+    return row.select(
+        *[(F.col("at") if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+    )
