@@ -143,36 +143,3 @@ def percentiles(
         for i, share in enumerate(shares)
     ]
     return picked.select(*group, "n", F.array(*between).alias("percentiles"))
-
-
-def exact_median(values: DataFrame, column: str, at_once: int = 100_000) -> float | None:
-    """The exact median of a settled column, None without rows.
-
-    Counts of 1,024 equal ranges narrow the values down, summed where they are read,
-    until those around the middle are few enough to be ordered in one row.
-    """
-    value = F.col(column)
-    known = values.where(value.isNotNull())
-    n, low, high = known.agg(F.count("*"), F.min(value), F.max(value)).first()
-    if not n:
-        return None
-
-    def smallest(k: int) -> float:
-        below, inside, a, b = 0, n, low, high
-        while inside > at_once and a < b:
-            part = F.least(F.lit(1023), F.floor((value - a) / ((b - a) / 1024)))
-            found = known.where(value.between(a, b)).groupBy(part.alias("part")).agg(
-                F.count("*").alias("n"), F.min(value).alias("a"), F.max(value).alias("b")
-            )
-            for row in found.orderBy("part").collect():
-                if k < below + row["n"]:
-                    inside, a, b = row["n"], row["a"], row["b"]
-                    break
-                below += row["n"]
-        if a == b:
-            return a
-        ordered = known.where(value.between(a, b)).agg(F.array_sort(F.collect_list(value)).alias("v"))
-        return ordered.select(F.get("v", F.lit(k - below))).first()[0]
-
-    first = smallest((n - 1) // 2)
-    return first if n % 2 else (first + smallest(n // 2)) / 2

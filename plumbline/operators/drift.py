@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.ranking import percentiles, range_cuts, running_sums
 from plumbline.functions.scalars import chi2_pvalue, ks_pvalue, psi_level, rate
+from plumbline.functions.selection import percentiles_of
 from plumbline.settings import DriftSettings
 
 # Method names.
@@ -74,12 +75,15 @@ def ks_verdict(reduced: DataFrame, significance: float, min_rows: int) -> DataFr
     )
 
 
-def psi_edges(reference: DataFrame, bins: int) -> DataFrame:
-    """(feature, edges): the inner quantile edges of the reference."""
+def psi_edges(reference: DataFrame, bins: int, rows: DataFrame | None = None) -> DataFrame:
+    """(feature, edges): the inner quantile edges of the reference, from its counted values or, without
+    ordering them, from its ``rows`` (feature, value)."""
     shares = [i / bins for i in range(1, bins)]
-    return percentiles(reference, ["feature"], ["feature"], shares).select(
-        "feature", F.col("percentiles").alias("edges")
-    )
+    if rows is not None:
+        found = percentiles_of(rows, ["feature"], shares)
+    else:
+        found = percentiles(reference, ["feature"], ["feature"], shares)
+    return found.select("feature", F.col("percentiles").alias("edges"))
 
 
 def bin_counts(counted: DataFrame, edges: DataFrame, group: Sequence[str], bins: int) -> DataFrame:
@@ -92,9 +96,9 @@ def bin_counts(counted: DataFrame, edges: DataFrame, group: Sequence[str], bins:
     return placed.groupBy(*group).agg(F.array(*slots).alias("bins"))
 
 
-def psi_reference(reference: DataFrame, bins: int) -> DataFrame:
-    """(feature, edges, reference_bins): all that PSI needs of a reference."""
-    edges = psi_edges(reference, bins)
+def psi_reference(reference: DataFrame, bins: int, rows: DataFrame | None = None) -> DataFrame:
+    """(feature, edges, reference_bins): all that PSI needs of a reference. ``rows`` as in ``psi_edges``."""
+    edges = psi_edges(reference, bins, rows)
     counts = bin_counts(reference, edges, ["feature"], bins).withColumnRenamed("bins", "reference_bins")
     return edges.join(counts, "feature")
 

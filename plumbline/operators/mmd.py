@@ -7,7 +7,6 @@ the reference embedding is the sum over the warm-up windows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.frames import complete_rows, long_numeric
-from plumbline.functions.ranking import exact_median, lowest_by
+from plumbline.functions.ranking import lowest_by
 from plumbline.functions.scalars import clean, separation_ratio
+from plumbline.functions.selection import medians
 from plumbline.operators.phases import CALIBRATE, MONITORING, WARMUP
 from plumbline.session import settle
 from plumbline.settings import MmdSettings, PhaseSettings
@@ -91,10 +91,11 @@ def neighbour_pairs(
     return pairs.select(*group, squared.alias("squared"))
 
 
-def bandwidth_of(pairs: DataFrame, squared: str = "squared") -> float:
-    """Square root of half the median positive squared distance of settled pairs, 1.0 without one."""
-    middle = exact_median(pairs.where(F.col(squared) > 0), squared)
-    return 1.0 if middle is None else math.sqrt(middle / 2)
+def pair_bandwidths(pairs: DataFrame, group: Sequence[str] = (), squared: str = "squared") -> DataFrame:
+    """(group, sigma): square root of half the median positive squared distance of settled pairs,
+    for all groups at a time; no row for a group without one."""
+    middle = medians(pairs.where(F.col(squared) > 0), group, squared)
+    return middle.select(*group, F.sqrt(F.col("median") / 2).alias("sigma"))
 
 
 def bandwidth(df: DataFrame, features: Sequence[str], key: Sequence[str], settings: MmdSettings) -> DataFrame:
@@ -106,14 +107,16 @@ def bandwidth(df: DataFrame, features: Sequence[str], key: Sequence[str], settin
     if settings.sample_size is not None:
         return median_bandwidth(hash_sample(usable, key, settings.sample_size), features)
     pairs = settle(neighbour_pairs(usable, features, key), "pairs")
-    return spark.range(1).select(F.lit(bandwidth_of(pairs)).alias("sigma"))
+    found = pair_bandwidths(pairs).select("sigma").scalar()
+    return spark.range(1).select(F.coalesce(found, F.lit(1.0)).alias("sigma"))
 
 
 def feature_bandwidths(values: DataFrame, features: Sequence[str], key: Sequence[str]) -> DataFrame:
     """(feature, sigma) of all rows of ``values`` (feature, value), one row per listed feature."""
     pairs = settle(neighbour_pairs(values, ["value"], key, ["feature"]), "pairs")
-    rows = [(f, bandwidth_of(pairs.where(F.col("feature") == f))) for f in features]
-    return values.sparkSession.createDataFrame(rows, "feature string, sigma double").coalesce(1)
+    listed = values.sparkSession.createDataFrame([(f,) for f in features], "feature string").coalesce(1)
+    found = listed.join(pair_bandwidths(pairs, ["feature"]), "feature", "left")
+    return found.select("feature", F.coalesce("sigma", F.lit(1.0)).alias("sigma"))
 
 
 def component_sums(

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.frames import long_categorical, long_numeric, stack_structs
-from plumbline.functions.ranking import lowest_by, percentiles, value_counts
+from plumbline.functions.ranking import lowest_by
 from plumbline.functions.scalars import clean, rate
+from plumbline.functions.selection import percentiles_of
 
 # The percentiles of a snapshot and the size of its value sample.
 SNAPSHOT_SHARES = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -63,9 +64,7 @@ def numeric_percentiles(
             .groupBy(*group)
             .agg(F.count("value").alias("n"), sketch.alias("percentiles"))
         )
-    return percentiles(value_counts(rows, group), ["feature"], ["feature", *by], shares).select(
-        *by, "feature", "n", "percentiles"
-    )
+    return percentiles_of(rows, group, shares)
 
 
 def value_sample(

@@ -39,10 +39,11 @@ class Reference:
 
 def fit_reference(df: DataFrame, settings: Settings, null_columns: Sequence[str]) -> Reference:
     """The reference from a frame of reference rows."""
-    values = value_counts(long_numeric(df, [], settings.numeric), ["feature"])
+    rows = long_numeric(df, [], settings.numeric)
+    values = value_counts(rows, ["feature"])
     return Reference(
         values,
-        drift.psi_reference(values, settings.drift.psi_bins),
+        drift.psi_reference(values, settings.drift.psi_bins, rows),
         drift.reference_frequencies(stats.category_counts(df, [], settings.categorical)),
         validate.null_rates(df, [], null_columns),
     )
@@ -131,9 +132,11 @@ class WindowReport:
             *[F.try_divide(F.sum(f"nulls_{c}").cast("double"), F.sum("total")).alias(c) for c in self._listed_nulls]
         )
         values = drift.pooled(self.counted_values.where(warm), ["feature"])
+        listed = self.profile.where(warm).select(self.window)
+        rows = long_numeric(self.df.join(listed, self.window, "left_semi"), [], self.settings.numeric)
         return Reference(
             values,
-            drift.psi_reference(values, self.settings.drift.psi_bins),
+            drift.psi_reference(values, self.settings.drift.psi_bins, rows),
             drift.reference_frequencies(self.counted_categories.where(warm)),
             stack_structs(
                 nulls, [], [F.struct(F.lit(c).alias("feature"), F.col(c).alias("null_rate")) for c in self._listed_nulls]

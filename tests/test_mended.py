@@ -6,8 +6,8 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions.ranking import exact_median
 from plumbline.functions.scalars import number_text
+from plumbline.functions.selection import medians
 from plumbline.operators import alerts, mmd, registry
 from plumbline.settings import AlertSettings, MmdSettings
 
@@ -22,14 +22,25 @@ def test_number_text(spark):
     assert spark.sql("SELECT CAST(NULL AS DOUBLE) AS v").select(number_text(F.col("v"))).first()[0] is None
 
 
-@pytest.mark.parametrize("at_once", [100_000, 3])
-def test_exact_median(spark, at_once):
+def test_medians(spark):
     rng = random.Random(1)
-    for n in (1, 2, 9, 50, 51):
-        values = [rng.choice([rng.random(), rng.random() * 1e6, 7.0]) for _ in range(n)]
-        rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
-        assert exact_median(rows, "v", at_once) == pytest.approx(statistics.median(values))
-    assert exact_median(spark.createDataFrame([], "v double"), "v") is None
+    cases = {n: [rng.choice([rng.random(), rng.random() * 1e6, 7.0]) for _ in range(n)] for n in (1, 2, 9, 50, 51)}
+    rows = spark.createDataFrame([(n, v) for n, values in cases.items() for v in [*values, None]], "g int, v double")
+    found = {r.g: r.median for r in medians(rows, ["g"], "v").collect()}
+    assert found == {n: pytest.approx(statistics.median(values)) for n, values in cases.items()}
+    assert medians(rows.limit(0), ["g"], "v").count() == 0 and medians(rows.limit(0), [], "v").count() == 0
+    assert medians(rows, [], "v").first()["n"] == sum(cases)
+
+
+def test_a_median_among_infinite_values_ends(spark):
+    """One infinite value made the earlier search narrow nothing."""
+    many = spark.range(150_000).select((F.col("id") * 1.0).alias("v"))
+    rows = many.unionByName(spark.sql("SELECT double('Infinity') AS v"))
+    assert medians(rows, [], "v").first()["median"] == 75_000
+    only = spark.sql("SELECT double('Infinity') AS v FROM range(4) UNION ALL SELECT double('-Infinity')")
+    assert medians(only, [], "v").first()["median"] == float("inf")
+    pairs = rows.select(F.col("v").alias("squared"))
+    assert mmd.pair_bandwidths(pairs).first()["sigma"] == pytest.approx((75_000.5 / 2) ** 0.5)
 
 
 def test_bandwidth_sees_every_row(spark):
