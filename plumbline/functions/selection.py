@@ -12,7 +12,7 @@ its whole group in ranges (``ranking``).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,15 +27,16 @@ MAX_ACCURACY = 1_000_000
 _MARGIN = 4  # a bracket reaches this many sketch errors to each side of its rank
 
 
-def _brackets(known: DataFrame, group: Sequence[str], shares: Sequence[float], accuracy: int) -> DataFrame:
+# (group, n, _q) of every group: its row count and the sketch's values at the asked shares.
+Sketch = Callable[[Sequence[float], int], DataFrame]
+
+
+def _brackets(sketch: Sketch, group: Sequence[str], shares: Sequence[float], accuracy: int) -> DataFrame:
     """(group, n, lows, highs): settled, one row per group. Where a margin is no whole rank, and at the
     ends, a bracket is open."""
-    accuracy = max(accuracy, ACCURACY)
     margin = _MARGIN / accuracy
     asked = [min(1.0, max(0.0, s + side)) for s in shares for side in (-margin, margin)]
-    sketched = known.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", asked, accuracy).alias("_q")
-    )
+    sketched = sketch(asked, accuracy)
     small = F.col("n") <= accuracy // 2
     lows, highs = [], []
     for i, share in enumerate(shares):
@@ -66,24 +67,35 @@ def reduced_ranks(known: DataFrame, brackets: DataFrame, group: Sequence[str], k
     )
 
 
+def sketch_of(known: DataFrame, group: Sequence[str]) -> Sketch:
+    return lambda asked, accuracy: known.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", list(asked), accuracy).alias("_q")
+    )
+
+
 def percentiles_of(
-    rows: DataFrame, group: Sequence[str], shares: Sequence[float], value: str = "value", accuracy: int = ACCURACY
+    rows: DataFrame,
+    group: Sequence[str],
+    shares: Sequence[float],
+    value: str = "value",
+    sketch: Sketch | None = None,
 ) -> DataFrame:
     """(group, n, percentiles): exact linear-interpolation percentiles of ``value`` in each group.
 
     ``shares`` must ascend. Null and NaN values are left out, and groups that have nothing else;
     infinite values are values like others. A null group is a group. Two passes over the
-    rows; ``accuracy`` is the coarsest sketch (1 / share of rows).
+    rows. ``sketch`` may give the same sketches in a cheaper way than from the long rows.
     """
     if list(shares) != sorted(shares):
         raise ValueError("shares must ascend")
     v = F.col(value).cast("double")
     known = rows.where(v.isNotNull() & ~F.isnan(v)).select(*group, v.alias("_v"))
+    sketch, accuracy = sketch or sketch_of(known, group), ACCURACY
     while True:
-        brackets = _brackets(known, group, shares, accuracy)
+        brackets = _brackets(sketch, group, shares, accuracy)
         largest = brackets.agg(F.max("n")).first()[0] or 0
         wanted = min(MAX_ACCURACY, math.isqrt(2 * (_MARGIN + 1) * len(shares) * largest))
-        if wanted <= max(accuracy, ACCURACY):
+        if wanted <= accuracy:
             break
         accuracy = wanted
     reduced = reduced_ranks(known, brackets, group, len(shares))

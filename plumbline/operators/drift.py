@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.ranking import percentiles, range_cuts, running_sums
+from plumbline.functions.gaps import largest_gaps
+from plumbline.functions.ranking import percentiles, range_cuts
 from plumbline.functions.scalars import chi2_pvalue, ks_pvalue, psi_level, rate
 from plumbline.functions.selection import percentiles_of
 from plumbline.settings import DriftSettings
@@ -36,27 +37,11 @@ def ks_windows(
     """(window, feature, n_reference, n_current, ks_statistic, p_value, skipped, drifted).
 
     ``reference`` is (feature, value, n), ``current`` is (window, feature, value, n).
-    The gap between the two step functions is largest at, or just before, a value
-    of the current window, so the reference is ordered once for all windows and
-    its rows are not repeated per window. ``cuts`` may hold ``ks_cuts`` of an earlier
-    reference.
+    Only the values of ranges that can hold the largest gap are ordered (``functions.gaps``).
+    ``cuts`` may hold ``ks_cuts`` of an earlier reference.
     """
-    rows = reference.select("feature", "value", F.col("n").alias("r"), F.lit(0).cast("long").alias("c")).unionByName(
-        current.select("feature", "value", window, F.lit(0).cast("long").alias("r"), F.col("n").alias("c")),
-        allowMissingColumns=True,
-    )
-    ranked = running_sums(rows, ["feature"], "value", {"r": ["feature"], "c": ["feature", window]}, [window], edges=cuts)
-    here = F.abs(rate(F.col("r_cum"), F.col("r_total")) - rate(F.col("c_cum"), F.col("c_total")))
-    below = F.abs(
-        rate(F.col("r_cum") - F.col("r_equal"), F.col("r_total"))
-        - rate(F.col("c_cum") - F.col("c"), F.col("c_total"))
-    )
-    reduced = ranked.where(F.col("c") > 0).groupBy(window, "feature").agg(
-        F.max("r_total").alias("n_reference"),
-        F.max("c_total").alias("n_current"),
-        F.max(F.greatest(here, below)).alias("ks_statistic"),
-    )
-    return ks_verdict(reduced, settings.ks_significance, settings.min_rows)
+    gaps = largest_gaps(reference, current, window, cuts).withColumnRenamed("gap", "ks_statistic")
+    return ks_verdict(gaps, settings.ks_significance, settings.min_rows)
 
 
 def ks_cuts(reference: DataFrame) -> DataFrame:

@@ -64,7 +64,23 @@ def numeric_percentiles(
             .groupBy(*group)
             .agg(F.count("value").alias("n"), sketch.alias("percentiles"))
         )
-    return percentiles_of(rows, group, shares)
+    present = [name for name in numeric if name in df.columns]
+
+    def sketch(asked: Sequence[float], accuracy: int) -> DataFrame:
+        """One row of the table feeds the sketches of all its features."""
+        aggregates = []
+        for name in present:
+            aggregates += [
+                F.count(clean(name)).alias(f"{name}_n"),
+                F.percentile_approx(clean(name), list(asked), accuracy).alias(f"{name}_q"),
+            ]
+        parts = [
+            F.struct(F.lit(name).alias("feature"), F.col(f"{name}_n").alias("n"), F.col(f"{name}_q").alias("_q"))
+            for name in present
+        ]
+        return stack_structs(df.groupBy(*by).agg(*aggregates), by, parts).where(F.col("n") > 0)
+
+    return percentiles_of(rows, group, shares, sketch=sketch if present else None)
 
 
 def value_sample(

@@ -118,6 +118,12 @@ class WindowReport:
         rows = long_numeric(self.df, [self.window], self.settings.numeric)
         return self.with_phase(value_counts(rows, [self.window, "feature"]))
 
+    @cached_property
+    def values(self) -> DataFrame:
+        """(window, phase, feature, value, n): every value as a row of its own, not shuffled."""
+        rows = long_numeric(self.df, [self.window], self.settings.numeric).where(F.col("value").isNotNull())
+        return self.with_phase(rows.withColumn("n", F.lit(1).cast("long")))
+
     @cached_property
     def counted_categories(self) -> DataFrame:
         return self.with_phase(stats.category_counts(self.df, [self.window], self.settings.categorical))
@@ -159,9 +165,8 @@ class WindowReport:
         return stack_structs(self.profile, [self.window, "phase"], rates)
 
     def ks(self) -> DataFrame:
-        return drift.ks_windows(
-            self.reference.values, self._current(self.counted_values), self.window, self.settings.drift
-        )
+        warm = self.values.where(F.col("phase") == WARMUP).select("feature", "value", "n")
+        return drift.ks_windows(warm, self._current(self.values), self.window, self.settings.drift)
 
     def psi(self) -> DataFrame:
         return drift.psi_windows(

@@ -51,9 +51,9 @@ def test_missed_ranks_are_found_by_ordering(spark, monkeypatch):
     """Brackets that miss are an error of the sketch; the result stays exact."""
     rows = settle(big(spark, 30_000), "rows")
 
-    def wrong(known, group, shares, accuracy):
+    def wrong(sketch, group, shares, accuracy):
         k = len(shares)
-        found = known.groupBy(*group).agg(F.count("*").alias("n"))
+        found = sketch([0.5], accuracy)
         return found.select(*group, "n", F.array([F.lit(0.5)] * k).alias("lows"), F.array([F.lit(0.7)] * k).alias("highs"))
 
     monkeypatch.setattr(selection, "_brackets", wrong)
@@ -64,7 +64,7 @@ def test_missed_ranks_are_found_by_ordering(spark, monkeypatch):
 def test_few_rows_are_moved(spark):
     """Of a large group, the second pass sends on far less than a twentieth of its values."""
     known = settle(spark.range(300_000).select(F.lit("a").alias("g"), F.rand(3).alias("_v")), "known")
-    brackets = selection._brackets(known, ["g"], [0.25, 0.5, 0.75], selection.ACCURACY)
+    brackets = selection._brackets(selection.sketch_of(known, ["g"]), ["g"], [0.25, 0.5, 0.75], selection.ACCURACY)
     moved = selection.reduced_ranks(known, brackets, ["g"], 3)
     assert 0 < moved.count() < 3_000
     assert moved.agg(F.sum("c")).first()[0] == 300_000
