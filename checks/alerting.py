@@ -131,17 +131,17 @@ def _payload_rows(found: DataFrame) -> DataFrame:
     "a6_payload",
     f"""WITH RECURSIVE {ctes(*V_PARTS)}, {fold_sql('vcand')}
     SELECT w, alert_type, severity, what || ' — ' || why AS message,
-      'count=' || count || ';feature=' || feature || ';issue_type=' || issue_type || ';rate=' || round(rate, 4)
+      coalesce('allowed=' || allowed || ';', '') || 'count=' || count || ';feature=' || feature || ';issue_type=' || issue_type || ';rate=' || round(rate, 4)
         || coalesce(';rule=' || rule, '') AS details
-    FROM (SELECT v.*, i.count, i.feature, i.issue_type, i.rate, i.rule FROM vcand v JOIN issues i ON v.w = i.w
+    FROM (SELECT v.*, i.count, i.feature, i.issue_type, i.rate, i.rule, i.allowed FROM vcand v JOIN issues i ON v.w = i.w
           AND v.alert_key = 'validation_' || i.issue_type || '_' || i.feature)
-    JOIN fold USING (alert_key, w) WHERE fired AND issue_type <> 'invalid_category'""",
+    JOIN fold USING (alert_key, w) WHERE fired""",
 )
 def _(spark, sf):
     entries = F.transform(
         F.array_sort(F.map_entries("details")), lambda e: F.concat(e["key"], F.lit("="), e["value"])
     )
-    return _validation_alerts(spark, sf).where("alert_type <> 'validation_invalid_category'").select(
+    return _validation_alerts(spark, sf).select(
         "w", "alert_type", "severity", "message", F.array_join(entries, ";").alias("details")
     )
 
@@ -270,15 +270,17 @@ def _(spark, sf):
 
 @query(
     "s15_mail",
-    f"""{VALIDATION_ALERTS} SELECT w, what, '[' || upper(severity) || '] Data Quality Alert — ' || alert_type || ' (batch ' || w || ')' AS subject,
+    f"""{VALIDATION_ALERTS}, det AS (
+      SELECT al.*, coalesce('  allowed: ' || i.allowed || chr(10), '') || '  count: ' || i.count || chr(10) || '  feature: ' || i.feature || chr(10)
+        || '  issue_type: ' || i.issue_type || chr(10) || '  rate: ' || round(i.rate, 4) || coalesce(chr(10) || '  rule: ' || i.rule, '') AS details
+      FROM al JOIN issues i ON al.w = i.w AND al.alert_key = 'validation_' || i.issue_type || '_' || i.feature)
+    SELECT w, what, '[' || upper(severity) || '] Data Quality Alert — ' || alert_type || ' (batch ' || w || ')' AS subject,
       'Alert Type : ' || alert_type || chr(10) || 'Severity   : ' || upper(severity) || chr(10) || 'Batch      : ' || w || chr(10)
       || 'Time       : ' || {ISO} || chr(10) || chr(10) || 'WHAT       : ' || what || chr(10) || 'WHY        : ' || why || chr(10)
-      || 'METRIC     : ' || metric AS head FROM al""",
+      || 'METRIC     : ' || metric || chr(10) || chr(10) || 'Details:' || chr(10) || details AS body FROM det""",
 )
 def _(spark, sf):
-    mailed = render.mails(_validation_alerts(spark, sf), "w", keep=["what"])
-    head = F.substring_index("body", "\n\nDetails:", 1)
-    return mailed.select("w", "what", "subject", head.alias("head"))
+    return render.mails(_validation_alerts(spark, sf), "w", keep=["what"]).select("w", "what", "subject", "body")
 
 
 @query(

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.base import COLUMNS, FE, LNG, NUMERIC, PHASES, q6, query, r6, report
@@ -341,12 +343,16 @@ def _(spark, sf):
     return drift.null_rate_points(report(spark, sf).null_rate_drift()).select("w", "feature", r6("delta_pp"), "alert")
 
 
-ORACLE_REFERENCE = f"""WITH {FE}, {PHASES}, {LNG}, {REF}, warm AS (SELECT * FROM fe WHERE w IN (SELECT w FROM ph WHERE phase = 'warmup'))
-    SELECT 'value' AS part, feature, CAST(value AS VARCHAR) AS item, count(*) * 1.0e0 AS amount FROM ref
-    WHERE feature IN ('age', 'page_views') GROUP BY feature, value
-    UNION ALL SELECT 'frequency', 'device_type', device_type, {q6('count(*) * 1.0e0 / (SELECT count(device_type) FROM warm)')}
+ORACLE_REFERENCE = f"""WITH {FE}, {PHASES}, {LNG}, {REF}, warm AS (SELECT * FROM fe WHERE w IN (SELECT w FROM ph WHERE phase = 'warmup')),
+    edges AS (SELECT feature, quantile_cont(value, {SHARES}) AS e FROM ref GROUP BY feature),
+    rb AS (SELECT feature, len(list_filter(e, lambda x: value >= x)) AS bin, count(*) AS n FROM ref JOIN edges USING (feature) GROUP BY 1, 2)
+    SELECT 'value' AS part, feature, '' AS item, {q6('value')} AS place, CAST(count(*) AS DOUBLE) AS amount FROM ref GROUP BY feature, value
+    UNION ALL SELECT 'edge', feature, '', CAST(g.i AS DOUBLE), {q6('e[g.i + 1]')} FROM edges CROSS JOIN range(9) g(i)
+    UNION ALL SELECT 'bin', edges.feature, '', CAST(g.i AS DOUBLE), CAST(coalesce(rb.n, 0) AS DOUBLE)
+    FROM edges CROSS JOIN range(10) g(i) LEFT JOIN rb ON rb.feature = edges.feature AND rb.bin = g.i
+    UNION ALL SELECT 'frequency', 'device_type', device_type, NULL, {q6('count(*) * 1.0e0 / (SELECT count(device_type) FROM warm)')}
     FROM warm WHERE device_type IS NOT NULL GROUP BY device_type
-    UNION ALL {' UNION ALL '.join(f"SELECT 'null_rate', '{c}', '', {q6(_null_share(c))} FROM warm" for c in COLUMNS)}"""
+    UNION ALL {' UNION ALL '.join(f"SELECT 'null_rate', '{c}', '', NULL, {q6(_null_share(c))} FROM warm" for c in COLUMNS)}"""
 
 
 @query("d11_reference", ORACLE_REFERENCE)
@@ -355,24 +361,26 @@ def _(spark, sf):
 
 
 def reference_rows(parts: dict[str, DataFrame]) -> DataFrame:
-    values = parts["values"].where(F.col("feature").isin("age", "page_views"))
-    return (
-        values.select(
-            F.lit("value").alias("part"), "feature", F.col("value").cast("string").alias("item"),
-            F.col("n").cast("double").alias("amount"),
-        )
-        .unionByName(
-            parts["frequencies"].select(
-                F.lit("frequency").alias("part"), "feature", F.col("category").alias("item"),
-                r6("reference_frequency", "amount"),
-            )
-        )
-        .unionByName(
-            parts["null_rates"].select(
-                F.lit("null_rate").alias("part"), "feature", F.lit("").alias("item"), r6("null_rate", "amount")
-            )
+    """Everything a reference holds, as one long table: values, bin edges and counts, frequencies, null rates."""
+    none = F.lit(None).cast("double")
+
+    def rows(frame: DataFrame, part: str, item: Column, place: Column, amount: Column) -> DataFrame:
+        return frame.select(
+            F.lit(part).alias("part"), "feature", item.alias("item"), place.alias("place"), amount.cast("double").alias("amount")
         )
-    )
+
+    def listed(column: str, part: str, amount: Callable[[Column], Column]) -> DataFrame:
+        each = parts["bins"].select("feature", F.posexplode(column).alias("i", "v"))
+        return rows(each, part, F.lit(""), F.col("i").cast("double"), amount(F.col("v")))
+
+    found = [
+        rows(parts["values"], "value", F.lit(""), r6(F.col("value")), F.col("n")),
+        listed("edges", "edge", r6),
+        listed("reference_bins", "bin", lambda n: n),
+        rows(parts["frequencies"], "frequency", F.col("category"), none, r6(F.col("reference_frequency"))),
+        rows(parts["null_rates"], "null_rate", F.lit(""), none, r6(F.col("null_rate"))),
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 LONG_REPORT = (

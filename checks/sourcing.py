@@ -13,7 +13,7 @@ from checks.alerting import _metrics_rows, _validation_alerts
 from checks.base import FE, ISSUES, LAB, PRED, VALIDITY, q6, query, r6, report
 from checks.drifting import ORACLE_REFERENCE, ctes, reference_rows
 from checks.modelling import LATEST_LABELS_SQL, MODEL_REPORT_SQL, corrected_labels, report_columns
-from plumbline.operators.registry import load_reference, save_reference
+from plumbline.operators.registry import REFERENCE_PARTS, load_reference, save_reference
 from plumbline.operators.validate import Validation
 from plumbline.plans.views import FEATURE_EVENTS, LABELS, PREDICTIONS, feature_events, labels, predictions
 from plumbline.schemas import EVENT, LABEL, PREDICTION
@@ -180,7 +180,7 @@ def _saved_reference(spark: SparkSession, sf: str) -> str:
 @query("s9_save_reference", ORACLE_REFERENCE)
 def _(spark, sf):
     path = _saved_reference(spark, sf)
-    return reference_rows({part: spark.read.parquet(f"{path}/{part}") for part in ("values", "frequencies", "null_rates")})
+    return reference_rows({part: spark.read.parquet(f"{path}/{part}") for part in REFERENCE_PARTS})
 
 
 @query("s10_load_reference", ORACLE_REFERENCE)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.gaps import largest_gaps
-from plumbline.functions.ranking import percentiles, range_cuts
+from plumbline.functions.ranking import percentiles
 from plumbline.functions.scalars import chi2_pvalue, ks_pvalue, psi_level, rate
 from plumbline.functions.selection import percentiles_of
 from plumbline.settings import DriftSettings
@@ -38,17 +38,12 @@ def ks_windows(
 
     ``reference`` is (feature, value, n), ``current`` is (window, feature, value, n).
     Only the values of ranges that can hold the largest gap are ordered (``functions.gaps``).
-    ``cuts`` may hold ``ks_cuts`` of an earlier reference.
+    ``cuts`` may hold the reference's ``ranking.range_cuts``.
     """
     gaps = largest_gaps(reference, current, window, cuts).withColumnRenamed("gap", "ks_statistic")
     return ks_verdict(gaps, settings.ks_significance, settings.min_rows)
 
 
-def ks_cuts(reference: DataFrame) -> DataFrame:
-    """The value ranges of a reference, to be kept with it."""
-    return range_cuts(reference, ["feature"], "value", ["n"], [])
-
-
 def ks_verdict(reduced: DataFrame, significance: float, min_rows: int) -> DataFrame:
     skipped = F.col("n_current") < min_rows
     p_value = ks_pvalue(F.col("ks_statistic"), F.col("n_reference"), F.col("n_current"))

@@ -109,6 +109,10 @@ def compare_categorical(baseline: DataFrame, current: DataFrame) -> DataFrame:
     return counted.withColumn("drift_signal", (F.col("new_categories") + F.col("missing_categories")) > 0)
 
 
+# Fixed value: the message about a name that is not registered.
+UNKNOWN_BASELINE = "Baseline '%s' not found"
+
+
 class BaselineRegistry:
     """Register, read, compare, list and delete named baselines below one folder."""
 
@@ -176,13 +180,23 @@ class BaselineRegistry:
     def names(self) -> DataFrame:
         return self._current().select("baseline_name")
 
+    def unknown(self, asked: DataFrame, name: str = "baseline_name") -> DataFrame:
+        """``asked`` with ``error``: what ``stats`` would raise for the name, null for a known one.
+
+        One join with the registry's log, however many names are asked for; a null name is unknown.
+        """
+        known = self.names().withColumnRenamed("baseline_name", "_known")
+        found = asked.join(known, F.col(name) == F.col("_known"), "left")
+        error = F.format_string(UNKNOWN_BASELINE, F.col(name))
+        return found.withColumn("error", F.when(F.col("_known").isNull(), error)).drop("_known")
+
     def summary(self) -> DataFrame:
         return self._current().select("baseline_name", "row_count", "features", "computed_at")
 
     def _read(self, part: str, name: str) -> DataFrame:
         known = self._latest_row(name)
         if known is None or known["action"] != "register":
-            raise ValueError(f"Baseline '{name}' not found")
+            raise ValueError(UNKNOWN_BASELINE % name)
         return self.spark.read.parquet(self._table(part, known["folder"])).withColumn(
             "baseline_name", F.lit(name)
         )
@@ -217,7 +231,7 @@ class BaselineRegistry:
 
 
 # Reference tables of the drift checks.
-REFERENCE_PARTS = ("values", "cuts", "bins", "frequencies", "null_rates")
+REFERENCE_PARTS = ("values", "bins", "frequencies", "null_rates")
 
 
 def save_reference(parts: dict[str, DataFrame], path: str) -> None:

@@ -30,7 +30,6 @@ class Reference:
     def parts(self) -> dict[str, DataFrame]:
         return {
             "values": self.values,
-            "cuts": drift.ks_cuts(self.values),
             "bins": self.bins,
             "frequencies": self.frequencies,
             "null_rates": self.null_rates,
