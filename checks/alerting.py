@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from plumbline.operators import alerts, render
 from plumbline.operators.validate import Validation
 from plumbline.plans.report import WindowReport
 from plumbline.plans.views import feature_events
+from plumbline.session import scratch_path, settle
 from plumbline.settings import AlertSettings
+from plumbline.sources import routing
 
 SEVERITY_RATE = "CASE WHEN rate >= 0.30 THEN 'critical' WHEN rate >= 0.15 THEN 'high' WHEN rate >= 0.05 THEN 'medium' ELSE 'low' END"
 RATIO = "coalesce(mmd_score / mmd_threshold, 1.0e0)"
@@ -169,6 +173,35 @@ def _(spark, sf):
     return _payload_rows(_all_alerts(report(spark, sf)))
 
 
+@query(
+    "a10_routed",
+    f"{ALL_ALERTS} SELECT handler, w, alert_type, count(*) AS n FROM al CROSS JOIN (VALUES ('log'), ('file'), ('chat'), ('mail')) h(handler) GROUP BY handler, w, alert_type",
+)
+def _(spark, sf):
+    """Two batches; in the second the mail handler fails at first and the batch is repeated."""
+    path, found = scratch_path(spark, "routed"), settle(_all_alerts(report(spark, sf)), "alerts")
+    mail, tries = routing.mail_handler(["oncall@example.com"]), []
+
+    def write(rows: DataFrame, folder: str) -> None:
+        tries.append(folder)
+        if len(tries) == 2:
+            raise OSError("no connection")
+        mail.write(rows, folder)
+
+    handlers = [routing.LOG, routing.FILE, routing.Handler("mail", mail.render, write), routing.CHAT]
+    late = F.col("w") >= F.lit("2024-01-20").cast("date")
+    routing.route(found.where(~late), path, 0, "w", handlers)
+    try:
+        routing.route(found.where(late), path, 1, "w", handlers)
+    except routing.RoutingError:
+        routing.route(found.where(late), path, 1, "w", handlers)
+    rows = [
+        routing.handed_over(spark, path, h.name).select(F.lit(h.name).alias("handler"), F.col("w").cast("date").alias("w"), "alert_type")
+        for h in handlers
+    ]
+    return reduce(DataFrame.unionByName, rows).groupBy("handler", "w", "alert_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("a11_alert_history", f"{ALL_ALERTS} SELECT alert_type, severity, count(*) AS n FROM al GROUP BY alert_type, severity")
 def _(spark, sf):
     return _all_alerts(report(spark, sf)).groupBy("alert_type", "severity").agg(F.count(F.lit(1)).alias("n"))

@@ -27,6 +27,7 @@ from plumbline.operators.registry import load_reference, save_reference
 from plumbline.plans.report import complementary_report, fit_reference, full_report
 from plumbline.schemas import metrics_schema
 from plumbline.settings import Settings
+from plumbline.sources.routing import Handler, route
 from plumbline.sources.tables import read_table, write_batch
 
 WINDOW = "batch_id"
@@ -62,11 +63,13 @@ class StreamMonitor:
         key: Sequence[str],
         settings: Settings = Settings(),
         event_time: str | None = None,
+        handlers: Sequence[Handler] = (),
     ):
         """``event_time`` names the column whose newest value is the time of a batch; a
-        repeated batch then has the same time. Without it the clock is read."""
+        repeated batch then has the same time. Without it the clock is read. ``handlers``
+        get the fired alerts (``sources.routing``); if one fails, the batch does."""
         self.spark, self.path, self.key, self.settings = spark, path.rstrip("/"), list(key), settings
-        self.event_time = event_time
+        self.event_time, self.handlers = event_time, tuple(handlers)
         extra = [
             T.StructField("issue_count", T.LongType()),
             T.StructField("complete_rows", T.LongType()),
@@ -281,4 +284,7 @@ class StreamMonitor:
         stepped = alerting.step_hysteresis(state, found, window_no, at, self.settings.alerts)
         stepped = self._kept(stepped, "alert_state", batch_id)
         fired = found.join(stepped.where("fired").select("alert_key"), "alert_key", "left_semi")
-        write_batch(alerting.payload(fired, WINDOW, F.lit(at)), self.table("alerts"), batch_id, "json")
+        sent = alerting.payload(fired, WINDOW, F.lit(at))
+        write_batch(sent, self.table("alerts"), batch_id, "json")
+        if self.handlers:
+            route(sent, self.table("routed"), batch_id, WINDOW, self.handlers)
