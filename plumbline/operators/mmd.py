@@ -235,8 +235,12 @@ def score_windows(
 
 
 def calibrated_threshold(scored: DataFrame, settings: PhaseSettings) -> DataFrame:
-    """(threshold, calibration_scores_count) from the scores of the calibrate windows."""
-    return scored.where(F.col("phase") == CALIBRATE).agg(
+    """(threshold, calibration_scores_count) from the scores of the calibrate windows; ``calibrates`` may
+    say which of them count."""
+    chosen = F.col("phase") == CALIBRATE
+    if "calibrates" in scored.columns:
+        chosen = chosen & F.col("calibrates")
+    return scored.where(chosen).agg(
         F.percentile("mmd_score", settings.calibrate_percentile / 100.0).alias("threshold"),
         F.count("mmd_score").alias("calibration_scores_count"),
     )
@@ -255,6 +259,7 @@ def apply_threshold(scored: DataFrame, window: str, settings: PhaseSettings) ->
         "rows",
         "complete_rows",
         "phase",
+        *[c for c in ("calibrates",) if c in scored.columns],
         "mmd_score",
         "mmd_threshold",
         ((F.col("phase") == MONITORING) & is_drift(F.col("mmd_score"), F.col("mmd_threshold"))).alias("mmd_drift"),

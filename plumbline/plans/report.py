@@ -13,7 +13,7 @@ from plumbline.functions.frames import is_complete, long_numeric, stack_structs
 from plumbline.functions.ranking import value_counts
 from plumbline.operators import alerts as alerting
 from plumbline.operators import drift, mmd, stats, validate
-from plumbline.operators.phases import MONITORING, WARMUP, add_phases
+from plumbline.operators.phases import CALIBRATE, MONITORING, WARMUP, add_phases
 from plumbline.session import settle
 from plumbline.settings import Settings
 
@@ -77,6 +77,10 @@ class WindowReport:
             *[F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in self._counted_nulls],
         ]
         counted = self.df.groupBy(self.window).agg(*aggregates)
+        if self.settings.phases.validity_floor is not None:
+            counted = settle(counted, "counted")
+            checked = validate.Validation(self.df, [self.window], self.settings.rules, counts=counted).validity()
+            counted = counted.join(checked.select(self.window, "validity_rate"), self.window)
         return settle(add_phases(counted, self.window, self.settings.phases), "profile")
 
     @property
@@ -86,10 +90,23 @@ class WindowReport:
 
     @property
     def phases(self) -> DataFrame:
+        floor = [c for c in ("calibrates",) if c in self.profile.columns]
         return self.profile.select(
-            self.window, F.col("total").alias("rows"), "complete_rows", "windows_before", "windows_after", "phase"
+            self.window, F.col("total").alias("rows"), "complete_rows", "windows_before", "windows_after", "phase", *floor
         )
 
+    @cached_property
+    def reference_windows(self) -> DataFrame:
+        """The windows the per-feature reference is taken from: all of the warm-up, or the first
+        calibrate window that counts."""
+        if not self.settings.single_window_reference:
+            return self.profile.where(F.col("phase") == WARMUP).select(self.window)
+        first = self.profile.where((F.col("phase") == CALIBRATE) & (F.col("windows_after") > F.col("windows_before")))
+        return first.select(self.window).orderBy(self.window).limit(1)
+
+    def _in_reference(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.reference_windows, self.window, "left_semi")
+
     def with_phase(self, reduced: DataFrame) -> DataFrame:
         return reduced.join(self.profile.select(self.window, "phase"), self.window)
 
@@ -132,17 +149,15 @@ class WindowReport:
 
     @cached_property
     def reference(self) -> Reference:
-        warm = F.col("phase") == WARMUP
-        nulls = self.profile.where(warm).agg(
+        nulls = self._in_reference(self.profile).agg(
             *[F.try_divide(F.sum(f"nulls_{c}").cast("double"), F.sum("total")).alias(c) for c in self._listed_nulls]
         )
-        values = drift.pooled(self.counted_values.where(warm), ["feature"])
-        listed = self.profile.where(warm).select(self.window)
-        rows = long_numeric(self.df.join(listed, self.window, "left_semi"), [], self.settings.numeric)
+        values = drift.pooled(self._in_reference(self.counted_values), ["feature"])
+        rows = long_numeric(self._in_reference(self.df), [], self.settings.numeric)
         return Reference(
             values,
             drift.psi_reference(values, self.settings.drift.psi_bins, rows),
-            drift.reference_frequencies(self.counted_categories.where(warm)),
+            drift.reference_frequencies(self._in_reference(self.counted_categories)),
             stack_structs(
                 nulls, [], [F.struct(F.lit(c).alias("feature"), F.col(c).alias("null_rate")) for c in self._listed_nulls]
             ),
@@ -164,8 +179,8 @@ class WindowReport:
         return stack_structs(self.profile, [self.window, "phase"], rates)
 
     def ks(self) -> DataFrame:
-        warm = self.values.where(F.col("phase") == WARMUP).select("feature", "value", "n")
-        return drift.ks_windows(warm, self._current(self.values), self.window, self.settings.drift)
+        reference = self._in_reference(self.values).select("feature", "value", "n")
+        return drift.ks_windows(reference, self._current(self.values), self.window, self.settings.drift)
 
     def psi(self) -> DataFrame:
         return drift.psi_windows(

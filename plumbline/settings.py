@@ -43,6 +43,8 @@ class PhaseSettings:
     calibrate_windows: int = 5
     calibrate_percentile: float = 99.0
     count_incomplete: bool = False
+    # Calibrate windows of a lower validity rate do not count and give no score to the threshold.
+    validity_floor: float | None = None
 
 
 @dataclass(frozen=True)
@@ -102,6 +104,8 @@ class Settings:
     drift: DriftSettings = field(default_factory=DriftSettings)
     model: ModelSettings = field(default_factory=ModelSettings)
     alerts: AlertSettings = field(default_factory=AlertSettings)
+    # The per-feature reference is the first calibrate window alone instead of all warm-up windows.
+    single_window_reference: bool = False
 
 
 def rules_from_mapping(features: Mapping[str, Mapping[str, Any]]) -> tuple[Rule, ...]:
@@ -149,10 +153,12 @@ def settings_from_mapping(config: Mapping[str, Any]) -> Settings:
                 "window_batches": "warmup_windows",
                 "calibration_batches": "calibrate_windows",
                 "calibration_percentile": "calibrate_percentile",
+                "validity_floor": "validity_floor",
             },
         ),
         mmd=_overlay(base.mmd, drift.get("rff_mmd", {}), {"n_components": "components", "sigma": "sigma"}),
         drift=thresholds,
+        single_window_reference=bool(drift.get("single_window_reference", base.single_window_reference)),
         model=_overlay(
             base.model,
             config.get("model_monitoring", {}),

@@ -115,7 +115,11 @@ class StreamMonitor:
             self._carry(progress, batch_id)
             return
         before, seen, calibration, threshold = progress
-        after = before + int(counted["complete_rows"] > 0 or settings.phases.count_incomplete)
+        validation = validate.Validation(rows, [WINDOW], settings.rules, counts=profile)
+        floor, sound = settings.phases.validity_floor, True
+        if floor is not None and before >= settings.phases.warmup_windows:
+            sound = validation.validity().first()["validity_rate"] >= floor
+        after = before + int(sound and (counted["complete_rows"] > 0 or settings.phases.count_incomplete))
         warm, calibrated = settings.phases.warmup_windows, settings.phases.warmup_windows + settings.phases.calibrate_windows
         phase = WARMUP if before < warm else CALIBRATE if before < calibrated else MONITORING
 
@@ -124,14 +128,16 @@ class StreamMonitor:
             if after >= warm:
                 self._fit(rows.drop(WINDOW).schema, batch_id)
 
+        if settings.single_window_reference and before == warm and after > before:
+            self._save_reference(rows.drop(WINDOW))
+
         unscored = self._score(rows, profile, phase)
-        if phase == CALIBRATE:
+        if phase == CALIBRATE and sound:
             score = unscored.first()["mmd_score"]
             calibration = calibration + ([score] if score is not None else [])
             if after >= calibrated:
                 threshold = self._threshold(calibration)
         scores = self._decide(unscored, phase, threshold)
-        validation = validate.Validation(rows, [WINDOW], settings.rules, counts=profile)
         issues = self._kept(validation.issues(), "issues", batch_id)
         report = None
         if phase == MONITORING:
@@ -204,7 +210,11 @@ class StreamMonitor:
         sigma.write.mode("overwrite").parquet(self.table("detector/sigma"))
         sums = mmd.component_sums(warm, [], self.settings.numeric, self._sigma(), self.settings.mmd)
         mmd.mean_embedding(sums).write.mode("overwrite").parquet(self.table("detector/mean"))
-        save_reference(fit_reference(warm, self.settings, schema.names).parts(), self.table("reference"))
+        if not self.settings.single_window_reference:
+            self._save_reference(warm)
+
+    def _save_reference(self, rows: DataFrame) -> None:
+        save_reference(fit_reference(rows, self.settings, rows.columns).parts(), self.table("reference"))
 
     def _sigma(self):
         return self.spark.read.parquet(self.table("detector/sigma")).select("sigma").scalar()
