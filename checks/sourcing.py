@@ -156,7 +156,8 @@ def _(spark, sf):
 
 @query(
     "s8_dashboard_state",
-    f"""{ALL_ALERTS} SELECT 'alert' AS part, w, alert_type AS item, {q6('metric_value')} AS amount FROM al
+    f"""{ALL_ALERTS} SELECT 'alert' AS part, w, alert_type AS item, {q6('metric_value')} AS amount
+    FROM (SELECT * FROM al ORDER BY w DESC, alert_type, what LIMIT 50)
     UNION ALL SELECT 'metrics', w, phase, {q6('mmd_score')} FROM sc""",
 )
 def _(spark, sf):
