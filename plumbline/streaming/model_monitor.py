@@ -133,8 +133,9 @@ class ModelMonitor:
             self.versions.keep(model.pooled(warm, ["feature"]).select(*REFERENCE.names), "reference", batch_id)
             state["reference_batches"] = [*state["reference_batches"], batch_id]
 
-        recent = self._recent(rows, windows, state, newest, batch_id)
-        health = self.versions.keep(model.recent_performance(recent, windows, window, settings), "performance", batch_id)
+        ends, tails = self._tails(rows, windows, state, newest, batch_id)
+        health = model.recent_performance(ends, tails, windows, window, settings)
+        health = self.versions.keep(health, "performance", batch_id)
         if state["baseline_accuracy"] is None and state["seen"] >= settings.warmup_windows:
             frozen = health.where(F.col("position") == settings.warmup_windows).first()
             state["baseline_accuracy"] = frozen["accuracy"] if frozen else None
@@ -152,20 +153,19 @@ class ModelMonitor:
         )
         self.versions.keep(report, "report", batch_id)
 
-    def _recent(self, rows: DataFrame, windows: DataFrame, state: dict, newest, batch_id: int) -> DataFrame:
-        """The last pairs at the end of every closed window; the newest of them are kept for the next batch."""
+    def _tails(
+        self, rows: DataFrame, windows: DataFrame, state: dict, newest, batch_id: int
+    ) -> tuple[DataFrame, DataFrame]:
+        """The ends and the last pairs of every closed window; the newest pairs of all are kept for the next batch."""
         size = self.settings.window_rows
         pairs = rows.where(F.col("true_label").isNotNull())
-        ends = windows.select(self.window)
         if state["ring_batch"] is not None:
             # The kept pairs come before all others, as pairs of the window that was the newest when they were kept.
-            ring = self.versions.of_batch("ring", pairs.schema, state["ring_batch"])
-            pairs = pairs.unionByName(ring)
-            ends = ends.unionByName(ring.select(self.window).distinct())
-        recent = model.last_pairs(pairs, ends, self.window, self.order, size)
-        recent = recent.join(windows.select(self.window), self.window, "left_semi")
-        recent = self.versions.keep(recent.select(self.window, *self.order, *PAIR), "recent", batch_id)
-        at_end = recent.where(F.col(self.window) == F.lit(newest))
-        kept = self.versions.keep(at_end.select(*pairs.columns), "ring", batch_id)
+            pairs = pairs.unionByName(self.versions.of_batch("ring", pairs.schema, state["ring_batch"]))
+        ends, tails = model.ends_and_tails(pairs, windows, self.window, self.order, self.settings)
+        ends = self.versions.keep(ends, "ends", batch_id)
+        last = pairs.orderBy(F.desc(self.window), *[F.desc(c) for c in self.order]).limit(size)
+        kept = last.withColumn(self.window, F.lit(newest)).select(*pairs.columns)
+        kept = self.versions.keep(kept, "ring", batch_id)
         state["ring_batch"] = batch_id if not kept.isEmpty() else state["ring_batch"]
-        return recent
+        return ends, self.versions.keep(tails(ends), "tails", batch_id)

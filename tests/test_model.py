@@ -71,6 +71,62 @@ def test_last_pairs_match_a_plain_window(spark, size):
         assert sorted(got.get(w, [])) == upto[-size:]
 
 
+@pytest.mark.parametrize("size", [4, 25, 1000])
+def test_rolling_accuracy_and_auc_match_the_last_pairs(spark, size):
+    rng = np.random.default_rng(size)
+    sizes = [0, 5, 0, 1, 40, 2, 2, 0, 12, 1, 1, 90, 3, 0]
+    rows = []
+    for w, n in enumerate(sizes):
+        for _ in range(n):
+            at = len(rows)
+            label = None if rng.random() < 0.1 else int(rng.random() < 0.5)
+            score = [None, float("nan"), -0.0, 0.0][at % 4] if rng.random() < 0.1 else float(np.round(rng.random(), 1))
+            rows.append((w, at // 2, at, score, label, int(rng.random() < 0.5)))
+    rows.append((None, 0, -1, 0.5, 1, 1))
+    pairs = spark.createDataFrame(
+        rows, "w int, ts int, event_id int, predicted_score double, predicted_label int, true_label int"
+    )
+    windows = spark.createDataFrame([(w, w + 1, "warmup") for w in range(len(sizes))], "w int, position int, phase string")
+    setting = ModelSettings(window_batches=1, rows_per_batch=size, min_class_rows=2)
+    ends, tails = model.ends_and_tails(pairs, windows, "w", ["ts", "event_id"], setting)
+    got = {r["w"]: r for r in model.recent_performance(ends, tails(ends), windows, "w", setting).collect()}
+    assert sorted(got) == list(range(len(sizes)))
+    for w in range(len(sizes)):
+        last = [r for r in rows if r[0] is not None and r[0] <= w][-size:]
+        hits = [int(p == t) for *_, p, t in last if p is not None]
+        assert got[w]["window_size"] == len(last)
+        assert got[w]["accuracy"] == (pytest.approx(sum(hits) / len(hits)) if hits else None)
+        order = [(float("inf") if s != s else s, t) for _, _, _, s, _, t in last if s is not None]
+        pos, neg = [s for s, t in order if t], [s for s, t in order if not t]
+        few = min(len(pos), len(neg)) < 2
+        assert got[w]["estimated_auc"] == (None if few else pytest.approx(brute_auc(pos, neg)))
+
+
+def test_a_pair_is_moved_twice_however_many_windows_it_counts_in(spark):
+    n, size = 400, 100
+    pairs = spark.range(n).selectExpr(
+        "CAST(id AS INT) AS w", "id AS ts", "id AS event_id", "rand(1) AS predicted_score", "1 AS predicted_label", "CAST(id % 2 AS INT) AS true_label"
+    )
+    setting = ModelSettings(window_batches=1, rows_per_batch=size)
+    windows = pairs.select("w")
+    ends, tails = model.ends_and_tails(pairs, windows, "w", ["ts", "event_id"], setting)
+    assert tails(ends).count() == n and model.last_pairs(pairs, windows, "w", ["ts", "event_id"], size).count() > 30 * n
+    found = model.rolling_accuracy(ends, tails(ends), "w", size).collect()
+    expected = {w: [i % 2 for i in range(n)][: w + 1][-size:] for w in range(n)}
+    assert {r["w"]: (r["window_size"], r["accuracy"]) for r in found} == {
+        w: (len(last), sum(last) / len(last)) for w, last in expected.items()
+    }
+
+
+def test_no_pairs_and_no_windows(spark):
+    pairs = spark.createDataFrame([], "w int, ts int, event_id int, predicted_score double, predicted_label int, true_label int")
+    windows = spark.createDataFrame([(1, 1, "warmup")], "w int, position int, phase string")
+    for some in (windows, windows.limit(0)):
+        ends, tails = model.ends_and_tails(pairs, some, "w", ["ts", "event_id"])
+        got = model.recent_performance(ends, tails(ends), some, "w").collect()
+        assert [(r["window_size"], r["accuracy"], r["estimated_auc"]) for r in got] == [(0, None, None)] * some.count()
+
+
 def test_report_shows_degradation(spark):
     rows = []
     for w in range(6):
