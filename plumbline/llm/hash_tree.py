@@ -1,12 +1,16 @@
 """Sharding by a weighted hash tree of regions, racks and shards.
 
-Every shard draws an exponential waiting time for a row from a hash of the row's key and
-the shard, divided by the shard's weight. The draw of a rack is the least of its shards'
-draws and that of a region the least of its racks', which is the waiting time for the sum
-of the weights below. A row descends: to the region, then the rack, then the shard with the
-least draw. Draws of different shards are independent, so changing one shard's weight (or
-adding a shard) changes the draws of its own rack and region only, and rows move only into
-that shard when it grows, or only out of it when it shrinks.
+A row descends the tree. At each level every node below the one it is in draws an exponential waiting
+time from a hash of the level, the node's number and the row's key, divided by the node's weight,
+which is the sum of the weights of the shards below it; the least draw wins. Nodes draw for themselves, so
+a changed weight of one shard changes the draws of that shard, its rack and its region, and no other:
+
+* a region's rows move only into the region whose weight grew, or out of the one whose weight fell;
+* among the rows that stay in that region, the same holds for its racks, and in the rack for its shards;
+* rows that neither leave nor enter the changed region, rack and shard stay where they are.
+
+A shard that joins a running tree opens a region of its own, so all rows that move, move into it (law
+``key``): in a region with older shards it would draw rows for these as well.
 
 All of it is DataFrame expressions. There is no shuffle but one count of shards and
 slots: within a shard, rows are numbered by chunk of the key's hash, and the chunks' counts
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 from plumbline.session import settle
 
 ROWS_PER_CHUNK = 20_000
+FOUNDED = 24
+REGION, RACK, SHARD = 1, 2, 3
 
 
 @dataclass(frozen=True)
@@ -33,26 +39,26 @@ class Shard:
     weight: float = 1.0
 
 
-def layout(shards: int, per_rack: int = 4, racks_per_region: int = 3) -> list[Shard]:
-    """Shards 0.. filled rack by rack and region by region; further shards open new racks at the end."""
-    return [Shard(i, i // per_rack, i // (per_rack * racks_per_region)) for i in range(shards)]
-
+def layout(shards: int, per_rack: int = 4, racks_per_region: int = 3, founded: int = FOUNDED) -> list[Shard]:
+    """Shards from 0 on. The first ``founded`` fill racks and regions one after the other; each later one has
+    a rack and a region of its own."""
+    founded = min(founded, shards)
+    per_region = per_rack * racks_per_region
+    first = [Shard(i, i // per_rack, i // per_region) for i in range(founded)]
+    racks, regions = -(-founded // per_rack), -(-founded // per_region)
+    return first + [Shard(i, racks + i - founded, regions + i - founded) for i in range(founded, shards)]
 
-def _draw(key: str, shard: Shard) -> str:
-    """SQL of a shard's waiting time; the shard's own number is part of the hash."""
-    if shard.weight <= 0:
-        return "CAST('Infinity' AS DOUBLE)"
-    unit = f"(CAST(shiftrightunsigned(xxhash64({shard.number}, {key}), 11) AS DOUBLE) + 0.5D) / 9007199254740992D"
-    return f"-ln({unit}) / {float(shard.weight)!r}D"
 
-
-def _first_least(items: list[tuple[int, str]]) -> str:
-    """SQL that gives the number of the item with the least draw, the first of equals."""
-    if len(items) == 1:
-        return str(items[0][0])
-    least = f"least({', '.join(draw for _, draw in items)})"
-    cases = " ".join(f"WHEN {draw} = {least} THEN {number}" for number, draw in items[:-1])
-    return f"CASE {cases} ELSE {items[-1][0]} END"
+def _least(level: int, key: str, nodes: dict[int, float]) -> str:
+    """SQL of the node (number and weight) with the least draw of a level, the smaller number of equals."""
+    if len(nodes) == 1:
+        return str(next(iter(nodes)))
+    draws = []
+    for number, weight in nodes.items():
+        unit = f"(CAST(shiftrightunsigned(xxhash64({level}, {number}, {key}), 11) AS DOUBLE) + 0.5D) / 9007199254740992D"
+        draw = f"-ln({unit}) / {float(weight)!r}D" if weight > 0 else "CAST('Infinity' AS DOUBLE)"
+        draws.append(f"named_struct('draw', {draw}, 'node', {number})")
+    return f"least({', '.join(draws)}).node"
 
 
 def descend(rows: DataFrame, key: str, tree: list[Shard], name: str) -> DataFrame:
@@ -60,33 +66,23 @@ def descend(rows: DataFrame, key: str, tree: list[Shard], name: str) -> DataFram
 
     A null key is a key like any other. ``rows`` must have no column that begins with ``_tree``.
     """
-    racks: dict[int, list[Shard]] = {}
-    regions: dict[int, list[int]] = {}
-    for shard in tree:
-        racks.setdefault(shard.rack, []).append(shard)
-        if shard.rack not in regions.setdefault(shard.region, []):
-            regions[shard.region].append(shard.rack)
-    kept = [f"`{c}`" for c in rows.columns]
-    draws = {s.number: f"_tree_shard_{s.number}" for s in tree}
-    out = rows.selectExpr(*kept, *(f"{_draw(key, s)} AS {draws[s.number]}" for s in tree))
+    regions: dict[int, float] = {}
+    racks: dict[int, dict[int, float]] = {}
+    shards: dict[int, dict[int, float]] = {}
+    for s in tree:
+        regions[s.region] = regions.get(s.region, 0.0) + s.weight
+        own = racks.setdefault(s.region, {})
+        own[s.rack] = own.get(s.rack, 0.0) + s.weight
+        shards.setdefault(s.rack, {})[s.number] = s.weight
+
+    def below(level: int, of: str, nodes: dict[int, dict[int, float]]) -> str:
+        cases = " ".join(f"WHEN {n} THEN {_least(level, key, own)}" for n, own in nodes.items())
+        return f"CASE {of} {cases} END"
 
-    def least(of: list[str]) -> str:
-        return of[0] if len(of) == 1 else f"least({', '.join(of)})"
-
-    out = out.selectExpr("*", *(f"{least([draws[s.number] for s in own])} AS _tree_rack_{r}" for r, own in racks.items()))
-    out = out.selectExpr(
-        "*", *(f"{least([f'_tree_rack_{r}' for r in own])} AS _tree_region_{g}" for g, own in regions.items())
-    )
-    region = _first_least([(g, f"_tree_region_{g}") for g in regions])
-    out = out.selectExpr("*", f"{region} AS _tree_region")
-    rack = " ".join(
-        f"WHEN {g} THEN {_first_least([(r, f'_tree_rack_{r}') for r in own])}" for g, own in regions.items()
-    )
-    out = out.selectExpr("*", f"CASE _tree_region {rack} END AS _tree_rack")
-    shard = " ".join(
-        f"WHEN {r} THEN {_first_least([(s.number, draws[s.number]) for s in own])}" for r, own in racks.items()
-    )
-    return out.selectExpr(*kept, f"CAST(CASE _tree_rack {shard} END AS INT) AS `{name}`")
+    kept = [f"`{c}`" for c in rows.columns]
+    out = rows.selectExpr(*kept, f"{_least(REGION, key, regions)} AS _tree_region")
+    out = out.selectExpr("*", f"{below(RACK, '_tree_region', racks)} AS _tree_rack")
+    return out.selectExpr(*kept, f"CAST({below(SHARD, '_tree_rack', shards)} AS INT) AS `{name}`")
 
 
 def slots(placed: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
@@ -117,6 +113,7 @@ def assign(
     weights: list[float] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    founded: int = FOUNDED,
 ) -> DataFrame:
     """Every row's shard under the law ``key``, with its slot and its shard after growth by one.
 
@@ -124,9 +121,11 @@ def assign(
     text's UTF-8 bytes plus 8, ``text_crc32`` their unsigned check sum; a null text has no
     bytes. Only the id and the shards decide, so repeated rows and rows with equal ids lie
     together, and rows with a null id all lie in one shard. An empty table gives no rows.
-    ``weights`` (all 1 if not given) are the shards' shares.
+    ``weights`` (all 1 if not given) are the shards' shares. ``founded`` is how many shards
+    the tree was built with; fewer shards than that are all founders.
     """
-    tree = layout(shards)
+    founded = min(founded, shards)
+    tree = layout(shards, founded=founded)
     if weights is not None:
         tree = [Shard(s.number, s.rack, s.region, w) for s, w in zip(tree, weights, strict=True)]
     body = F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary")
@@ -136,6 +135,6 @@ def assign(
         F.crc32(body).alias("text_crc32"),
     )
     placed = descend(rows, "doc_id", tree, "shard")
-    placed = descend(placed, "doc_id", [*tree, layout(shards + 1)[-1]], "grown_shard")
+    placed = descend(placed, "doc_id", [*tree, layout(shards + 1, founded=founded)[-1]], "grown_shard")
     placed = settle(placed.withColumn("mark", F.xxhash64("doc_id", "size", "text_crc32")), "placed")
     return slots(placed).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
