@@ -11,8 +11,8 @@ broadcast or collected: the partitioned tables are the exchange's partitions, an
 size follows the corpus. Blocks are bucketed by their number, so what comes back is joined
 without moving them again.
 
-Counts up to ``GT_MAX`` are discounted by Good-Turing with the usual renormalisation, larger
-counts by ``TOP_DISCOUNT``, so that no context is left without mass for unseen words. For
+Counts up to ``GT_MAX`` are discounted by Good-Turing on smoothed counts of counts (Simple
+Good-Turing) with the usual renormalisation, larger counts by ``TOP_DISCOUNT``, so that no context is left without mass for unseen words. For
 order n the probability of a token is the discounted relative frequency where the n-gram
 was seen in training, else the backoff weight of its context times the probability for
 order n - 1. The backoff weight is what the discounts leave of the context divided by what
@@ -38,6 +38,7 @@ from plumbline.session import settle, settle_bucketed
 
 GT_MAX = 5
 TOP_DISCOUNT = 1 - 1e-6
+ZIPF_SLOPE, FLATTEST = -2.0, -1.1
 BLOCK_TOKENS = 1_000_000
 KEYS_PER_PART = 1_500_000
 END, BEGIN = np.uint64(0), np.uint64(1)
@@ -234,23 +235,39 @@ def _own(slices: list[dict], kind: str) -> np.ndarray:
 # Discounts ----------------------------------------------------------------------------------
 
 
+def slope(of_counts: list[int]) -> float:
+    """Slope of log n_c over log c, fitted to the counts 1..GT_MAX + 1 (Simple Good-Turing).
+
+    Empty counts are filled as Gale and Sampson do: the n-grams of a count stand for half the way to its
+    neighbours that occur. Each count weighs as many as it has n-grams. A fit needs two counts; with
+    fewer it is -2 (Zipf's law). It is kept below -1, where discounts begin.
+    """
+    seen = [c for c in range(1, GT_MAX + 2) if of_counts[c] > 0]
+    if len(seen) < 2:
+        return ZIPF_SLOPE
+    around = [0, *seen, 2 * seen[-1] - seen[-2]]
+    n = np.array([of_counts[c] for c in seen], np.float64)
+    spread = np.array([(high - low) / 2 for low, high in zip(around, around[2:], strict=False)])
+    x, y = np.log(seen), np.log(n / spread)
+    x_mean, y_mean = np.average(x, weights=n), np.average(y, weights=n)
+    found = np.sum(n * (x - x_mean) * (y - y_mean)) / np.sum(n * (x - x_mean) ** 2)
+    return float(min(found, FLATTEST))
+
+
 def discounts(of_counts: list[int]) -> np.ndarray:
     """Good-Turing factors for the counts 0..GT_MAX + 1 (the last stands for all larger).
 
-    ``of_counts[c]`` is the number of different n-grams with count c. Where the counts of
-    counts do not give factors between 0 and 1 (small corpora), a half is taken off each count.
+    ``of_counts[c]`` is the number of different n-grams with count c. Copies and chance make these
+    numbers uneven, so the smooth line n_c ~ c^slope stands for them: with it the
+    adjusted count over c is (1 + 1/c)^(slope + 1), and Katz' formula for counts up to GT_MAX gives
+    factors that lie between 0 and 1 for every corpus and grow with c.
     """
-    n = np.asarray(of_counts, np.float64)
     d = np.full(GT_MAX + 2, TOP_DISCOUNT)
     d[0] = 0.0
     c = np.arange(1, GT_MAX + 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        tail = (GT_MAX + 1) * n[GT_MAX + 1] / n[1]
-        found = ((c + 1) * n[c + 1] / n[c] / c - tail) / (1 - tail)
-    if np.all(np.isfinite(found)) and np.all(found > 0) and np.all(found < 1):
-        d[1 : GT_MAX + 1] = found
-    else:
-        d[1 : GT_MAX + 1] = (c - 0.5) / c
+    power = slope(of_counts) + 1
+    tail = float(GT_MAX + 1) ** power
+    d[1 : GT_MAX + 1] = ((1 + 1 / c) ** power - tail) / (1 - tail)
     return d
 
 

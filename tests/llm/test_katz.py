@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from plumbline.llm import katz
@@ -18,6 +19,26 @@ def held(doc_id):
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
+def good_turing(of_counts):
+    """Katz' factors from smoothed counts of counts, written out."""
+    k, d = 5, {0: 0.0, 6: 1 - 1e-6}
+    seen = [c for c in range(1, k + 2) if of_counts.get(c)]
+    slope = -2.0
+    if len(seen) > 1:
+        z = []
+        for i, c in enumerate(seen):
+            before = seen[i - 1] if i else 0
+            after = seen[i + 1] if i + 1 < len(seen) else 2 * c - before
+            z.append(of_counts[c] / (0.5 * (after - before)))
+        weights = [math.sqrt(of_counts[c]) for c in seen]
+        slope = min(np.polyfit(np.log(seen), np.log(z), 1, w=weights)[0], -1.1)
+    s = {c: float(c) ** slope for c in range(1, k + 2)}
+    tail = (k + 1) * s[k + 1] / s[1]
+    for c in range(1, k + 1):
+        d[c] = ((c + 1) * s[c + 1] / s[c] / c - tail) / (1 - tail)
+    return [d[c] for c in range(k + 2)]
+
+
 class Brute:
     """The same model from plain dictionaries, by recursion."""
 
@@ -31,7 +52,7 @@ class Brute:
         self.d = {}
         for n, counts in self.counts.items():
             of_counts = Counter(min(c, katz.GT_MAX + 2) for c in counts.values())
-            self.d[n] = katz.discounts([of_counts.get(c, 0) for c in range(katz.GT_MAX + 3)])
+            self.d[n] = good_turing(of_counts)
         self.total = sum(self.counts[1].values())
         self.words = {k[0] for k in self.counts[1]}
         self.memo = {}
@@ -102,6 +123,24 @@ def test_scores_equal_the_recursion(corpus, odd, order, monkeypatch):
         ), (r, options)
 
 
+def test_uneven_counts_of_counts_keep_good_turing():
+    cases = [
+        [0, 193655, 25105, 6496, 2179, 2497, 618, 9000],  # more n-grams with count five than four
+        [0, 10, 400, 3, 900, 0, 5, 7],  # most occur twice or four times
+        [0, 5, 0, 0, 0, 0, 0, 0],
+        [0, 0, 0, 0, 0, 0, 0, 12],
+        [0, 7, 6, 5, 4, 3, 2, 1],
+        [0, 0, 0, 3, 0, 1, 0, 0],
+    ]
+    rng = random.Random(1)
+    cases += [[0, *(rng.choice([0, rng.randint(1, 10 ** rng.randint(1, 6))]) for _ in range(7))] for _ in range(500)]
+    for n in cases:
+        d = katz.discounts(n)
+        assert np.all(d[1:6] > 0) and np.all(np.diff(d) > 0) and d[6] < 1, n
+        assert np.allclose(d, good_turing(dict(enumerate(n)))), n
+    assert katz.discounts(cases[0])[1] < 0.4  # near 2 * n2 / n1, not a half
+
+
 def test_contexts_sum_to_one(odd):
     brute = Brute(some_docs(odd), 3)
     contexts = {k[:-1] for k in brute.counts[3]} | {("v1", "never"), ("never", "v1"), ("<s>", "<s>")}
