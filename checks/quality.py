@@ -347,7 +347,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     counts = stats.category_counts(feature_events(spark, sf), W, ["device_type"])
-    shares = stats.frequency_maps(stats.category_frequencies(counts, W), W)
+    shares = stats.frequency_maps(counts, W)
     return stats.categorical_stats(counts, W).join(shares, ["w", "feature"]).select(
         "w", "feature", "null_count", r6("null_rate"), "cardinality", *[r6(F.coalesce(F.col("frequencies")[c], F.lit(0.0)), c) for c in DEVICES]
     )

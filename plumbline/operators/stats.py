@@ -16,6 +16,8 @@ from plumbline.functions.selection import percentiles_of
 SNAPSHOT_SHARES = (0.05, 0.25, 0.5, 0.75, 0.95)
 SNAPSHOT_SAMPLE = 200
 
+MAP_SIZE = 1000
+
 
 def numeric_stats(df: DataFrame, by: Sequence[str], numeric: Sequence[str]) -> DataFrame:
     """(by, feature, total, count, null_count, null_rate, mean, std, min, max) with
@@ -141,10 +143,41 @@ def approx_cardinality(df: DataFrame, by: Sequence[str], categorical: Sequence[s
     )
 
 
-def frequency_maps(frequencies: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, feature, frequencies map), for features known to have few categories."""
-    entries = F.collect_list(F.struct("category", "frequency"))
-    return frequencies.groupBy(*by, "feature").agg(F.map_from_entries(entries).alias("frequencies"))
+def frequency_maps(
+    counts: DataFrame, by: Sequence[str], most: int = MAP_SIZE, of_all_rows: bool = True
+) -> DataFrame:
+    """(by, feature, frequencies, other_categories, other_frequency) from category counts: the ``most``
+    most frequent categories as a map, ties to the smaller name, and what all others add up to.
+    The denominator is that of ``category_frequencies``, whose rows have every category.
+
+    A column may have any number of categories. Each task keeps ``most`` of a group and sums the rest before
+    the shuffle, and totals meet the kept ones in one grouping, so no task sees all categories of a group.
+    """
+    group = [*by, "feature"]
+    named = F.when(F.col("category").isNotNull(), F.col("n"))
+    whole = counts.groupBy(*group).agg(
+        F.count("category").alias("_others"),
+        F.sum(named).alias("_rows"),
+        F.sum("n" if of_all_rows else named).alias("_total"),
+    )
+    top = lowest_by(counts.where(F.col("category").isNotNull()), group, [F.desc("n"), F.col("category")], most).select(
+        *group,
+        F.struct("category", "n").alias("_entry"),
+        F.lit(-1).cast("long").alias("_others"),
+        (-F.col("n")).alias("_rows"),
+    )
+    both = whole.unionByName(top, allowMissingColumns=True).groupBy(*group)
+    found = both.agg(
+        F.collect_list("_entry").alias("_entries"),
+        *[F.sum(c).alias(c) for c in ("_others", "_rows", "_total")],
+    )
+    shares = F.transform("_entries", lambda e: F.struct(e["category"], rate(e["n"], F.col("_total"))))
+    return found.select(
+        *group,
+        F.map_from_entries(shares).alias("frequencies"),
+        F.col("_others").alias("other_categories"),
+        F.coalesce(rate(F.col("_rows"), F.col("_total")), F.lit(0.0)).alias("other_frequency"),
+    )
 
 
 def describe(df: DataFrame, by: Sequence[str], numeric: Sequence[str]) -> DataFrame:

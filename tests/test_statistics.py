@@ -122,3 +122,28 @@ def test_constant_baseline_has_ratio_one(spark):
     now = stats.numeric_stats(frame(spark, [5.0, 6.0]), [], ["x"])
     r = registry.compare_numeric(base, now).first()
     assert r["std_ratio"] == 1.0 and not r["drift_signal"]
+
+
+def test_maps_stay_bounded_with_any_number_of_categories(spark):
+    n = 300_000
+    rows = spark.range(n).selectExpr(
+        "CAST(id % 2 AS INT) AS w", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 30 = 1 THEN NULL ELSE CAST(id AS STRING) END AS c"
+    )
+    counts = stats.category_counts(rows, ["w"], ["c"])
+    maps = stats.frequency_maps(counts, ["w"], most=10, of_all_rows=False)
+    got = {r["w"]: r for r in maps.collect()}
+    for w in (0, 1):
+        ids = [i for i in range(w, n, 2) if i % 3 == 0 or i % 30 != 1]
+        single = sorted(str(i) for i in ids if i % 3)
+        assert got[w]["frequencies"] == pytest.approx(
+            {"hot": (len(ids) - len(single)) / len(ids)} | dict.fromkeys(single[:9], 1 / len(ids))
+        )
+        assert got[w]["other_categories"] == len(single) - 9
+        assert got[w]["other_frequency"] == pytest.approx((len(single) - 9) / len(ids))
+    plan = maps._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("WindowGroupLimit") == 2
+    few = stats.frequency_maps(counts.where("category IS NULL OR category = 'hot'"), ["w"]).where("w = 1").first()
+    assert few["frequencies"] == pytest.approx({"hot": 5 / 6}) and (few["other_categories"], few["other_frequency"]) == (0, 0.0)
+    none = stats.frequency_maps(counts.where("category IS NULL"), [], of_all_rows=False).first()
+    assert (none["frequencies"], none["other_categories"], none["other_frequency"]) == ({}, 0, 0.0)
+    assert stats.frequency_maps(counts.limit(0), ["w"]).count() == 0
