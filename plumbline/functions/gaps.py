@@ -41,15 +41,17 @@ def thinned(cuts: DataFrame) -> DataFrame:
 def _placed(rows: DataFrame, pivots: DataFrame) -> DataFrame:
     """Rows with the part of their range they fall into: how many pivots are not above the value.
 
-    A binary search over the sorted pivots, one projection a step. Pivots are one small row a range.
+    A binary search over the sorted pivots. As a fold it is one short call in the generated code, where
+    a projection a step makes methods too long for the compiler of the JVM. Pivots are one small row a range.
     """
-    found = rows.join(F.broadcast(pivots), ["feature", "_range"], "left").withColumn("_part", F.lit(0))
-    step = (PIVOTS + 1) // 2
-    while step:
-        above = F.coalesce(F.col("value") >= F.get("pivots", F.col("_part") + F.lit(step - 1)), F.lit(False))
-        found = found.withColumn("_part", F.col("_part") + F.when(above, F.lit(step)).otherwise(0))
-        step //= 2
-    return found.drop("pivots")
+    steps = [(PIVOTS + 1) >> i for i in range(1, (PIVOTS + 1).bit_length())]
+    found = rows.join(F.broadcast(pivots), ["feature", "_range"], "left")
+
+    def narrowed(part: Column, step: Column) -> Column:
+        return part + F.when(F.col("value") >= F.get("pivots", part + step - 1), step).otherwise(0)
+
+    part = F.aggregate(F.array(*[F.lit(step) for step in steps]), F.lit(0), narrowed)
+    return found.withColumn("_part", part).drop("pivots")
 
 
 def _counts(rows: DataFrame, keys: list[str], name: str) -> DataFrame:

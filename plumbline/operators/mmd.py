@@ -24,6 +24,7 @@ from plumbline.session import settle
 from plumbline.settings import MmdSettings, PhaseSettings
 
 _FLUSH_WINDOWS = 4096
+_BLOCK_ROWS = 256
 PAIR_BUCKET_ROWS = 100_000
 
 
@@ -124,11 +125,12 @@ def component_sums(
 ) -> DataFrame:
     """(group, rows, sums array<double>): sums of the D cosine features per group.
 
-    Numpy evaluates the D cosines of an Arrow batch at once; each task emits one
-    row per group it has seen.
+    Numpy evaluates the D cosines of some hundred rows at once, which stay in the processor's
+    cache; each task emits one row per group it has seen.
     """
     directions, shifts = unit_draws(settings.components, len(features), settings.seed)
-    weights, scale = directions.T, float(np.sqrt(2.0 / settings.components))
+    components = settings.components
+    weights, scale = directions.T, float(np.sqrt(2.0 / components))
     rows = complete_rows(
         df.select(*group, *[clean(f).alias(f) for f in features], sigma.alias("_sigma")), [*features, "_sigma"]
     )
@@ -157,9 +159,6 @@ def component_sums(
             if batch.num_rows == 0:
                 continue
             key_types = [batch.schema.field(n).type for n in names]
-            points = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in features])
-            spread = batch.column("_sigma").to_numpy(zero_copy_only=False)[:, None]
-            cosines = np.cos((points @ weights) / spread + shifts) * scale
             codes = np.zeros(batch.num_rows, dtype=np.int64)
             for name in names:
                 encoded = batch.column(name).dictionary_encode()
@@ -168,7 +167,18 @@ def component_sums(
                 ).to_numpy(zero_copy_only=False)
             order = np.argsort(codes, kind="stable")
             starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
-            sums = np.add.reduceat(cosines[order], starts, axis=0)
+            points = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in features])[order]
+            spread = batch.column("_sigma").to_numpy(zero_copy_only=False)[order, None]
+            sums = np.zeros((len(starts), components))
+            for at in range(0, batch.num_rows, _BLOCK_ROWS):
+                cosines = points[at : at + _BLOCK_ROWS] @ weights
+                cosines /= spread[at : at + _BLOCK_ROWS]
+                cosines += shifts
+                np.cos(cosines, out=cosines)
+                first, last = np.searchsorted(starts, [at, at + len(cosines) - 1], "right") - 1
+                cuts = np.maximum(starts[first : last + 1] - at, 0)
+                sums[first : last + 1] += np.add.reduceat(cosines, cuts, axis=0)
+            sums *= scale
             sizes = np.diff(np.r_[starts, batch.num_rows])
             firsts = batch.select(names).take(pa.array(order[starts])) if names else None
             for i in range(len(starts)):

@@ -8,6 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.frames import is_complete, long_numeric, stack_structs
 from plumbline.functions.ranking import value_counts
@@ -17,6 +18,8 @@ from plumbline.operators.phases import CALIBRATE, MONITORING, WARMUP, add_phases
 from plumbline.session import settle
 from plumbline.settings import Settings
 
+ROW_GROUP_BYTES = 4 << 20
+
 
 @dataclass
 class Reference:
@@ -54,7 +57,8 @@ class WindowReport:
     ``window`` is a column; ``key`` names the columns that identify a row (used to
     draw repeatable samples). One pass counts rows, nulls and violations of all
     windows; that small profile is written to the shared folder, and phases,
-    validity, null rates and metrics are read from it.
+    validity, null rates and metrics are read from it. The drift checks pass over their
+    rows many times; a second pass writes the columns they need to the shared folder.
     """
 
     def __init__(
@@ -83,6 +87,19 @@ class WindowReport:
             counted = counted.join(checked.select(self.window, "validity_rate"), self.window)
         return settle(add_phases(counted, self.window, self.settings.phases), "profile")
 
+    @cached_property
+    def rows(self) -> DataFrame:
+        """The window, key and feature columns of the table, settled.
+
+        What computes the columns (parsing, say) runs once, not in every filter of every pass. The
+        row groups are small, so that later passes are spread evenly however few files were read.
+        """
+        wanted = dict.fromkeys([self.window, *self.key, *self.settings.numeric, *self.settings.categorical])
+        kept = self.df.select(*[c for c in wanted if c in self.df.columns])
+        # A column of nothing but nulls may have no type, which no file can hold.
+        kept = kept.withColumns({f.name: F.col(f.name).cast("string") for f in kept.schema if isinstance(f.dataType, T.NullType)})
+        return settle(kept, "rows", **{"parquet.block.size": str(ROW_GROUP_BYTES)})
+
     @property
     def _counted_nulls(self) -> list[str]:
         wanted = dict.fromkeys([*self.null_columns, *self.settings.numeric])
@@ -113,7 +130,7 @@ class WindowReport:
     # MMD -----------------------------------------------------------------
     @cached_property
     def sigma(self) -> DataFrame:
-        warm = self.df.join(
+        warm = self.rows.join(
             self.profile.where(F.col("phase") == WARMUP).select(self.window), self.window, "left_semi"
         )
         return settle(mmd.bandwidth(warm, self.settings.numeric, self.key, self.settings.mmd), "sigma")
@@ -121,7 +138,7 @@ class WindowReport:
     @cached_property
     def component_sums(self) -> DataFrame:
         sigma = self.sigma.select("sigma").scalar()
-        sums = mmd.component_sums(self.df, [self.window], self.settings.numeric, sigma, self.settings.mmd)
+        sums = mmd.component_sums(self.rows, [self.window], self.settings.numeric, sigma, self.settings.mmd)
         return settle(sums, "component-sums")
 
     @cached_property
@@ -131,18 +148,21 @@ class WindowReport:
     # per-feature checks -----------------------------------------------------
     @cached_property
     def counted_values(self) -> DataFrame:
-        rows = long_numeric(self.df, [self.window], self.settings.numeric)
+        rows = long_numeric(self.rows, [self.window], self.settings.numeric)
         return self.with_phase(value_counts(rows, [self.window, "feature"]))
 
     @cached_property
     def values(self) -> DataFrame:
-        """(window, phase, feature, value, n): every value as a row of its own, not shuffled."""
-        rows = long_numeric(self.df, [self.window], self.settings.numeric).where(F.col("value").isNotNull())
-        return self.with_phase(rows.withColumn("n", F.lit(1).cast("long")))
+        """(window, phase, feature, value, n): every value as a row of its own, not shuffled. The phase
+        is joined to whole rows."""
+        phases = self.profile.select(self.window, F.col("phase").alias("_phase"))
+        keep = [F.col(self.window), F.col("_phase").alias("phase")]
+        rows = long_numeric(self.rows.join(phases, self.window), keep, self.settings.numeric)
+        return rows.where(F.col("value").isNotNull()).withColumn("n", F.lit(1).cast("long"))
 
     @cached_property
     def counted_categories(self) -> DataFrame:
-        return self.with_phase(stats.category_counts(self.df, [self.window], self.settings.categorical))
+        return self.with_phase(stats.category_counts(self.rows, [self.window], self.settings.categorical))
 
     def _current(self, counted: DataFrame) -> DataFrame:
         return counted.where(F.col("phase") == MONITORING).drop("phase")
@@ -152,8 +172,8 @@ class WindowReport:
         nulls = self._in_reference(self.profile).agg(
             *[F.try_divide(F.sum(f"nulls_{c}").cast("double"), F.sum("total")).alias(c) for c in self._listed_nulls]
         )
-        values = drift.pooled(self._in_reference(self.counted_values), ["feature"])
-        rows = long_numeric(self._in_reference(self.df), [], self.settings.numeric)
+        rows = long_numeric(self._in_reference(self.rows), [], self.settings.numeric)
+        values = value_counts(rows, ["feature"])
         return Reference(
             values,
             drift.psi_reference(values, self.settings.drift.psi_bins, rows),
@@ -179,7 +199,8 @@ class WindowReport:
         return stack_structs(self.profile, [self.window, "phase"], rates)
 
     def ks(self) -> DataFrame:
-        reference = self._in_reference(self.values).select("feature", "value", "n")
+        rows = long_numeric(self._in_reference(self.rows), [], self.settings.numeric).where(F.col("value").isNotNull())
+        reference = rows.withColumn("n", F.lit(1).cast("long"))
         return drift.ks_windows(reference, self._current(self.values), self.window, self.settings.drift)
 
     def psi(self) -> DataFrame:
