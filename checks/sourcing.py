@@ -239,22 +239,32 @@ def _(spark, sf):
 
 
 
-FAR = datetime(2100, 1, 1)
+PAST, FAR = datetime(1970, 1, 1), datetime(2100, 1, 1)
 DAYS = ((1, 8), (9, 16), (17, 24), (25, 31))
 
 
 def _arriving(rows: DataFrame, time: str, name: str) -> DataFrame:
-    """Rows as a stream of several files in the order of their time, with a heartbeat at the end.
+    """Rows as a stream of several arrivals in the order of their time, with a heartbeat at the end.
 
+    An arrival is one micro-batch. It has as many files as the table has splits, so that no task writes
+    or reads all of it; heartbeats from long ago, which add nothing, stand in for files without rows.
     Two heartbeats: the first moves the watermark, the second makes a batch that sees it.
     """
     spark = rows.sparkSession
     path = scratch_path(spark, name)
+    files = max(1, min(rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
+    written = 0
     for first, last in DAYS:
-        rows.where(F.dayofmonth(time).between(first, last)).coalesce(1).write.mode("append").parquet(path)
+        part = rows.where(F.dayofmonth(time).between(first, last)).repartition(files)
+        part.write.mode("append").option("maxRecordsPerFile", 0).parquet(path)
+        found = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+        written += files
+        if found < written:
+            heartbeat(spark, rows.schema, time, PAST, written - found).write.mode("append").parquet(path)
     for _ in range(2):
-        heartbeat(spark, rows.schema, time, FAR).coalesce(1).write.mode("append").parquet(path)
-    return records.file_stream(spark, path, rows.schema, "parquet", maxFilesPerTrigger="1")
+        beats = heartbeat(spark, rows.schema, time, FAR, files)
+        (beats.coalesce(1) if files == 1 else beats).write.mode("append").parquet(path)
+    return records.file_stream(spark, path, rows.schema, "parquet", maxFilesPerTrigger=str(files))
 
 
 @query("j2_latest_label_stream", f"{LATEST_LABELS_SQL} SELECT event_id, predicted_label, latest.true_label, latest.label_ts FROM pred LEFT JOIN latest USING (event_id)")

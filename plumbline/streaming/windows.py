@@ -110,9 +110,10 @@ def latest_label_stream(
     )
 
 
-def heartbeat(spark: SparkSession, schema: T.StructType, time: str, at: datetime) -> DataFrame:
-    """One row of nulls but for the time: it moves the watermark of a stream that has gone quiet."""
-    row = spark.createDataFrame([(at,)], "at timestamp")
+def heartbeat(spark: SparkSession, schema: T.StructType, time: str, at: datetime, files: int = 1) -> DataFrame:
+    """One row of nulls but for the time: it moves the watermark of a stream that has gone quiet.
+    ``files`` gives as many such rows, each in a partition (and, when written, a file) of its own."""
+    row = spark.createDataFrame([(at,)], "at timestamp") if files == 1 else spark.range(0, files, 1, files).withColumn("at", F.lit(at))
     return row.select(
         *[(F.col("at") if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
     )
