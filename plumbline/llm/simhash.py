@@ -284,6 +284,21 @@ def _joining(
     return edges.unionByName(_verified(rest, rows, places, words, similarity))
 
 
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """``node, hub, times``: every node with the least node of each fingerprint at most two bits from its own.
+
+    The links are those of ``near_duplicates``: cells of the table of distances, coordinate discard,
+    verification by bits. They count more than any number of shared samples.
+    """
+    hubs = settle(nodes.groupBy("fp").agg(F.min("node").alias("hub")), "fingerprint-hubs")
+    edges = settle(links(hubs.select("fp")), "fingerprint-links")
+    near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = near.selectExpr("a AS fp", "b AS other").unionByName(hubs.selectExpr("fp", "fp AS other")).distinct()
+    hub_of = hubs.select(F.col("fp").alias("other"), "hub")
+    pairs = nodes.select("node", "fp").join(near, "fp").join(hub_of, "other").filter("node <> hub")
+    return pairs.select("node", "hub", F.lit(SAMPLES + 1).cast("long").alias("times"))
+
+
 def _sample_pairs(nodes: DataFrame) -> DataFrame:
     """``node, hub, times``: every node with the two ends of its groups of one sample fingerprint."""
     spread = nodes.select("node", F.posexplode("samples").alias("sample", "value"))
@@ -418,11 +433,12 @@ def similar_classes(
 ) -> DataFrame:
     """``doc_id, key, class_id, first``: classes of rows whose shingle sets are similar.
 
-    Fingerprints of whole texts are far apart in many bits long before the Jaccard
-    similarity of their sets falls below 0.8, so the first candidates come from fingerprints of
-    samples: the four lowest shingles under each of sixteen hashes. In a group with one
-    sample fingerprint every set is held against the group's least and greatest set, and the
-    distance table of the whole fingerprints discards pairs that differ by more than
+    The first candidates are the links of ``near_duplicates`` between the fingerprints of the
+    sets: pairs at most two bits apart, found through the table of distances. Fingerprints are
+    far apart in many bits long before the Jaccard similarity of their sets falls below 0.8, so
+    those of samples add to them: the four lowest shingles under each of sixteen hashes. In a
+    group with one sample fingerprint every set is held against the group's least and greatest
+    set, and the distance table of the whole fingerprints discards pairs that differ by more than
     ``WIDE`` bits in any coordinate. That joins most of a large class at little cost, but not
     all of it. An exact prefix filter on the shingles, rarest first, then names all pairs of
     different classes that can reach the similarity, so the classes are those of all pairs.
@@ -442,7 +458,9 @@ def similar_classes(
     )
     nodes = settle(nodes, "nodes")
     places = nodes.select("node", "place.*")
-    edges = _joining(_sample_pairs(nodes), None, rows, places, words, similarity)
+    likely = _fingerprint_pairs(nodes).unionByName(_sample_pairs(nodes))
+    likely = settle(likely.groupBy("node", "hub").agg(F.sum("times").alias("times")), "likely")
+    edges = _joining(likely, None, rows, places, words, similarity)
     index = _prefixes(rows, _ranks(rows, words), words, similarity)
     index = settle_bucketed(index, "shingle-prefixes", "word", compression="zstd")
     roots = settle(components(edges, "similar-stars"), "roots")
