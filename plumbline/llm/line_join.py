@@ -1,37 +1,54 @@
 """Line deduplication by an exact set-similarity join of lines.
 
-A line is the set of its lower-cased words. The words of a line are ordered by rarity, and
-two lines of ``n`` words can only reach Jaccard similarity ``t`` if they share a word among
-the first ``n - ceil(t * n) + 1`` of each (prefix filter). Candidate pairs share such a word,
-have sizes within the factor ``t`` (length filter), and leave enough words after the shared
-one (positional filter). A map of 128 bits, one of which each word sets, bounds the common
-words from above as well: every differing bit is a word that only one line has. Candidates are verified on the whole sets, and a line that matches
-an earlier line, by document id and position, is removed.
+A line is the set of its lower-cased words, ordered by rarity. The index holds steps: a word
+and the one after it, the last word and the end. A word that only this line has takes at most
+two of its steps from a pair, one that only the other line has at most one. A line of ``n``
+words with a partner of Jaccard similarity ``t > 0.5`` has ``x`` words of its own and the
+partner ``y`` with ``x + t * y <= (1 - t) * n``, so at most ``2 * (1 - t) * n`` steps are lost
+and the least common step is among the first ``floor(2 * (1 - t) * n) + 1`` of both lines. For
+lower ``t`` a word is a step, and ``n - ceil(t * n) + 1`` of them do. Two rare words that follow
+each other are in far fewer lines than one, so the groups stay small as the corpus grows.
+Candidate pairs share a step and have sizes within the factor ``t`` (length filter). A map of
+128 bits, one of which each word turns over, bounds the common words from above as well: every
+differing bit is a word that only one line has. Candidates are verified on the whole sets, and
+a line that matches an earlier line, by document id and position, is removed.
 
 Equal sets are grouped before anything is joined, so copies are never paired. Sets too small
-to match any but an equal set (one to three words at 0.8) are not in the index. Rare words of
+to match any but an equal set (one to three words at 0.8) are not in the index. Steps of
 a family of near copies form large groups all the same; there every line is first held
 against the group's earliest line, and only lines that this does not settle are paired with
 the earlier lines of their groups. Whether a line goes does not depend on which of its
-matches is found, so this leaves the result of the exact join.
+matches is found, so this leaves the result of the exact join. The steps are grouped in
+``SLICES`` parts by their hash, one after the other, and only steps that several lines have are
+kept, so that no shuffle holds all of them.
 
 All of it is DataFrame expressions. Rarity is the number of occurrences of a word's hash
 class, of which there are 65,536 at any input size; any fixed order of the words keeps the
-join exact. The index tells words apart by 56 bits of their hash and sets of words by 64; candidates
-are verified on the words themselves.
+join exact. The index tells words apart by 56 bits of their hash, steps by 40 and sets of words
+by 64; candidates are verified on the words themselves.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import discard, settle, settle_bucketed
+from plumbline.session import collect_garbage, discard, settle, settle_bucketed
 
 SIMILARITY_PERCENT = 80
 MIN_WORDS = 5
 CLASSES = 1 << 16
-_WORDS = r"split(trim(translate(lower(line), '\t\r\u000c\u000b', '    ')), ' +')"
+SLICES = 4
+
+
+def _words(text: str) -> str:
+    """The words of a text column, in their order; none are empty."""
+    spaced = f"lower({text})"
+    for sign in ("\\t", "\\r", "\\u000c", "\\u000b"):
+        spaced = f"replace({spaced}, '{sign}', ' ')"
+    return f"array_remove(split({spaced}, ' '), '')"
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -41,78 +58,97 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
-def _ranks(rows: DataFrame) -> bytes:
-    """For each hash class, four times the binary logarithm of its occurrences: one byte each."""
-    words = rows.select(F.explode(F.expr(_WORDS.replace("line", "replace(text, '\\n', ' ')"))).alias("word"))
+def _ranks(rows: DataFrame) -> list[int]:
+    """For each hash class, four times the binary logarithm of its occurrences."""
+    words = rows.select(F.explode(F.expr(_words("replace(text, '\\n', ' ')"))).alias("word"))
     counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(CLASSES)).alias("class")).count()
-    ranks = bytearray(CLASSES)
+    ranks = [0] * CLASSES
     for number, rank in counts.select("class", F.least(F.lit(127), F.floor(4 * F.log2(F.col("count") + 1)))).collect():
         ranks[number] = rank
-    return bytes(ranks)
+    return ranks
 
 
-def line_sets(rows: DataFrame, ranks: bytes, min_words: int) -> DataFrame:
+def line_sets(rows: DataFrame, ranks: list[int], min_words: int) -> DataFrame:
     """``doc_id, key, pos, words``: the lines of at least ``min_words`` words, and one, as sets of
-    56-bit hashes below seven bits of rarity, rarest first."""
-    table = f"X'{ranks.hex()}'"
-    rank = f"ascii(cast(substring({table}, cast(pmod(h, {CLASSES}) as int) + 1, 1) as string))"
+    56-bit hashes below seven bits of rarity, rarest first.
+
+    The arrays pass through ``explode``, so that a filter or several later columns do not make
+    Spark compute them again.
+    """
+    table = f"cast(split('{','.join(map(str, ranks))}', ',') as array<tinyint>)"
+    rank = f"coalesce(get({table}, cast(h & {CLASSES - 1} as int)), 0Y)"
+    place = ("doc_id", "key", "pos")
     lines = rows.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    hashed = lines.selectExpr("doc_id", "key", "pos", f"transform({_WORDS}, w -> xxhash64(w)) AS hashes")
-    blank = F.col("hashes")[0] == F.xxhash64(F.lit(""))
-    return hashed.filter((F.size("hashes") >= min_words) & ~blank).selectExpr(
-        "doc_id", "key", "pos",
-        "sort_array(transform(array_distinct(hashes), "
-        f"h -> shiftleft(cast({rank} as bigint), 56) | shiftrightunsigned(h, 8))) AS words",
-    )
+    found = lines.selectExpr(*place, f"explode(array({_words('line')})) AS found")
+    return found.filter(F.size("found") >= max(min_words, 1)).selectExpr(
+        *place,
+        "explode(array(sort_array(transform(array_distinct(transform(found, w -> xxhash64(w))), "
+        f"h -> shiftleft(cast({rank} as bigint), 56) | shiftrightunsigned(h, 8))))) AS words",
+    )
 
 
-def _prefix(t: int) -> str:
-    """Size of the prefix of ``n`` words at ``t`` percent, in whole numbers."""
-    return f"n - (n * {t} + 99) div 100 + 1"
+def _steps(t: int) -> str:
+    """The steps that a line of ``words`` needs in the index at ``t`` percent; none if only an equal set can match."""
+    if t > 50:
+        some = f"slice(words, 1, least(size(words), size(words) * {2 * (100 - t)} div 100 + 1))"
+        some = f"transform({some}, (w, i) -> shiftrightunsigned(xxhash64(w, get(words, i + 1)), 24))"
+    else:
+        some = f"slice(words, 1, size(words) - (size(words) * {t} + 99) div 100 + 1)"
+    return f"if(size(words) * 100 >= (size(words) + 1) * {t}, {some}, slice(words, 1, 0))"
 
 
 def _map_of(half: int) -> str:
-    """64 bits of a line's map of 128: a word sets the bit of its hash's last seven bits."""
+    """64 bits of a line's map of 128: a word turns over the bit of its hash's last seven bits."""
     return (
-        "aggregate(words, 0L, (m, w) -> m | if(shiftright(w, 6) & 1 = "
+        "aggregate(words, 0L, (m, w) -> m ^ if(shiftright(w, 6) & 1 = "
         f"{half}, shiftleft(1L, cast(w & 63 as int)), 0L))"
     )
 
 
 def _fits(t: int) -> str:
-    """Length and positional filters of a pair that shares words at ``a_at`` and ``b_at`` (from 0)."""
+    """Length filter of a pair, and the bound by the maps."""
     need = f"((a_n + b_n) * {t} + {99 + t}) div {100 + t}"
     return (
         f"a_n * 100 >= b_n * {t} AND b_n * 100 >= a_n * {t} "
-        f"AND least(a_at, b_at) + least(a_n - a_at, b_n - b_at) >= {need} "
         f"AND a_n + b_n - bit_count(a_low ^ b_low) - bit_count(a_high ^ b_high) >= 2 * ({need})"
     )
 
 
-_FILTERED = ("n", "at", "low", "high")
+_FILTERED = ("n", "low", "high")
+
+
+def _shared_steps(firsts: DataFrame, part: int) -> DataFrame:
+    """The steps of one slice that several lines have, with the earliest line of each."""
+    spread = firsts.select("line", "doc_id", "pos", *_FILTERED, F.explode("steps").alias("step"))
+    group = Window.partitionBy("step")
+    here = F.struct("doc_id", "pos", "line", *_FILTERED)
+    index = spread.filter(F.pmod("step", F.lit(SLICES)) == part)
+    index = index.withColumns({"first": F.min(here).over(group), "size": F.count("*").over(group)}).filter("size > 1")
+    index = index.withColumn("first", F.struct("first.line", *(f"first.{c}" for c in _FILTERED))).drop("size")
+    return settle_bucketed(index, "shared-steps", "step", compression="zstd")
 
 
 def _first_partner(index: DataFrame, percent: int) -> DataFrame:
-    """``a_line, b_line``: each line with the line that most of its words' groups begin with, among
+    """``a_line, b_line``: each line with the line that most of its steps' groups begin with, among
     those that pass the filters."""
     pairs = index.filter("line <> first.line").selectExpr(
         "line AS a_line", "first.line AS b_line", *(f"{c} AS a_{c}" for c in _FILTERED), *(f"first.{c} AS b_{c}" for c in _FILTERED)
     )
-    counted = pairs.filter(F.expr(_fits(percent))).groupBy("a_line", "b_line").agg(F.count("*").alias("words"))
-    best = counted.groupBy("a_line").agg(F.max(F.struct("words", "b_line")).alias("best"))
+    counted = pairs.filter(F.expr(_fits(percent))).groupBy("a_line", "b_line").agg(F.count("*").alias("steps"))
+    best = counted.groupBy("a_line").agg(F.max(F.struct("steps", "b_line")).alias("best"))
     return best.select("a_line", F.col("best.b_line").alias("b_line"))
 
 
 def _all_partners(index: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
-    """Different pairs of the lines that are not ``settled`` and all earlier lines of their words' groups that pass the filters."""
+    """Pairs of the lines that are not ``settled`` and all earlier lines of their steps' groups that pass the filters."""
     columns = ("line", "doc_id", "pos", *_FILTERED)
-    a = index.join(settled, "line", "left_anti").select("word", *(F.col(c).alias(f"a_{c}") for c in columns))
-    b = index.select(F.col("word").alias("b_word"), *(F.col(c).alias(f"b_{c}") for c in columns))
+    a = index.join(settled, "line", "left_anti").select("step", *(F.col(c).alias(f"a_{c}") for c in columns))
+    b = index.select(F.col("step").alias("b_step"), *(F.col(c).alias(f"b_{c}") for c in columns))
     earlier = F.struct("b_doc_id", "b_pos", "b_line") < F.struct(
         F.col("a_doc_id").alias("b_doc_id"), F.col("a_pos").alias("b_pos"), F.col("a_line").alias("b_line")
     )
-    fits = (F.col("word") == F.col("b_word")) & earlier & F.expr(_fits(percent))
-    return a.join(b, fits).select("a_line", "b_line").distinct()
+    fits = (F.col("step") == F.col("b_step")) & earlier & F.expr(_fits(percent))
+    return a.join(b, fits).select("a_line", "b_line")
 
 
 def _texts(pairs: DataFrame, firsts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -127,21 +163,14 @@ def _texts(pairs: DataFrame, firsts: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _matched(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The lines ``line`` of the pairs whose whole sets of words are similar enough."""
-    texts = settle(_texts(pairs, firsts, rows).dropDuplicates(["line"]), "line-texts", compression="zstd")
-    words = _WORDS.replace("line", "body")
-    joined = (
-        pairs.join(texts.withColumnRenamed("line", "b_line").withColumnRenamed("body", "b_body"), "b_line")
-        .join(texts.withColumnRenamed("line", "a_line").withColumnRenamed("body", "a_body"), "a_line")
-        .selectExpr(
-            "a_line AS line",
-            f"array_distinct({words.replace('body', 'a_body')}) AS a",
-            f"array_distinct({words.replace('body', 'b_body')}) AS b",
-        )
-        .selectExpr("line", "size(array_intersect(a, b)) AS common", "size(a) + size(b) AS total")
+    bodies = _texts(pairs, firsts, rows).dropDuplicates(["line"])
+    sets = settle(bodies.selectExpr("line", f"array_distinct({_words('body')}) AS body"), "line-sets", compression="zstd")
+    joined = pairs.join(sets.withColumnsRenamed({"line": "b_line", "body": "b"}), "b_line").join(
+        sets.withColumnsRenamed({"line": "a_line", "body": "a"}), "a_line"
     )
-    similar = joined.filter(f"common * 100 >= (total - common) * {percent}").select("line").distinct()
-    found = settle(similar, "matched")
-    discard(texts)
+    similar = joined.filter(f"size(array_intersect(a, b)) * {100 + percent} >= (size(a) + size(b)) * {percent}")
+    found = settle(similar.select(F.col("a_line").alias("line")).distinct(), "matched")
+    discard(sets)
     return found
 
 
@@ -163,11 +192,9 @@ def later_matches(
     """
     rows = _numbered(docs, id_col, text_col)
     sets = line_sets(rows, _ranks(rows), min_words)
-    prefix = "slice(words, 1, " + _prefix(percent).replace("n", "size(words)") + ")"
-    prefix = f"if(size(words) * 100 >= (size(words) + 1) * {percent}, {prefix}, slice(words, 1, 0))"
     lines = settle(
         sets.selectExpr(
-            "doc_id", "key", "pos", "xxhash64(words) AS line", "size(words) AS n", f"{prefix} AS prefix",
+            "doc_id", "key", "pos", "xxhash64(words) AS line", "size(words) AS n", f"{_steps(percent)} AS steps",
             *(f"{_map_of(i)} AS {name}" for i, name in enumerate(("low", "high"))),
         ),
         "lines",
@@ -175,23 +202,23 @@ def later_matches(
     )
     place = F.struct("doc_id", "pos", "key")
     firsts = lines.groupBy("line").agg(
-        F.min(place).alias("place"), *(F.first(c).alias(c) for c in ("n", "low", "high", "prefix"))
+        F.min(place).alias("place"), *(F.first(c).alias(c) for c in ("n", "low", "high", "steps"))
     )
-    firsts = settle(firsts.select("line", "place.*", "n", "low", "high", "prefix"), "firsts", compression="zstd")
+    firsts = settle(firsts.select("line", "place.*", "n", "low", "high", "steps"), "firsts", compression="zstd")
     slim = settle(lines.select("doc_id", "key", "pos", "line"), "line-places", compression="zstd")
+    first_places = settle(firsts.select("line", "doc_id", "key", "pos"), "first-places", compression="zstd")
     discard(lines)
-    spread = firsts.select("line", "doc_id", "pos", "n", "low", "high", F.posexplode("prefix").alias("at", "word"))
-    group = Window.partitionBy("word")
-    here = F.struct("doc_id", "pos", "line", *_FILTERED)
-    index = spread.withColumns({"first": F.min(here).over(group), "size": F.count("*").over(group)})
-    index = index.filter("size > 1").withColumn("first", F.struct("first.line", *(f"first.{c}" for c in _FILTERED))).drop("size")
-    index = settle_bucketed(index, "shared-words", "word", compression="zstd")
-    discard()
-    pairs = settle(_first_partner(index, percent), "pairs", compression="zstd")
+    index = []
+    for part in range(SLICES):
+        index.append(_shared_steps(firsts, part))
+        collect_garbage(docs.sparkSession)
+    discard(firsts)
+    firsts = first_places
+    pairs = settle(_first_partner(reduce(DataFrame.unionByName, index), percent), "pairs", compression="zstd")
     first = _matched(pairs, firsts, rows, percent)
-    more = _all_partners(index, first, percent).join(pairs, ["a_line", "b_line"], "left_anti")
-    more = settle(more, "pairs", compression="zstd")
-    discard(pairs, index)
+    more = reduce(DataFrame.unionByName, (_all_partners(part, first, percent) for part in index)).distinct()
+    more = settle(more.join(pairs, ["a_line", "b_line"], "left_anti"), "pairs", compression="zstd")
+    discard(pairs, *index)
     matched = first.unionByName(_matched(more, firsts, rows, percent))
     discard(more)
 

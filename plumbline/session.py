@@ -70,6 +70,11 @@ def discard(*frames: DataFrame) -> None:
             if f"{root}/" in folder:
                 path = hadoop.Path(folder)
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    collect_garbage(spark)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the driver collect finished plans; Spark then removes their shuffle files."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
