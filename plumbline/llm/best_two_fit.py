@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.common import id_text
-from plumbline.llm.encode import encoder, slices, strings
+from plumbline.llm.encode import encoder, forgetting, slices, strings
 from plumbline.session import settle
 
 WINDOW = 2048
@@ -180,7 +180,7 @@ def pieces(
                 names=["part", "doc_id", "piece", "start", "length", "ids_crc32", "rank", "ids"],
             )
 
-    return settle(id_text(docs, id_col, text_col).mapInArrow(run, _CUT), "pieces", compression="zstd")
+    return settle(id_text(docs, id_col, text_col).mapInArrow(forgetting(run), _CUT), "pieces", compression="zstd")
 
 
 def place(cut: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -3,7 +3,7 @@
 Both public vocabularies split a text at white space before anything is merged, so the
 ids of a text in which single blanks and newlines stand between words are the ids of its
 pieces one after the other. A batch of texts is split and its pieces are numbered by
-Arrow; only different pieces come to Python, where a worker remembers the ids of those
+Arrow; only different pieces come to Python, where a task remembers the ids of those
 it has met. All other texts (other white space, two such characters side by side or one
 at an end, the strings of added tokens) go to the tokenizers library as a whole. The ids
 are those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from plumbline.llm.common import tidy
+
 MEMO = 800_000
 JOINED = 2000
 SLICE_BYTES = 8 << 20
@@ -174,6 +176,23 @@ def encoder(vocabulary: str) -> TextEncoder:
     return _WORKER[vocabulary]
 
 
+def _forget() -> None:
+    for one in _WORKER.values():
+        one.young, one.old = {}, {}
+
+
+def forgetting(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``tidy(run)`` for tasks that encode; the memo goes with the task, so that idle workers hold none."""
+
+    def forgot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _forget()
+
+    return tidy(forgot)
+
+
 def strings(bodies: pa.Array) -> pa.Array:
     """UTF-8 bytes as strings; bytes that are no UTF-8 become replacement characters."""
     try:
@@ -192,3 +211,4 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterat
             upto = max(at + 1, int(np.searchsorted(total, before + size, "right")))
             yield batch.slice(at, upto - at)
             at = upto
+            pa.default_memory_pool().release_unused()

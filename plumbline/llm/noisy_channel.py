@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import id_text
+from plumbline.llm.common import id_text, tidy
+from plumbline.llm.encode import slices
 
 FIT_ROWS = 200_000
 FOLDS, HELD_OUT = 4, 2
@@ -38,6 +39,7 @@ LEAST_TOXIC = 4
 BEGINNINGS = (3, 4, 5, 6)
 CONFIDENCE = 2.0
 MEMO = 400_000
+COUNT_BYTES = 1 << 18
 
 # The character model's symbols: 0 is a boundary, then a-z, then the letters from U+00E0 to
 # U+00FF, then any other letter.
@@ -80,10 +82,12 @@ _TABLE = _table()
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SYMBOLS**3, np.int64)
-    for batch in batches:
-        for body in batch.column("body").to_pylist():
-            s = symbols(" " + body.decode("utf-8", "replace").lower() + " ")
-            total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3) if len(s) > 2 else 0
+    for some in slices(batches, COUNT_BYTES):
+        texts = [f" {body.decode('utf-8', 'replace').lower()} " for body in some.column("body").to_pylist()]
+        s = symbols("".join(texts))
+        grams = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
+        ends = np.cumsum([len(text) for text in texts])[:-1]
+        total += np.bincount(np.delete(grams, np.concatenate((ends - 2, ends - 1))), minlength=SYMBOLS**3)
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["gram", "n"])
 
@@ -103,7 +107,7 @@ class CharacterModel:
     def of(cls, rows: DataFrame) -> CharacterModel:
         """Counted over all ``rows (doc_id, body)``; at most ``SYMBOLS ** 3`` sums come back."""
         counts = np.zeros(SYMBOLS**3, np.int64)
-        grams = rows.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        grams = rows.mapInArrow(tidy(_count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         for gram, n in grams.collect():
             counts[gram] = n
         return cls(counts)
@@ -308,7 +312,7 @@ def _different(rows: DataFrame, labels: dict[int, int]) -> dict[int, int]:
 
     names = ["doc_id", "a", "b", "c", "d"]
     run = _each_labelled(labels, sketches, names, [pa.int64()] * 5)
-    found = rows.mapInArrow(run, ", ".join(f"{n} long" for n in names)).distinct().collect()
+    found = rows.mapInArrow(tidy(run), ", ".join(f"{n} long" for n in names)).distinct().collect()
     least: list[dict[int, int]] = [{} for _ in range(4)]
     for row in found:
         for known, value in zip(least, row[1:], strict=True):
@@ -335,7 +339,7 @@ def _counts(rows: DataFrame, labels: dict[int, int], characters: CharacterModel,
         yield from total.items()
 
     run = _each_labelled(chosen, counts, ["feature", "n"], [pa.string(), pa.int64()])
-    return rows.mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tidy(run), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -365,7 +369,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
 
     names = ["label", "one", "first", "second", "third", "number"]
     run = _each_labelled(kept, vectors, names, [pa.float64()] * 6)
-    data = np.array(rows.mapInArrow(run, ", ".join(f"{n} double" for n in names)).collect())
+    data = np.array(rows.mapInArrow(tidy(run), ", ".join(f"{n} double" for n in names)).collect())
     model.weights = fitted(data[:, 1:], data[:, 0])
     return model
 
@@ -394,7 +398,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             )
 
     rows = id_text(docs, id_col, text_col).withColumn("row", F.xxhash64("body"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, row long")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int, row long")
 
 
 def clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

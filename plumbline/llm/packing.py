@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import id_text
-from plumbline.llm.encode import encoder, slices, strings
+from plumbline.llm.common import id_text, tidy
+from plumbline.llm.encode import encoder, forgetting, slices, strings
 from plumbline.session import settle
 
 WINDOW = 2048
@@ -58,7 +58,7 @@ def encoded(
                 names=["doc_id", "part", "place", "n", "ids"],
             )
 
-    rows = id_text(docs, id_col, text_col).mapInArrow(run, _ENCODED)
+    rows = id_text(docs, id_col, text_col).mapInArrow(forgetting(run), _ENCODED)
     return settle(rows, "encoded", compression="zstd")
 
 
@@ -110,7 +110,7 @@ def cut(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     # One row of two numbers for each partition of the input; beyond a million of them Spark chooses the join.
     first = F.broadcast(first) if first.count() <= MAX_BROADCAST_ROWS else first
     placed = rows.join(first, "part").select("doc_id", "base", "place", "n", "ids")
-    return placed.mapInArrow(run, _PIECES)
+    return placed.mapInArrow(tidy(run), _PIECES)
 
 
 def pack(

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import id_text
-from plumbline.llm.encode import encoder, slices, strings
+from plumbline.llm.encode import encoder, forgetting, slices, strings
 from plumbline.llm.packing import bases
 from plumbline.session import scratch_path, settle
 
@@ -187,7 +187,7 @@ def write(
     ranges = rows.select("doc_id").filter("doc_id IS NOT NULL").repartitionByRange(parts, "doc_id")
     upper = ranges.groupBy(F.spark_partition_id()).agg(F.max("doc_id").alias("upper")).select("upper")
     bounds = sorted(row["upper"] for row in upper.collect())[:-1]
-    encoded = rows.mapInArrow(_encode(vocabulary, bounds, width), _ENCODED)
+    encoded = rows.mapInArrow(forgetting(_encode(vocabulary, bounds, width)), _ENCODED)
     ordered = encoded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "n", "crc")
     records = ordered.mapInArrow(_records, _RECORDS).sortWithinPartitions("kind", "part", "rank")
     _flat(records, f"{path}/data", end_id.to_bytes(width, "little"), "kind", "part")
