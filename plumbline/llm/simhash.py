@@ -259,7 +259,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, places: DataFrame, words: int,
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
         .select("a", "b", "left", "right")
     )
-    return settle(joined.mapInArrow(_similar(similarity), "a long, b long"), "similar")
+    similar = settle(joined.mapInArrow(_similar(similarity), "a long, b long"), "similar")
+    discard(wanted, sets)
+    return similar
 
 
 def _joining(
@@ -281,7 +283,9 @@ def _joining(
         roots.selectExpr("node AS b", "root AS rb"), "b", "left"
     )
     rest = settle(rest.filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), "pairs")
-    return edges.unionByName(_verified(rest, rows, places, words, similarity))
+    edges = edges.unionByName(_verified(rest, rows, places, words, similarity))
+    discard(first, roots, rest)
+    return edges
 
 
 def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
@@ -461,6 +465,7 @@ def similar_classes(
     likely = _fingerprint_pairs(nodes).unionByName(_sample_pairs(nodes))
     likely = settle(likely.groupBy("node", "hub").agg(F.sum("times").alias("times")), "likely")
     edges = _joining(likely, None, rows, places, words, similarity)
+    discard(likely)
     index = _prefixes(rows, _ranks(rows, words), words, similarity)
     index = settle_bucketed(index, "shingle-prefixes", "word", compression="zstd")
     roots = settle(components(edges, "similar-stars"), "roots")
