@@ -88,18 +88,18 @@ class TextEncoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Remember new pieces. A comma or full stop after a word is a piece of its own to the tokenizer."""
-        young, whole = self.young, _WORD.fullmatch
-        stems = {p: p[:-1] for p in pieces if p[-1] in ",." and whole(p, 0, len(p) - 1)}
-        words = {s for s in stems.values() if self._known(s) is None}
-        others = []
+        young, known, whole = self.young, self._known, _WORD.fullmatch
+        words: dict[str, None] = {}
+        stems, others = [], []
         for piece in pieces:
-            if piece in stems:
-                continue
             if whole(piece):
-                words.add(piece)
+                words[piece] = None
+            elif piece[-1] in ",." and whole(piece, 0, len(piece) - 1):
+                stems.append(piece)
             else:
                 others.append(piece)
-        ordered = sorted(words)
+        words.update((stem, None) for piece in stems if (stem := piece[:-1]) not in words and known(stem) is None)
+        ordered = list(words)
         young.update(zip(ordered, self._joined(ordered, " "), strict=True))
         if self.spaced:  # "\0x" is x at the start of the text or a line, "x" is x after a space
             bare = [p for p in others if p[0] == "\0"]
@@ -109,8 +109,9 @@ class TextEncoder:
             young["\n"] = np.array([self.newline], "<u4").tobytes()
         else:
             young.update(zip(others, self._ids(others), strict=True))
-        for piece, stem in stems.items():
-            young[piece] = self._known(stem) + self.signs[piece[-1]]
+        signs = self.signs
+        for piece in stems:
+            young[piece] = young[piece[:-1]] + signs[piece[-1]]
 
     def _known(self, piece: str) -> bytes | None:
         """A remembered piece; what is asked for again stays when half the memo is dropped."""
@@ -133,11 +134,11 @@ class TextEncoder:
             self.young, self.old = {}, self.young
         pieces = self._pieces(texts)
         coded = pieces.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        young, new = self.young, []
-        for word in words:
-            if word not in young and self._known(word) is None:
-                new.append(word)
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        young = self.young
+        new = [word for word in words if word not in young]
+        if new and self.old:
+            new = [word for word in new if self._known(word) is None]
         if new:
             self._learn(new)
         values = pa.array([*map(young.__getitem__, words), end], pa.binary())
