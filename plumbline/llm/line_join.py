@@ -14,10 +14,13 @@ differing bit is a word that only one line has. Candidates are verified on the w
 a line that matches an earlier line, by document id and position, is removed.
 
 Equal sets are grouped before anything is joined, so copies are never paired. Sets too small
-to match any but an equal set (one to three words at 0.8) are not in the index. Steps of
-a family of near copies form large groups all the same; there every line is first held
-against the group's earliest line, and only lines that this does not settle are paired with
-the earlier lines of their groups. Whether a line goes does not depend on which of its
+to match any but an equal set (one to three words at 0.8) are not in the index. The lines of
+a step are paired where they lie when there are at most ``GROUP`` of them, and each line is held
+against its nearest partner by the maps first. Steps of
+a family of near copies form large groups all the same; there the partners of a line are first
+the group's earliest line and the ``BEFORE`` lines before it, and only lines that the nearest
+of them does not settle are paired with all the earlier lines of their groups. Whether a line
+goes does not depend on which of its
 matches is found, so this leaves the result of the exact join. The steps are grouped in
 ``SLICES`` parts by their hash, one after the other, and only steps that several lines have are
 kept, so that no shuffle holds all of them.
@@ -41,6 +44,7 @@ SIMILARITY_PERCENT = 80
 MIN_WORDS = 5
 CLASSES = 1 << 16
 SLICES = 4
+GROUP, BEFORE = 32, 8
 
 
 def _words(text: str) -> str:
@@ -115,40 +119,43 @@ def _fits(t: int) -> str:
 
 
 _FILTERED = ("n", "low", "high")
+_APART = "(bit_count(a_low ^ b_low) + bit_count(a_high ^ b_high)) / (a_n + b_n)"
 
 
 def _shared_steps(firsts: DataFrame, part: int) -> DataFrame:
-    """The steps of one slice that several lines have, with the earliest line of each."""
+    """The steps of one slice that several lines have, and whether more than ``GROUP`` have them."""
     spread = firsts.select("line", "doc_id", "pos", *_FILTERED, F.explode("steps").alias("step"))
-    group = Window.partitionBy("step")
-    here = F.struct("doc_id", "pos", "line", *_FILTERED)
     index = spread.filter(F.pmod("step", F.lit(SLICES)) == part)
-    index = index.withColumns({"first": F.min(here).over(group), "size": F.count("*").over(group)}).filter("size > 1")
-    index = index.withColumn("first", F.struct("first.line", *(f"first.{c}" for c in _FILTERED))).drop("size")
+    index = index.withColumn("size", F.count("*").over(Window.partitionBy("step"))).filter("size > 1")
+    index = index.withColumn("large", F.col("size") > GROUP).drop("size")
     return settle_bucketed(index, "shared-steps", "step", compression="zstd")
 
 
-def _first_partner(index: DataFrame, percent: int) -> DataFrame:
-    """``a_line, b_line``: each line with the line that most of its steps' groups begin with, among
-    those that pass the filters."""
-    pairs = index.filter("line <> first.line").selectExpr(
-        "line AS a_line", "first.line AS b_line", *(f"{c} AS a_{c}" for c in _FILTERED), *(f"first.{c} AS b_{c}" for c in _FILTERED)
-    )
-    counted = pairs.filter(F.expr(_fits(percent))).groupBy("a_line", "b_line").agg(F.count("*").alias("steps"))
-    best = counted.groupBy("a_line").agg(F.max(F.struct("steps", "b_line")).alias("best"))
-    return best.select("a_line", F.col("best.b_line").alias("b_line"))
-
-
-def _all_partners(index: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the lines that are not ``settled`` and all earlier lines of their steps' groups that pass the filters."""
+def _all_partners(index: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """``a_line, b_line, apart``: ``lines`` of the index with all earlier lines of their steps' groups that pass the
+    filters; ``apart`` is the share of their words that the maps tell apart."""
     columns = ("line", "doc_id", "pos", *_FILTERED)
-    a = index.join(settled, "line", "left_anti").select("step", *(F.col(c).alias(f"a_{c}") for c in columns))
+    a = lines.select("step", *(F.col(c).alias(f"a_{c}") for c in columns))
     b = index.select(F.col("step").alias("b_step"), *(F.col(c).alias(f"b_{c}") for c in columns))
     earlier = F.struct("b_doc_id", "b_pos", "b_line") < F.struct(
         F.col("a_doc_id").alias("b_doc_id"), F.col("a_pos").alias("b_pos"), F.col("a_line").alias("b_line")
     )
     fits = (F.col("step") == F.col("b_step")) & earlier & F.expr(_fits(percent))
-    return a.join(b, fits).select("a_line", "b_line")
+    return a.join(b, fits).selectExpr("a_line", "b_line", f"{_APART} AS apart")
+
+
+def _some_partners(index: DataFrame, percent: int) -> DataFrame:
+    """``a_line, b_line, apart``: each line with the first line of its steps' groups and the ``BEFORE`` lines
+    before it there, among those that pass the filters."""
+    group = Window.partitionBy("step").orderBy("doc_id", "pos", "line")
+    here = F.struct("line", *_FILTERED)
+    others = F.array(F.first(here).over(group), *(F.lag(here, k).over(group) for k in range(1, BEFORE + 1)))
+    pairs = index.select("line", *_FILTERED, others.alias("others"))
+    pairs = pairs.select(
+        *(F.col(c).alias(f"a_{c}") for c in ("line", *_FILTERED)), F.explode("others").alias("other")
+    ).filter("other.line <> a_line")
+    pairs = pairs.selectExpr("a_line", *(f"a_{c}" for c in _FILTERED), *(f"other.{c} AS b_{c}" for c in ("line", *_FILTERED)))
+    return pairs.filter(F.expr(_fits(percent))).selectExpr("a_line", "b_line", f"{_APART} AS apart")
 
 
 def _texts(pairs: DataFrame, firsts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -214,11 +221,19 @@ def later_matches(
         collect_garbage(docs.sparkSession)
     discard(firsts)
     firsts = first_places
-    pairs = settle(_first_partner(reduce(DataFrame.unionByName, index), percent), "pairs", compression="zstd")
-    first = _matched(pairs, firsts, rows, percent)
-    more = reduce(DataFrame.unionByName, (_all_partners(part, first, percent) for part in index)).distinct()
-    more = settle(more.join(pairs, ["a_line", "b_line"], "left_anti"), "pairs", compression="zstd")
-    discard(pairs, *index)
+    small, large = ([part.filter(which) for part in index] for which in ("NOT large", "large"))
+    pairs = reduce(DataFrame.unionByName, (_all_partners(part, part, percent) for part in small)).distinct()
+    pairs = settle(pairs, "small-pairs", compression="zstd")
+    some = reduce(DataFrame.unionByName, (_some_partners(part, percent) for part in large))
+    nearest = F.min(F.struct("apart", "b_line")).alias("nearest")
+    tried = pairs.unionByName(some).groupBy("a_line").agg(nearest).select("a_line", F.col("nearest.b_line").alias("b_line"))
+    tried = settle(tried, "pairs", compression="zstd")
+    first = _matched(tried, firsts, rows, percent)
+    open_lines = (_all_partners(part, part.join(first, "line", "left_anti"), percent) for part in large)
+    more = reduce(DataFrame.unionByName, open_lines, pairs).select("a_line", "b_line").distinct()
+    more = more.join(tried, ["a_line", "b_line"], "left_anti").join(first, F.col("a_line") == first["line"], "left_anti")
+    more = settle(more, "pairs", compression="zstd")
+    discard(pairs, tried, *index)
     matched = first.unionByName(_matched(more, firsts, rows, percent))
     discard(more)
 
