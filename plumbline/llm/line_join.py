@@ -15,7 +15,8 @@ a line that matches an earlier line, by document id and position, is removed.
 
 Equal sets are grouped before anything is joined, so copies are never paired. Sets too small
 to match any but an equal set (one to three words at 0.8) are not in the index. The lines of
-a step are paired where they lie when there are at most ``GROUP`` of them, and each line is held
+a step are paired in the pass that groups them when there are at most ``GROUP`` of them, each with the
+lines before it, so only pairs that pass the filters are written. Each line is held
 against its nearest partner by the maps first. Steps of
 a family of near copies form large groups all the same; there the partners of a line are first
 the group's earliest line and the ``BEFORE`` lines before it, and only lines that the nearest
@@ -25,9 +26,9 @@ matches is found, so this leaves the result of the exact join. The steps are gro
 ``SLICES`` parts by their hash, one after the other, and only steps that several lines have are
 kept, so that no shuffle holds all of them.
 
-All of it is DataFrame expressions. Rarity is the number of occurrences of a word's hash
-class, of which there are 65,536 at any input size; any fixed order of the words keeps the
-join exact. The index tells words apart by 56 bits of their hash, steps by 40 and sets of words
+All of it is DataFrame expressions. The lines are cut into words once and written as hashes.
+Rarity is the number of lines with a word of the hash class, counted for each word; there are
+65,536 classes at any input size, and any fixed order of the words keeps the join exact. The index tells words apart by 56 bits of their hash, steps by 40 and sets of words
 by 64; candidates are verified on the words themselves.
 """
 
@@ -49,10 +50,7 @@ GROUP, BEFORE = 32, 8
 
 def _words(text: str) -> str:
     """The words of a text column, in their order; none are empty."""
-    spaced = f"lower({text})"
-    for sign in ("\\t", "\\r", "\\u000c", "\\u000b"):
-        spaced = f"replace({spaced}, '{sign}', ' ')"
-    return f"array_remove(split({spaced}, ' '), '')"
+    return f"array_remove(split(lower({text}), '[ \\t\\r\\u000c\\u000b]'), '')"
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -62,32 +60,36 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
-def _ranks(rows: DataFrame) -> list[int]:
-    """For each hash class, four times the binary logarithm of its occurrences."""
-    words = rows.select(F.explode(F.expr(_words("replace(text, '\\n', ' ')"))).alias("word"))
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(CLASSES)).alias("class")).count()
+def _hashed(rows: DataFrame, min_words: int) -> DataFrame:
+    """``doc_id, key, pos, hashes``: the different words of the lines of at least ``min_words`` words, and one, as hashes.
+
+    The words pass through ``explode``, so that the filter does not make Spark split the lines again.
+    """
+    place = ("doc_id", "key", "pos")
+    lines = rows.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    found = lines.selectExpr(*place, f"explode(array({_words('line')})) AS found")
+    return found.filter(F.size("found") >= max(min_words, 1)).selectExpr(
+        *place, "array_distinct(transform(found, w -> xxhash64(w))) AS hashes"
+    )
+
+
+def _ranks(hashed: DataFrame) -> list[int]:
+    """For each hash class, four times the binary logarithm of its occurrences, one for each line that has the word."""
+    words = hashed.select(F.explode("hashes").alias("word"))
+    counts = words.groupBy(F.col("word").bitwiseAND(CLASSES - 1).alias("class")).count()
     ranks = [0] * CLASSES
     for number, rank in counts.select("class", F.least(F.lit(127), F.floor(4 * F.log2(F.col("count") + 1)))).collect():
         ranks[number] = rank
     return ranks
 
 
-def line_sets(rows: DataFrame, ranks: list[int], min_words: int) -> DataFrame:
-    """``doc_id, key, pos, words``: the lines of at least ``min_words`` words, and one, as sets of
-    56-bit hashes below seven bits of rarity, rarest first.
-
-    The arrays pass through ``explode``, so that a filter or several later columns do not make
-    Spark compute them again.
-    """
+def line_sets(hashed: DataFrame, ranks: list[int]) -> DataFrame:
+    """``doc_id, key, pos, words``: the lines as sets of 56-bit hashes below seven bits of rarity, rarest first."""
     table = f"cast(split('{','.join(map(str, ranks))}', ',') as array<tinyint>)"
     rank = f"coalesce(get({table}, cast(h & {CLASSES - 1} as int)), 0Y)"
-    place = ("doc_id", "key", "pos")
-    lines = rows.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    found = lines.selectExpr(*place, f"explode(array({_words('line')})) AS found")
-    return found.filter(F.size("found") >= max(min_words, 1)).selectExpr(
-        *place,
-        "explode(array(sort_array(transform(array_distinct(transform(found, w -> xxhash64(w))), "
-        f"h -> shiftleft(cast({rank} as bigint), 56) | shiftrightunsigned(h, 8))))) AS words",
+    return hashed.selectExpr(
+        "doc_id", "key", "pos",
+        f"sort_array(transform(hashes, h -> shiftleft(cast({rank} as bigint), 56) | shiftrightunsigned(h, 8))) AS words",
     )
 
 
@@ -104,8 +106,7 @@ def _steps(t: int) -> str:
 def _map_of(half: int) -> str:
     """64 bits of a line's map of 128: a word turns over the bit of its hash's last seven bits."""
     return (
-        "aggregate(words, 0L, (m, w) -> m ^ if(shiftright(w, 6) & 1 = "
-        f"{half}, shiftleft(1L, cast(w & 63 as int)), 0L))"
+        f"aggregate(words, 0L, (m, w) -> m ^ if(w & 64 = {64 * half}, shiftleft(1L, cast(w & 63 as int)), 0L))"
     )
 
 
@@ -122,13 +123,30 @@ _FILTERED = ("n", "low", "high")
 _APART = "(bit_count(a_low ^ b_low) + bit_count(a_high ^ b_high)) / (a_n + b_n)"
 
 
-def _shared_steps(firsts: DataFrame, part: int) -> DataFrame:
-    """The steps of one slice that several lines have, and whether more than ``GROUP`` have them."""
+def _shared_steps(firsts: DataFrame, part: int, percent: int) -> DataFrame:
+    """The steps of one slice that several lines have.
+
+    ``large`` rows are those of steps that more than ``GROUP`` lines have. The lines of all other steps are paired
+    while they lie together: a row is the later ``line`` of a pair that passes the filters, the earlier one is ``other``.
+    """
     spread = firsts.select("line", "doc_id", "pos", *_FILTERED, F.explode("steps").alias("step"))
     index = spread.filter(F.pmod("step", F.lit(SLICES)) == part)
-    index = index.withColumn("size", F.count("*").over(Window.partitionBy("step"))).filter("size > 1")
+    group = Window.partitionBy("step")
+    index = index.withColumn("size", F.count("*").over(group)).filter("size > 1")
     index = index.withColumn("large", F.col("size") > GROUP).drop("size")
-    return settle_bucketed(index, "shared-steps", "step", compression="zstd")
+    here = F.when(~F.col("large"), F.struct("line", "doc_id", "pos", *_FILTERED))
+    index = index.withColumn("others", F.collect_list(here).over(group.rowsBetween(1 - GROUP, -1)))
+    index = index.withColumn("other", F.explode_outer("others")).withColumns(
+        {f"{side}_{c}": F.col(f"{row}{c}") for side, row in (("a", ""), ("b", "other.")) for c in ("line", *_FILTERED)}
+    )
+    found = index.filter(f"large OR ({_fits(percent)})").withColumn(
+        "later", F.struct("doc_id", "pos", "line") > F.struct("other.doc_id", "other.pos", "other.line")
+    )
+    found = found.selectExpr(
+        "step", "large", "if(large OR later, a_line, b_line) AS line", "if(later, b_line, a_line) AS other",
+        f"{_APART} AS apart", *(f"if(large, {c}, null) AS {c}" for c in ("doc_id", "pos", *_FILTERED)),
+    )
+    return settle_bucketed(found, "shared-steps", "step", compression="zstd")
 
 
 def _all_partners(index: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -198,7 +216,8 @@ def later_matches(
     id comes before all others, a null text has one empty line.
     """
     rows = _numbered(docs, id_col, text_col)
-    sets = line_sets(rows, _ranks(rows), min_words)
+    hashed = settle(_hashed(rows, min_words), "line-hashes", compression="zstd")
+    sets = line_sets(hashed, _ranks(hashed))
     lines = settle(
         sets.selectExpr(
             "doc_id", "key", "pos", "xxhash64(words) AS line", "size(words) AS n", f"{_steps(percent)} AS steps",
@@ -207,6 +226,7 @@ def later_matches(
         "lines",
         compression="zstd",
     )
+    discard(hashed)
     place = F.struct("doc_id", "pos", "key")
     firsts = lines.groupBy("line").agg(
         F.min(place).alias("place"), *(F.first(c).alias(c) for c in ("n", "low", "high", "steps"))
@@ -217,13 +237,13 @@ def later_matches(
     discard(lines)
     index = []
     for part in range(SLICES):
-        index.append(_shared_steps(firsts, part))
+        index.append(_shared_steps(firsts, part, percent))
         collect_garbage(docs.sparkSession)
     discard(firsts)
     firsts = first_places
-    small, large = ([part.filter(which) for part in index] for which in ("NOT large", "large"))
-    pairs = reduce(DataFrame.unionByName, (_all_partners(part, part, percent) for part in small)).distinct()
-    pairs = settle(pairs, "small-pairs", compression="zstd")
+    small = (part.filter("NOT large").selectExpr("line AS a_line", "other AS b_line", "apart") for part in index)
+    large = [part.filter("large").drop("other", "apart") for part in index]
+    pairs = settle(reduce(DataFrame.unionByName, small).distinct(), "small-pairs", compression="zstd")
     some = reduce(DataFrame.unionByName, (_some_partners(part, percent) for part in large))
     nearest = F.min(F.struct("apart", "b_line")).alias("nearest")
     tried = pairs.unionByName(some).groupBy("a_line").agg(nearest).select("a_line", F.col("nearest.b_line").alias("b_line"))
