@@ -27,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import hex16, id_text
+from plumbline.llm.common import hex16, id_text, rows_of
 from plumbline.llm.components import components
-from plumbline.session import discard, settle, settle_bucketed
+from plumbline.session import collect_garbage, discard, settle, settle_bucketed
 
 SEED = 42
 BLOCKS, BLOCK_BITS, PER_BLOCK = 4, 16, 10
@@ -186,7 +186,7 @@ _CLASS_SHIFT = np.uint64(64 - CLASSES.bit_length() + 1)
 FLUSH = 1 << 20
 TILE = 512
 _MULTIPLIERS = [(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) | 1 for i in range(SAMPLES)]
-_SKETCH = "doc_id long, key long, node long, fp long, samples array<long>"
+_SKETCH = "doc_id long, key long, node long, fp long, samples array<long>, n int, bits binary"
 
 
 def _sample_fingerprints(hashes: np.ndarray) -> list[int]:
@@ -202,8 +202,19 @@ def _sample_fingerprints(hashes: np.ndarray) -> list[int]:
     return out
 
 
+def _odd_bits(hashes: np.ndarray) -> bytes:
+    """Which of a power of two of bits, two to four for each hash, an odd number of the set's hashes falls on.
+
+    Two sets differ in at least as many hashes as the bits of their exclusive or. The upper half
+    of the bits folds onto the lower one by exclusive or, so any two lengths can be compared.
+    """
+    size = max(64, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    counts = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def _sketches(rows: DataFrame, words: int) -> DataFrame:
-    """For every row, its set of shingles as ``node``, the set's fingerprint and its samples' fingerprints."""
+    """For every row, its set of shingles as ``node``, the set's fingerprint, its samples' fingerprints, size and odd bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,8 +226,10 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
                 pa.array(nodes, pa.int64()),
                 pa.array([simhash(s) for s in found], pa.int64()),
                 pa.array([_sample_fingerprints(s) if len(s) else [] for s in found], pa.list_(pa.int64())),
+                pa.array([len(s) for s in found], pa.int32()),
+                pa.array([_odd_bits(s) for s in found], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "node", "fp", "samples"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "node", "fp", "samples", "n", "bits"])
 
     return rows.mapInArrow(run, _SKETCH)
 
@@ -247,6 +260,33 @@ def _similar(similarity: float):
     return run
 
 
+def _close(similarity: float):
+    """The pairs whose sizes and odd bits allow the Jaccard similarity; none that reaches it is lost."""
+    share = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, left, right in rows_of([batch], "n", "hub_n", "bits", "hub_bits"):
+                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+                while len(x) != len(y):
+                    x, y = (x, y) if len(x) > len(y) else (y, x)
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                apart = int(np.bitwise_count(x ^ y).sum())
+                keep.append(min(n, m) >= similarity * max(n, m) - 1e-6 and apart <= share * (n + m) + 1e-6)
+            yield batch.select(["node", "hub", "times"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``node, hub, times`` that can reach the similarity, by a few bits for each shingle instead of the sets."""
+    own = nodes.select("node", "n", "bits")
+    hubs = nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits"))
+    joined = pairs.join(own, "node").join(hubs, "hub").select("node", "hub", "times", "n", "hub_n", "bits", "hub_bits")
+    return joined.mapInArrow(_close(similarity), "node long, hub long, times long")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, places: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs ``a, b`` of nodes that reach the similarity; sets are read again only for nodes in pairs."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -265,13 +305,15 @@ def _verified(pairs: DataFrame, rows: DataFrame, places: DataFrame, words: int,
 
 
 def _joining(
-    pairs: DataFrame, edges: DataFrame | None, rows: DataFrame, places: DataFrame, words: int, similarity: float
+    pairs: DataFrame, edges: DataFrame | None, rows: DataFrame, nodes: DataFrame, words: int, similarity: float
 ) -> DataFrame:
     """``edges`` and those of the pairs ``node, hub, times`` that reach the similarity.
 
-    Each node is verified with its most frequent partner first; of the other pairs, those
-    that the edges found so far do not put into one class.
+    Sets are read for pairs alone whose odd bits allow it. Of these, each node is verified with its
+    most frequent partner first; of the others, those that the edges found so far do not put into one class.
     """
+    places = nodes.select("node", "place.*")
+    pairs = settle(_possible(pairs, nodes, similarity), "possible")
     ordered = (F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     first = pairs.groupBy("node").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
     first = settle(first.select(*ordered).distinct(), "pairs")
@@ -284,7 +326,7 @@ def _joining(
     )
     rest = settle(rest.filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), "pairs")
     edges = edges.unionByName(_verified(rest, rows, places, words, similarity))
-    discard(first, roots, rest)
+    discard(pairs, first, roots, rest)
     return edges
 
 
@@ -402,16 +444,18 @@ def _prefix_pairs(index: DataFrame, roots: DataFrame, similarity: float) -> Data
     """``node, hub, times``: all pairs of nodes of different classes that can reach the similarity.
 
     A group of one shingle is left out when its nodes are of one class already. Large groups
-    are paired in tiles of ``TILE`` nodes.
+    are paired in tiles of ``TILE`` nodes. Each table is deleted when the next one is written.
     """
     groups = index.groupBy("word").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("indexed").alias("some"))
     shared = index.join(groups.filter("low < high AND some").select("word"), "word").distinct()
     shared = settle(shared, "shared-shingles", compression="zstd")
     named = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = settle(named, "shared-shingles", compression="zstd")
+    discard(shared)
     mixed = named.groupBy("word").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
     mixed = mixed.filter("low < high").selectExpr("word", f"cast((size + {TILE - 1}) div {TILE} as int) AS tiles")
     mixed = settle(named.join(mixed, "word"), "mixed-groups", compression="zstd")
+    discard(named)
     a = mixed.selectExpr(
         "word", "cast(pmod(xxhash64(node), tiles) as int) AS tile", "node AS a", "root AS a_root", "n AS a_n", "at AS a_at"
     )
@@ -429,7 +473,9 @@ def _prefix_pairs(index: DataFrame, roots: DataFrame, similarity: float) -> Data
         F.min("a_at").alias("a_at"), F.min("b_at").alias("b_at"), F.count("*").alias("times")
     )
     pairs = pairs.filter(f"least(a_n - a_at, b_n - b_at) >= {need}")
-    return pairs.selectExpr("a AS node", "b AS hub", "times")
+    pairs = settle(pairs.selectExpr("a AS node", "b AS hub", "times"), "partners", compression="zstd")
+    discard(mixed)
+    return pairs
 
 
 def similar_classes(
@@ -458,21 +504,24 @@ def similar_classes(
     rows = id_text(docs, id_col, text_col).select("doc_id", F.xxhash64("body").alias("key"), "body")
     marked = settle(_sketches(rows, words), "sketches")
     nodes = marked.groupBy("node").agg(
-        F.min(F.struct("doc_id", "key")).alias("place"), F.first("fp").alias("fp"), F.first("samples").alias("samples")
+        F.min(F.struct("doc_id", "key")).alias("place"), *(F.first(c).alias(c) for c in ("fp", "samples", "n", "bits"))
     )
     nodes = settle(nodes, "nodes")
     places = nodes.select("node", "place.*")
     likely = _fingerprint_pairs(nodes).unionByName(_sample_pairs(nodes))
     likely = settle(likely.groupBy("node", "hub").agg(F.sum("times").alias("times")), "likely")
-    edges = _joining(likely, None, rows, places, words, similarity)
+    edges = _joining(likely, None, rows, nodes, words, similarity)
     discard(likely)
     index = _prefixes(rows, _ranks(rows, words), words, similarity)
-    index = settle_bucketed(index, "shingle-prefixes", "word", compression="zstd")
+    # A bucket is written by one task: else there were as many files as buckets times tasks.
+    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    index = settle_bucketed(index.repartition(buckets, "word"), "shingle-prefixes", "word", compression="zstd")
+    collect_garbage(docs.sparkSession)
     roots = settle(components(edges, "similar-stars"), "roots")
-    pairs = settle(_prefix_pairs(index, roots, similarity), "partners", compression="zstd")
+    pairs = _prefix_pairs(index, roots, similarity)
     discard(index)
     if not pairs.isEmpty():
-        edges = _joining(pairs, edges, rows, places, words, similarity)
+        edges = _joining(pairs, edges, rows, nodes, words, similarity)
         roots = components(edges, "similar-stars")
     named = settle(places.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     classes = named.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.min("doc_id").alias("class_id"))
