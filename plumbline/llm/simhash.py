@@ -548,4 +548,7 @@ def one_of_each(
     same = docs[id_col].cast("long").eqNullSafe(gone["doc_id"]) & (F.xxhash64(body) == gone["key"])
     kept = docs.join(gone, same, "left_anti")
     repeated = classes.filter("first").groupBy("doc_id", "key").count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])
+    if repeated.isEmpty():
+        return kept
+    whole = f"_{max(docs.columns, key=len)}"  # no column has this name; a null text is an empty one
+    return kept.withColumn(whole, F.coalesce(kept[text_col].cast("string"), F.lit(""))).dropDuplicates([id_col, whole]).drop(whole)

@@ -73,3 +73,9 @@ def test_a_bucket_of_the_index_is_one_file(spark, corpus, monkeypatch):
     texts = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(50)) for _ in range(80)]
     assert simhash.one_of_each(corpus(list(enumerate(texts)), partitions=7)).count() == 80
     assert 1 < len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_null_text_and_an_empty_one_of_one_id_are_one_row(corpus):
+    docs = corpus([(1, None), (1, ""), (1, ""), (None, ""), (None, None), (2, "other words stand here now")])
+    assert sorted(repr(r.doc_id) for r in simhash.one_of_each(docs).collect()) == ["2", "None"]
+    assert simhash.one_of_each(docs).columns == docs.columns
